@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canvass.llm.packing import op5_best_fit_packing
 from canvass.llm.quality import op3_quality_forest
-from canvass.llm.secrets import op8_secret_scan
+from canvass.llm.secret_scan import op8_secret_scan
 from canvass.llm.toxicity import op10_toxicity_ftrl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_forest, op8_secret_scan, op10_toxicity_ftrl)
+    f.__name__: f for f in (op3_quality_forest, op5_best_fit_packing, op8_secret_scan, op10_toxicity_ftrl)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -3,7 +3,8 @@
 Terms that are neither too common nor too rare carry a document: those whose
 document frequency lies between ``LOW`` and ``HIGH`` of all documents.  There are
 at most (mean distinct terms of a document) / LOW of them however large the
-corpus is, so the lexicon fits a bitmap of fixed size over term hashes.  A
+corpus is, so the lexicon is a bitmap of fixed size over term hashes (a few terms
+outside the band share a bit with one inside it and so belong to it too).  A
 fingerprint hashes the sorted distinct lexicon terms of a text, once for each of
 several random subsets of the lexicon: ``LEVELS`` gives how many subsets there
 are of which share of the lexicon, dense ones for short texts and sparse ones for
@@ -32,7 +33,7 @@ LOW, HIGH = 0.001, 0.2
 #: (one in how many terms, groups of subsets, subsets in a group)
 LEVELS = ((16, 4, 4), (128, 4, 8), (1024, 4, 8))
 MIN_FILLED = 4
-BITS = 1 << 24
+BITS = 1 << 20
 UNFILLED, DIGITS = "----", 4
 BUCKET_ROWS, MOST_BUCKETS = 512, 4096
 
@@ -47,24 +48,22 @@ def _slot(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BITS - 1))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with ``bits``, the bitmap of the terms in the band: BITS / 64 long integers."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
+    """The bitmap of the terms in the band as a literal of BITS / 4 bytes, each of which holds four bits in a letter."""
     counts = stored(
         docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
         "term-df",
     )
     n = docs.count()
-    words = (
+    letters = (
         counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n))
-        .groupBy(F.shiftright(_slot(F.col("term")), 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(term & 63 AS INT))")).alias("bits"))
-    )
-    dense = docs.sparkSession.range(BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
-    return stored(
-        dense.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
-        .select(F.transform("all", lambda x: x["bits"]).alias("bits")),
-        "lexicon",
+        .groupBy(F.shiftright(_slot(F.col("term")), 2).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1, cast(term & 3 AS INT))")).alias("four"))
     )
+    dense = docs.sparkSession.range(BITS // 4).withColumnRenamed("id", "at").join(letters, "at", "left")
+    letter = F.char(F.coalesce("four", F.lit(0)) + F.lit(64))
+    bitmap = dense.agg(F.array_sort(F.collect_list(F.struct("at", letter.alias("c")))).alias("all"))
+    return F.lit(bytearray(bitmap.select(F.array_join(F.transform("all", lambda x: x["c"]), "")).first()[0].encode()))
 
 
 def _let(value: Column, body) -> Column:
@@ -99,24 +98,12 @@ def _level(terms: Column, level: int, one_in: int, groups: int, per_group: int)
 
 def fingerprint(text: Column, bits: Column) -> Column:
     """The fingerprint of a text as a string of DIGITS characters for each subset."""
-    known = lambda h: F.getbit(bits[F.shiftright(_slot(h), 6).cast("int")], h.bitwiseAND(F.lit(63))) == 1
+    letter = lambda h: F.substring(bits, F.shiftright(_slot(h), 2).cast("int") + 1, F.lit(1)).cast("string")
+    known = lambda h: F.getbit(F.ascii(letter(h)), h.bitwiseAND(F.lit(3)).cast("int")) == 1
     terms = F.array_sort(F.filter(term_hashes(text), known))
     return _let(terms, lambda t: F.concat(*(_level(t, i, *level) for i, level in enumerate(LEVELS))))
 
 
-def with_fingerprint(df: DataFrame, lexicon_bits: DataFrame, text: str, to: str) -> DataFrame:
-    """Add the fingerprint of a text column.
-
-    The bitmap is a scalar subquery.  It is named once, so that the optimizer folds both projections into one and no
-    row ever holds the bitmap.
-    """
-    return (
-        df.withColumn("__bits", lexicon_bits.scalar())
-        .withColumn(to, fingerprint(F.col(text), F.col("__bits")))
-        .drop("__bits")
-    )
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two fingerprints, 0 to 1."""
     counts, at = [], 0
@@ -191,12 +178,12 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bits = lexicon(docs)
-    rows = with_next(with_fingerprint(docs, bits, "text", "fingerprint"), ["text", "fingerprint"])
+    rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"), bits)), ["text", "fingerprint"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
-    rows = with_fingerprint(rows, bits, "edited", "edited_fingerprint")
+    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"), bits))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.fingerprints import op4_imatch_fingerprints
+from canvass.llm.mixing import op1_temperature_mixing
 from canvass.llm.packing import op5_best_fit_packing
 from canvass.llm.quality import op3_quality_forest
 from canvass.llm.secret_scan import op8_secret_scan
@@ -14,6 +15,6 @@ from canvass.llm.toxicity import op10_toxicity_ftrl
 from canvass.llm.warc import OP7_SQL, op7_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op7_warc_roundtrip, op8_secret_scan, op10_toxicity_ftrl)
+    f.__name__: f for f in (op1_temperature_mixing, op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op7_warc_roundtrip, op8_secret_scan, op10_toxicity_ftrl)
 }
 ORACLE_SQL: dict[str, str] = {"op7_warc_roundtrip": OP7_SQL}

@@ -11,11 +11,12 @@ from canvass.llm.mixing import op1_temperature_mixing
 from canvass.llm.packing import op5_best_fit_packing
 from canvass.llm.quality import op3_quality_forest
 from canvass.llm.secret_scan import op8_secret_scan
+from canvass.llm.similarity_join import op2_ngram_jaccard_join
 from canvass.llm.toolchat import OP6_SQL, op6_tool_call_chat
 from canvass.llm.toxicity import op10_toxicity_ftrl
 from canvass.llm.warc import OP7_SQL, op7_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_temperature_mixing, op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op6_tool_call_chat, op7_warc_roundtrip, op8_secret_scan, op10_toxicity_ftrl)
+    f.__name__: f for f in (op1_temperature_mixing, op2_ngram_jaccard_join, op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op6_tool_call_chat, op7_warc_roundtrip, op8_secret_scan, op10_toxicity_ftrl)
 }
 ORACLE_SQL: dict[str, str] = {"op6_tool_call_chat": OP6_SQL, "op7_warc_roundtrip": OP7_SQL}

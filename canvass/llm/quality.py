@@ -14,7 +14,7 @@ through.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -171,10 +171,12 @@ def _clashless(labels: DataFrame, keep: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(keep).isNotNull()).groupBy("doc_id").agg(F.min(keep).alias("__label"))
 
 
-def judge(stats: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, good_loss: float = GOOD_LOSS) -> DataFrame:
-    """Add ``anomaly`` and ``kept`` to a table with ``doc_id`` and a struct ``rules`` of COUNTS.
+def fit(
+    stats: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, good_loss: float = GOOD_LOSS
+) -> Callable[[DataFrame], DataFrame]:
+    """Grow the forest and set its threshold on a table with ``doc_id`` and a struct ``rules`` of COUNTS.
 
-    The table is read several times: give it from a stored table.
+    The table is read twice: give a stored one.  Returns what adds ``anomaly`` and ``kept`` to a table with ``rules``.
     """
     spark = stats.sparkSession
     fair = stats.where(~base_failed(F.col("rules"))).select("doc_id", "rules")
@@ -198,12 +200,23 @@ def judge(stats: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS,
         .first()["q"]
     )
     limit = DEFAULT_THRESHOLD if limit is None else float(limit)
-    scored = stats.withColumn("anomaly", anomaly("rules"))
-    return scored.withColumn("kept", ~base_failed(F.col("rules")) & (F.col("anomaly") <= F.lit(limit)))
+
+    def judge(table: DataFrame) -> DataFrame:
+        scored = table.withColumn("anomaly", anomaly("rules"))
+        return scored.withColumn("kept", ~base_failed(F.col("rules")) & (F.col("anomaly") <= F.lit(limit)))
+
+    return judge
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that base rules and forest keep, with the columns of docs."""
+    ruled = docs.withColumn("rules", rule_statistics(F.col("text")))
+    judge = fit(stored(ruled.select("doc_id", "rules"), "rules"), labels)
+    return judge(ruled).where("kept").select(*docs.columns)
 
 
 def op3_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(documents(spark, sf_dir).select("doc_id", rule_statistics(F.col("text")).alias("rules")), "rules")
-    judged = judge(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))(stats)
     counts = [F.col(f"rules.{c}").alias(c) for c in COUNTS[:5]]
     return judged.select("doc_id", *counts, base_failed(F.col("rules")).alias("base_failed"), "kept", "anomaly")

@@ -283,5 +283,24 @@ def _paired(postings: DataFrame, label: DataFrame) -> DataFrame:
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each component of similar ones, that with the smallest id; with the columns of docs.
+
+    Of rows repeated with one id the smallest stays; rows without an id all stay.
+    """
+    found = stored(similar_components(docs), "components").where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    rejected = ids.where("doc_id <> component_id").select("doc_id")
+    repeated = ids.where("doc_id = component_id AND n > 1").select("doc_id")
+    alone = docs.join(rejected.union(repeated), "doc_id", "left_anti")
+    first = (
+        docs.join(repeated, "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
+        .select("doc_id", "row.*")
+    )
+    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))

@@ -38,9 +38,9 @@ def rule(df: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> Column
     return reduce(lambda a, b: a & b, (F.coalesce(condition(df, *c), F.lit(False)) for c in conditions), F.lit(True))
 
 
-def positions(df: DataFrame, key: str, to: str = "position") -> DataFrame:
-    """Number rows from 0 by a unique key."""
-    return running_sum(df.withColumn("__one", F.lit(1)), key, "__one", to=to).drop("__one")
+def positions(df: DataFrame, key: str, to: str = "position", then: Sequence[str] = ()) -> DataFrame:
+    """Number rows from 0 by a key, and rows of equal keys by further columns, which together are unique."""
+    return running_sum(df.withColumn("__one", F.lit(1)), key, "__one", to=to, then=then).drop("__one")
 
 
 def range_of(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
@@ -115,7 +115,8 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def shuffled_positions(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Each id with its place, from 0, in an order drawn from the seed."""
-    return positions(df.select(key, F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("k")).alias("__o")).withColumn("__h", F.col("__o.h")), "__h").select(key, "position")
+    drawn = df.select(key, F.xxhash64(key, F.lit(seed)).alias("__h"))
+    return positions(drawn, "__h", then=[key]).select(key, "position")
 
 
 def holdout(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -133,8 +134,8 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Jaccard and overlap coefficients of two sets of ids."""
     both = a.select(key, F.lit(1).alias("a")).join(b.select(key, F.lit(1).alias("b")), key, "full")
-    s = both.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
-    return s.select("n_a", "n_b", "both", F.try_divide(F.col("both"), F.col("n_a") + F.col("n_b") - F.col("both")).alias("jaccard"), F.try_divide(F.col("both"), F.least("n_a", "n_b")).alias("overlap"))
+    s = both.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"))
+    return s.select("n_a", "n_b", "n_both", F.try_divide(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("jaccard"), F.try_divide(F.col("n_both"), F.least("n_a", "n_b")).alias("overlap"))
 
 
 def borda(scores: DataFrame, item: str, method: str, value: str) -> DataFrame:

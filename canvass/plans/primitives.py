@@ -97,13 +97,13 @@ def bucketed(df: DataFrame, key: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     return df.withColumn("__bucket", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))))
 
 
-def running_sum(df: DataFrame, key: str, value: str, by: Sequence[str] = (), to: str = "before") -> DataFrame:
-    """Add the sum of value over all rows with a smaller key; keys must be distinct within by.
+def running_sum(df: DataFrame, key: str, value: str, by: Sequence[str] = (), to: str = "before", then: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of value over all rows with a smaller (key, *then), which must be distinct within by.
 
     Sums run within ranges of the key and over the ranges' totals: no window spans the table.
     """
     ranged = bucketed(df, key)
-    inner = Window.partitionBy(*by, "__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*by, "__bucket").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "__bucket").agg(F.sum(value).alias("__t"))  # at most RANK_BUCKETS rows a group
     totals = totals.withColumn("__o", F.coalesce(F.sum("__t").over(outer), F.lit(0))).drop("__t")

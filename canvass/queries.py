@@ -431,13 +431,13 @@ def grouped_histogram(spark, sf_dir):
 @query("""
 WITH q AS (SELECT c_mktsegment, count(*) AS n, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS median, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1),
 f AS (SELECT *, q1 - 0.5 * (q3 - q1) AS lo, q3 + 0.5 * (q3 - q1) AS hi FROM q)
-SELECT c_mktsegment, n, round(q1, 2) AS q1, round(median, 2) AS median, round(q3, 2) AS q3, round(lo, 2) AS low_fence, round(hi, 2) AS high_fence,
+SELECT c_mktsegment, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS low_fence, round(hi, 6) AS high_fence,
   min(c_acctbal) FILTER (c_acctbal BETWEEN lo AND hi) AS low_whisker, max(c_acctbal) FILTER (c_acctbal BETWEEN lo AND hi) AS high_whisker,
   count(*) FILTER (c_acctbal NOT BETWEEN lo AND hi) AS n_outside FROM customer JOIN f USING (c_mktsegment) GROUP BY ALL
 """)
 def box_stats(spark, sf_dir):
     out = distribution.box_stats(read(spark, sf_dir, "customer"), "c_acctbal", ["c_mktsegment"], 0.5)
-    return rounded(out, 2, "q1", "median", "q3", "low_fence", "high_fence")
+    return rounded(out, 6, "q1", "median", "q3", "low_fence", "high_fence")
 
 
 @query("""

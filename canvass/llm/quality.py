@@ -7,8 +7,8 @@ a few MB whatever the corpus holds; every document is scored.  The threshold is
 no more than ``GOOD_LOSS`` of *all* labelled good rows lie.
 
 Defined results: a null or empty text has no words and fails the base rules;
-ties at the threshold are kept; with no good labelled row the threshold is
-``DEFAULT_THRESHOLD``; repeated rows are judged alike; further columns pass
+ties at the threshold are kept; with labelled rows but no good one the threshold
+is ``DEFAULT_THRESHOLD``, and with no labelled row only the base rules decide; repeated rows are judged alike; further columns pass
 through.
 """
 
@@ -199,7 +199,9 @@ def fit(
         .select(F.percentile_approx(anomaly("rules"), F.lit(1 - good_loss), F.lit(100_000)).alias("q"))
         .first()["q"]
     )
-    limit = DEFAULT_THRESHOLD if limit is None else float(limit)
+    if limit is None:
+        limit = DEFAULT_THRESHOLD if len(rows) else 1.0
+    limit = float(limit)
 
     def judge(table: DataFrame) -> DataFrame:
         scored = table.withColumn("anomaly", anomaly("rules"))

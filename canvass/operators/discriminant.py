@@ -114,10 +114,11 @@ def posterior(df: DataFrame, m: ClassMoments, quadratic_form: bool = False, equa
         inv, mu = np.linalg.inv(s), m.mean[i]
         d = linear(inv @ mu, x, math.log(prior[i]) - mu @ inv @ mu / 2)
         scores.append(d - quadratic(inv, x) / 2 - math.log(np.linalg.det(s)) / 2 if quadratic_form else d)
-    best = F.greatest(*scores)
-    e = [F.exp(s - best) for s in scores]
-    total = sum(e[1:], e[0])
-    out = df.withColumns({f"p_{c}": e[i] / total for i, c in enumerate(m.classes)})
+    named = df.withColumns({f"__s{i}": c for i, c in enumerate(scores)})
+    best = F.greatest(*(F.col(f"__s{i}") for i in range(g)))
+    e = named.withColumns({f"__s{i}": F.exp(F.col(f"__s{i}") - best) for i in range(g)})
+    total = sum((F.col(f"__s{i}") for i in range(1, g)), F.col("__s0"))
+    out = e.withColumns({f"p_{c}": F.col(f"__s{i}") / total for i, c in enumerate(m.classes)}).drop(*(f"__s{i}" for i in range(g)))
     top = F.greatest(*(F.struct(F.col(f"p_{c}").alias("p"), F.lit(c).alias("c")) for c in m.classes))
     return out.withColumn("predicted", top["c"])
 

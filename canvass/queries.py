@@ -7,22 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.codebook import Codebook, Design, Group, Variable, valid_code
+from canvass.codebook import Codebook, Design, Group, Variable
 from canvass.functions import expr
-from canvass.functions.columns import half_even, ratio, wilson
-from canvass.operators import (
-    crosstab,
-    distribution,
-    factorial,
-    inference,
-    multiresponse,
-    regression,
-    selection,
-    summaries,
-    survey,
-    transform,
-)
-from canvass.plans.primitives import group_moments, value_ranks
+from canvass.operators import crosstab, distribution, inference, multiresponse, summaries, transform
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

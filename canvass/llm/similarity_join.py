@@ -10,9 +10,10 @@ pair, through only if every one of them allows it:
    prefix) are counted; who has more tokens there that no other set has than the
    bound allows cannot have a partner.  Sets that are equal count once.
 2. over whole sets of those who are left: the same bound on all tokens.
-3. rarest first (document frequency, then hash) gives the candidate pairs;
-   orders by the frequency's magnitude with other hashes must have a common
-   prefix token as well, and the sizes must fit.
+3. rarest first (document frequency, then hash) gives the candidate pairs, if
+   sizes and the tokens left from the common one on allow it; orders by the
+   frequency's magnitude with other hashes must have a common prefix token as
+   well.
 
 Every pair that comes through is verified exactly on the whole sets.  Linked
 documents are looked for as components: in two rounds each prefix token links
@@ -137,33 +138,66 @@ def _without_alone(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     return nodes.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) <= allowance(F.col("n"))).select("node", "n")
 
 
-def _orders(df: Column, token: Column) -> list[Column]:
-    """Keys of the global orders after the first: each a struct, smallest first."""
-    magnitude = F.floor(F.log2(df)).cast("int")
-    return [
-        F.struct(df.alias("rank"), token.alias("mixed")),
-        F.struct(magnitude.cast("long").alias("rank"), F.xxhash64(token, F.lit(1)).alias("mixed")),
-        F.struct(F.floor(magnitude / 2).cast("long").alias("rank"), F.xxhash64(token, F.lit(2)).alias("mixed")),
-    ]
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of shared tokens under three orders, of rows with a set's node, n and found (its shared tokens and their
+    document frequencies): by frequency, by its magnitude, and by half of that, each then by another hash.
+
+    Tokens that no other set has come first under each of them and take their part of the prefix.
+    """
+    for batch in batches:
+        nodes, sizes, found = batch.column("node"), batch.column("n").to_numpy(), batch.column("found")
+        offsets, flat = found.offsets.to_numpy(), found.values
+        tokens, dfs = flat.field("token").to_numpy(), flat.field("df").to_numpy()
+        kept, p0, rest, others = [], [], [], ([], [])
+        for i, n in enumerate(sizes.tolist()):
+            own, df = tokens[offsets[i] : offsets[i + 1]], dfs[offsets[i] : offsets[i + 1]]
+            alone = n - len(own)
+            take = n - -(-n * PERCENT // 100) + 1 - alone
+            if take <= 0:
+                continue
+            first = np.lexsort((own, df))[:take]
+            magnitude = np.floor(np.log2(df))
+            kept.append(i)
+            p0.append(own[first])
+            rest.append(n - alone - np.arange(len(first)))
+            for k, rank in enumerate((magnitude, magnitude // 2)):
+                mixed = wordhash.mix(own.view(np.uint64) + np.uint64(k + 1))
+                others[k].append(own[np.lexsort((mixed, rank))[:take]])
+        if not kept:
+            continue
+        at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in p0]))).astype(np.int32))
+        listed = lambda parts, at=at: pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts)))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(p0)), pa.array(np.concatenate(rest))], names=["token", "rest"])
+        take_rows = pa.array(kept, type=pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [nodes.take(take_rows), batch.column("n").take(take_rows), pa.ListArray.from_arrays(at, pairs), listed(others[0]), listed(others[1])],
+            names=["node", "n", "p0", "p1", "p2"],
+        )
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Sets (node, n, tokens) with the prefixes p0, p1, p2 of shared tokens under three orders."""
+    """Sets (node, n, tokens) with their prefixes of shared tokens under three orders.
+
+    p0 has with each token how many tokens of the set are left from it on.
+    """
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    listed = (
-        each.join(shared, "token")
-        .groupBy("node", "n")
-        .agg(F.collect_list(F.struct("token", "df")).alias("found"))  # no longer than the document
-        .withColumn("take", (allowance(F.col("n")) + 1 - (F.col("n") - F.size("found"))).cast("int"))
-        .where("take > 0")
+    listed = each.join(shared, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("found"))  # of one document
+    return listed.mapInArrow(
+        _prefixes, "node long, n long, p0 array<struct<token:bigint,rest:bigint>>, p1 array<bigint>, p2 array<bigint>"
     )
 
-    def prefix(i: int) -> Column:
-        keyed = F.transform("found", lambda x: F.struct(_orders(x["df"], x["token"])[i].alias("o"), x["token"].alias("token")))
-        return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("take")), lambda x: x["token"])
 
-    return listed.select("node", "n", *(prefix(i).alias(f"p{i}") for i in range(3)))
+def _fits(a: str, b: str) -> Column:
+    """Whether two sets of n tokens, of which ``rest`` are left from a common one on, may be similar.
+
+    If that token is their first common one then no more than the smaller rest is common.  A similar pair passes at its
+    first common token, and what fails there fails at all later ones.
+    """
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return ((100 + PERCENT) * F.least(f"{a}.rest", f"{b}.rest") >= PERCENT * n) & (
+        100 * F.least(f"{a}.n", f"{b}.n") >= PERCENT * F.greatest(f"{a}.n", f"{b}.n")
+    )
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,15 +247,24 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
     few = _without_alone(sets.select("node", "n"), sets.select(F.explode("tokens").alias("token"), "node"))
     sets = stored(sets.join(few.select("node"), "node", "left_semi"), "sets-left")
     ranked = stored(candidates(sets), "ranked")
-    postings = stored(ranked.select("node", F.explode("p0").alias("token")), "postings")
+    own = (F.col("p0")[0]["rest"] / F.col("n")).alias("shared")  # the share of tokens that other sets have too
+    postings = stored(ranked.select("node", "n", own, F.explode("p0").alias("p")).select("node", "n", "shared", "p.*"), "postings")
     label = components = None
     links = None
-    for pick in (F.min, F.max):
+    # first the document with the fewest tokens of its own is the hub: copies are alike to it before they are to another
+    for rank in (F.col("shared"), -F.col("node").cast("double")):
         mine = postings if label is None else _open(postings, label)
-        hub = mine.groupBy("token").agg(pick("node").alias("hub"))
-        pairs = mine.join(hub, "token").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        hub = mine.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "node", "n", "rest")).alias("h")).select("token", "h.*")
+        met = (
+            mine.alias("x")
+            .join(hub.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _fits("x", "y"))
+            .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            .agg(F.count("*").alias("common"))
+        )
         if label is not None:
-            pairs = _across(pairs.distinct(), label)
+            met = _across(met, label)
+        # a node tries the hub with which it has most in common; what that leaves unlinked is for the last step
+        pairs = met.groupBy("a").agg(F.max(F.struct("common", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
         found = stored(_verified(pairs.distinct(), ranked, sets), "links")
         links = found if links is None else links.union(found)
         components = connected_components(links)
@@ -251,7 +294,7 @@ def _open(postings: DataFrame, label: DataFrame) -> DataFrame:
     """The postings of tokens whose documents are in more than one component."""
     named = postings.join(label, "node")
     several = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return named.join(several.select("token"), "token", "left_semi").select("token", "node")
+    return postings.join(several.select("token"), "token", "left_semi")
 
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -260,25 +303,41 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
         pairs.join(side("a"), F.col("a") == F.col("node_a"))
         .join(side("b"), F.col("b") == F.col("node_b"))
         .where("component_a <> component_b")
-        .select("a", "b")
+        .select(*pairs.columns)
     )
 
 
 def _paired(postings: DataFrame, label: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes of different components that share a token.
+    """Distinct pairs of nodes of different components that share a token at which they may be similar.
 
-    Components that share a token are paired first, their members only then: no pair within a component is made.
+    Components that share a token are paired first, as far as the best of their members fit, and members only then: no
+    pair within a component is made.
     """
-    named = postings.join(label, "node")
-    met = named.select("token", "component").distinct()
-    other = met.select(F.col("token").alias("token_b"), F.col("component").alias("component_b"))
-    pairs = met.join(other, (F.col("token") == F.col("token_b")) & (F.col("component") < F.col("component_b")))
-    first = named.select(F.col("token").alias("t1"), F.col("component").alias("c1"), F.col("node").alias("x"))
-    second = named.select(F.col("token").alias("t2"), F.col("component").alias("c2"), F.col("node").alias("y"))
+    named = stored(postings.join(label, "node"), "named")
+    met = named.groupBy("token", "component").agg(
+        F.count("*").alias("size"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest")
+    )
+    x, y = met.alias("x"), met.alias("y")
+    may = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
+    may = may & ((100 + PERCENT) * F.least("x.rest", "y.rest") >= PERCENT * (F.col("x.n") + F.col("y.n")))
+    may = may & (100 * F.col("x.most") >= PERCENT * F.col("y.n")) & (100 * F.col("y.most") >= PERCENT * F.col("x.n"))
+    side = lambda k: F.struct(*(F.col(f"{k}.{c}") for c in ("component", "n", "most", "rest")))
+    smaller = F.col("x.size") <= F.col("y.size")
+    pairs = x.join(y, may).select(
+        F.col("x.token").alias("token"),
+        F.when(smaller, F.col("x.component")).otherwise(F.col("y.component")).alias("c"),  # its members come first
+        F.when(smaller, side("y")).otherwise(side("x")).alias("d"),
+    )
+    first, second = named.alias("f"), named.alias("g")
+    fits_some = (100 + PERCENT) * F.least("f.rest", "p.d.rest") >= PERCENT * (F.col("f.n") + F.col("p.d.n"))
+    fits_some = fits_some & (100 * F.col("f.n") >= PERCENT * F.col("p.d.n")) & (100 * F.col("p.d.most") >= PERCENT * F.col("f.n"))
     return (
-        pairs.join(first, (F.col("token") == F.col("t1")) & (F.col("component") == F.col("c1")))
-        .join(second, (F.col("token") == F.col("t2")) & (F.col("component_b") == F.col("c2")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs.alias("p")
+        .join(first, (F.col("p.token") == F.col("f.token")) & (F.col("p.c") == F.col("f.component")) & fits_some)
+        .select(F.col("p.token").alias("token"), F.col("p.d.component").alias("d"), F.col("f.node").alias("node"), F.col("f.n").alias("n"), F.col("f.rest").alias("rest"))
+        .alias("f")
+        .join(second, (F.col("f.token") == F.col("g.token")) & (F.col("f.d") == F.col("g.component")) & _fits("f", "g"))
+        .select(F.least("f.node", "g.node").alias("a"), F.greatest("f.node", "g.node").alias("b"))
         .distinct()
     )
 

@@ -4,8 +4,8 @@ Each coordinate has its own learning rate, and the L1 term keeps only weights
 that earn their place, so that the model is a short list of (slot, weight) pairs
 of at most ``SLOTS`` and can be broadcast whatever the corpus holds.  The fit
 uses a bounded sample of labelled rows (``MAX_FIT_ROWS``, by the hash of their
-id), dealt into shards that learn side by side; their weights are averaged and
-carried into the next round.  Scoring is one narrow map over all whole texts.
+id).  With more than ``SHARD_ROWS`` of them, shards learn side by side and their
+weights are averaged and carried into the next of ``ROUNDS`` rounds.  Scoring is one narrow map over all whole texts.
 
 Words are runs of bytes other than ASCII punctuation and white space, A-Z in
 lower case.  A document's features are the distinct slots of its words, its
@@ -32,10 +32,10 @@ from canvass.llm import wordhash
 from canvass.llm.storage import documents, stored
 
 MAX_FIT_ROWS = 20_000
-SHARD_ROWS, ROUNDS, PASSES = 5_000, 2, 5
+SHARD_ROWS, ROUNDS, PASSES = 20_000, 1, 3
 SLOTS = 1 << 20
 #: L1 holds for a full shard and shrinks with smaller ones, down to L1_LEAST.
-ALPHA, BETA, L1, L1_LEAST, L2 = 1.0, 1.0, 6.0, 1.0, 0.1
+ALPHA, BETA, L1, L1_LEAST, L2 = 1.0, 1.0, 12.0, 1.0, 0.1
 CUTOFF = 0.3
 
 _U = np.uint64

@@ -1,20 +1,26 @@
 """Stupid-backoff language-model scores of all documents under the counts of all documents.
 
-A word w after v scores c(v w) / c(v) if the pair was counted ``MIN_COUNT`` times
-or more, else ``BACKOFF`` * c(w) / N; a document's score is the sum of the
-logarithms.  Counts are of the whole corpus.
+With n-grams of up to ``order`` words, a word w after the words v scores
+c(v w) / c(v) if v w was counted ``MIN_COUNT`` times or more, else ``BACKOFF`` times
+its score after v without its first word; without words before it, c(w) / N.  v are
+the order - 1 words before w, or as many as there are.  A document's score is the sum
+of the logarithms.  Counts are of the whole corpus.
 
 n-grams travel as 64-bit hashes.  Documents are dealt into blocks of about
 ``BLOCK_BYTES``; a block counts its own distinct n-grams before anything is
 shuffled, so that even the most common pair is one entry of a block.  The count
 tables are partitioned by hash: each bucket adds up the blocks' counts of its
 n-grams and answers every block with the totals in the order in which it asked.
-Totals and texts of a block then meet (one shuffle of the texts serves both
+Words and pairs are asked for in one step, each longer order in a step of its own.
+An n-gram is counted no more often than the two shorter ones in it, so a longer step
+asks only for those whose two parts have ``MIN_COUNT``: no score can use another.
+Totals and texts of a block then meet (one shuffle of the texts serves all
 steps) and are summed per document.  Volumes grow in proportion to the corpus,
 and no group is larger than a block or a bucket.
 
 Defined results: words are runs of non-space characters, A-Z in lower case; a
-null or empty text has no words, score 0 and a null mean; repeated rows count as
+null or empty text has no words, score 0 and a null mean; n_backoff counts the words
+that were backed off from their longest context; repeated rows count as
 often as they occur; an empty table gives no rows; further columns are ignored.
 """
 
@@ -30,17 +36,67 @@ from canvass.llm.storage import documents
 
 MIN_COUNT, BACKOFF = 2, 0.4
 BLOCK_BYTES = 8 << 20
+#: The order of ``op9_stupid_backoff_order3``.
+ORDER = 3
 #: The bucket in which blocks report how many words they have.
 _WORDS = -1
+_ASKED = "step int, bucket long, block long, hashes binary, counts binary"
+_ANSWERS = "step int, bucket long, block long, totals binary"
 _SCORES = "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double"
 
 
-def _ngrams(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word hashes of each text; all words, then all pairs of neighbours."""
-    words = [w.copy() for w in wordhash.hashed_texts(texts, fold=True)]
-    pairs = [wordhash.ngram_hashes(w, 2) for w in words]
-    none = np.empty(0, dtype=np.uint64)
-    return words, np.concatenate([none, *words]), np.concatenate([none, *pairs])
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values, all first bytes, then all second ones and so on: the shuffle's compression then finds the zeros."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class _Block:
+    """The words of a block's texts one after the other, and the totals of n-grams that end in them."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        words = [w.copy() for w in wordhash.hashed_texts(texts, fold=True)]
+        self.words = np.concatenate([np.empty(0, dtype=np.uint64), *words])
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.place = np.arange(len(self.words)) - np.repeat(self.begin[:-1], self.sizes)  # of a word in its text
+        self.totals: dict[int, np.ndarray] = {}
+        self.n_all = 0
+
+    def _ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams end that a score can need, and their hashes."""
+        at = np.flatnonzero(self.place >= n - 1)
+        hashes = wordhash.ngram_hashes(self.words, n)[at - (n - 1)] if n > 1 else self.words
+        if n > 2:
+            shorter = self.totals[n - 1] >= MIN_COUNT
+            some = shorter[at] & shorter[at - 1]
+            at, hashes = at[some], hashes[some]
+        return at, hashes
+
+    def asked(self, step: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+        """Orders of a step with the ends of their n-grams, and the hashes of all of them."""
+        found = {n: self._ending(n) for n in ((1, 2) if step == 2 else (step,))}
+        return [(n, at) for n, (at, _) in found.items()], np.concatenate([h for _, h in found.values()])
+
+    def learn(self, step: int, answers: pa.Table) -> None:
+        orders, hashes = self.asked(step)
+        answers = answers.sort_by("bucket")
+        buckets, packed = answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()
+        if buckets[:1] == [_WORDS]:
+            self.n_all = int(_unpacked(packed.pop(0))[0])
+        _, which = np.unique(hashes, return_inverse=True)
+        counted = np.concatenate([np.empty(0, dtype=np.int64), *(_unpacked(x).astype(np.int64) for x in packed)])[which]
+        for n, at in orders:
+            self.totals[n] = np.zeros(len(self.words), dtype=np.int64)
+            self.totals[n][at], counted = counted[: len(at)], counted[len(at) :]
+
+    def learn_all(self, answers: pa.Table, last: int) -> None:
+        steps = np.asarray(answers.column("step")) if len(answers) else np.empty(0, dtype=np.int32)
+        for step in range(2, last + 1):
+            self.learn(step, answers.filter(pa.array(steps == step)))
 
 
 def _bucket_starts(entries: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -49,91 +105,102 @@ def _bucket_starts(entries: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(entries, cuts), [len(entries)]))
 
 
-def _asker(n_buckets: int):
-    def ask(block: pa.Table) -> pa.Table:
-        _, words, pairs = _ngrams(block.column("text"))
-        entries, counts = np.unique(np.concatenate([words, pairs]), return_counts=True)
-        starts = _bucket_starts(entries, n_buckets)
-        full = np.flatnonzero(np.diff(starts))
-        offsets = np.append(starts[full], len(entries)).astype(np.int32)
-        hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(entries.view(np.int64)))
-        counted = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64)))
-        who = block.column("block")[0].as_py()
-        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-        asked = pa.Table.from_arrays([pa.array(full), pa.array(np.full(len(full), who)), hashes, counted], schema=schema)
-        total = pa.Table.from_pylist([{"bucket": _WORDS, "block": who, "hashes": [0], "counts": [len(words)]}], schema=schema)
-        return pa.concat_tables([asked, total])
+def _asker(step: int, n_buckets: int):
+    def ask(texts: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        rows = []
+        if len(texts):
+            who = texts.column("block")[0].as_py()
+            block = _Block(texts.column("text"))
+            if answers is not None:
+                block.learn_all(answers, step - 1)
+            entries, counts = np.unique(block.asked(step)[1], return_counts=True)
+            starts = _bucket_starts(entries, n_buckets)
+            for b in np.flatnonzero(np.diff(starts)).tolist():
+                part = slice(starts[b], starts[b + 1])
+                hashes = np.diff(entries[part], prepend=np.uint64(0))  # steps between sorted hashes have few high bits
+                rows.append({"step": step, "bucket": b, "block": who, "hashes": _packed(hashes), "counts": _packed(counts[part])})
+            if step == 2:
+                number = np.array([len(block.words)])
+                rows.append({"step": step, "bucket": _WORDS, "block": who, "hashes": _packed(np.zeros(1)), "counts": _packed(number)})
+        schema = pa.schema([("step", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+        return pa.Table.from_pylist(rows, schema=schema)
 
-    return ask
+    return ask if step > 2 else lambda texts: ask(texts)
 
 
 def _add_up(bucket: pa.Table) -> pa.Table:
     """The total of each n-gram over all blocks, in the order of each block's request."""
-    hashes, counts = bucket.column("hashes").combine_chunks(), bucket.column("counts").combine_chunks()
-    _, which = np.unique(np.asarray(hashes.flatten()), return_inverse=True)
-    totals = np.bincount(which, weights=np.asarray(counts.flatten())).astype(np.int64)[which]
-    lengths = np.asarray(hashes.value_lengths())
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.Table.from_arrays(
-        [bucket.column("bucket"), bucket.column("block"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(totals))],
-        names=["bucket", "block", "totals"],
-    )
-
-
-def _score(block: pa.Table, answers: pa.Table) -> pa.Table:
-    texts, words, pairs = _ngrams(block.column("text"))
-    answers = answers.sort_by("bucket")
-    totals = np.asarray(answers.column("totals").combine_chunks().flatten()) if len(answers) else np.zeros(1, dtype=np.int64)
-    n_all, totals = totals[0], totals[1:]  # the bucket of the words' number sorts first
-    _, which = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-    counted = totals[which]
-    single, double = counted[: len(words)], counted[len(words) :]
-    sizes = np.array([len(w) for w in texts], dtype=np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    first = np.zeros(len(words), dtype=bool)
-    first[begin[:-1][sizes > 0]] = True
-    log = np.log(BACKOFF) + np.log(np.maximum(single, 1)) - np.log(max(n_all, 1))
-    log[first] -= np.log(BACKOFF)  # a first word has nothing to back off from
-    backed = ~first
-    later = np.flatnonzero(~first)
-    hit = double >= MIN_COUNT
-    log[later[hit]] = np.log(double[hit]) - np.log(single[later[hit] - 1])
-    backed[later[hit]] = False
-    score = np.array([log[a:b].sum() for a, b in zip(begin[:-1], begin[1:], strict=True)])
-    n_backed = np.concatenate(([0], np.cumsum(backed)))
-    mean = np.divide(score, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
-    return pa.Table.from_arrays(
-        [
-            block.column("doc_id"),
-            pa.array(sizes),
-            pa.array(n_backed[begin[1:]] - n_backed[begin[:-1]]),
-            pa.array(score, type=pa.float64()),
-            pa.array(mean, mask=sizes == 0, type=pa.float64()),
-        ],
-        names=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"],
-    )
-
-
-def backoff_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Score of each row of docs: doc_id, n_words, n_backoff, log_score, mean_log_score."""
+    hashes = [np.cumsum(_unpacked(x)) for x in bucket.column("hashes").to_pylist()]
+    counts = [_unpacked(x) for x in bucket.column("counts").to_pylist()]
+    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)[which]
+    parts = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
+    return bucket.select(["step", "bucket", "block"]).append_column("totals", pa.array([_packed(t) for t in parts], type=pa.binary()))
+
+
+def _scorer(order: int):
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(texts.column("text"))
+        block.learn_all(answers, max(order, 2))
+        log = np.log(np.maximum(block.totals[1], 1)) - np.log(max(block.n_all, 1))
+        backed = np.zeros(len(log), dtype=bool)
+        for n in range(2, order + 1):
+            later = np.flatnonzero(block.place >= n - 1)  # the others have no such context to back off from
+            total = block.totals[n][later]
+            hit = total >= MIN_COUNT
+            log[later[~hit]] += np.log(BACKOFF)
+            log[later[hit]] = np.log(total[hit]) - np.log(block.totals[n - 1][later[hit] - 1])
+            backed[later] = ~hit
+        begin, sizes = block.begin, block.sizes
+        score = np.array([log[a:b].sum() for a, b in zip(begin[:-1], begin[1:], strict=True)])
+        n_backed = np.concatenate(([0], np.cumsum(backed)))
+        mean = np.divide(score, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
+        return pa.Table.from_arrays(
+            [
+                texts.column("doc_id"),
+                pa.array(sizes),
+                pa.array(n_backed[begin[1:]] - n_backed[begin[:-1]]),
+                pa.array(score, type=pa.float64()),
+                pa.array(mean, mask=sizes == 0, type=pa.float64()),
+            ],
+            names=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"],
+        )
+
+    return score
+
+
+def backoff_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
+    """Score of each row of docs with n-grams of up to order words: doc_id, n_words, n_backoff, log_score, mean_log_score."""
+    if order < 1:
+        raise ValueError("order is 1 or more")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     blocks = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
-    )
-    asked = blocks.groupBy("block").applyInArrow(
-        _asker(n), "bucket long, block long, hashes array<long>, counts array<long>"
-    )
-    answers = asked.groupBy("bucket").applyInArrow(_add_up, "bucket long, block long, totals array<long>")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, _SCORES)
+    ).repartition(n, "block")  # by blocks here and below: the union of all answers then lies as each of them does
+    answers = None
+    for step in range(2, max(order, 2) + 1):
+        if answers is None:
+            asked = blocks.groupBy("block").applyInArrow(_asker(step, n), _ASKED)
+        else:
+            asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(step, n), _ASKED)
+        found = asked.groupBy("bucket").applyInArrow(_add_up, _ANSWERS).repartition(n, "block")
+        answers = found if answers is None else answers.unionByName(found)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order), _SCORES)
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", "n_words", "n_backoff", *(F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")))
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_backoff", *(F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score"))
-    )
+    return _rounded(backoff_scores(documents(spark, sf_dir)))
+
+
+def op9_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(backoff_scores(documents(spark, sf_dir), order=ORDER))
 
 
 OP9_SQL = r"""
@@ -164,3 +231,36 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_backoff, 0) A
   round(coalesce(log_score, 0), 4) AS log_score, round(log_score / len(words), 4) AS mean_log_score
 FROM w LEFT JOIN g USING (doc_id)
 """
+
+OP9_ORDER3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), t AS (
+  SELECT doc_id, words[i] AS w3, CASE WHEN i > 1 THEN words[i - 1] END AS w2, CASE WHEN i > 2 THEN words[i - 2] END AS w1
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)
+), u AS (
+  SELECT w3 AS a, count(*) AS c FROM t GROUP BY ALL
+), b AS (
+  SELECT w2 AS a, w3 AS b, count(*) AS c FROM t WHERE w2 IS NOT NULL GROUP BY ALL
+), d AS (
+  SELECT w1 AS a, w2 AS b, w3 AS c3, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY ALL
+), n AS (
+  SELECT count(*) AS n FROM t
+), s AS (
+  SELECT t.doc_id, CAST(CASE WHEN w2 IS NULL THEN FALSE WHEN w1 IS NULL THEN b2.c < 2 ELSE d.c < 2 END AS INTEGER) AS backed,
+    CASE WHEN w2 IS NULL THEN ln(u3.c) - ln(n.n)
+         WHEN d.c >= 2 THEN ln(d.c) - ln(b1.c)
+         WHEN b2.c >= 2 THEN ln(b2.c) - ln(u2.c) + CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4) END
+         ELSE ln(u3.c) - ln(n.n) + ln(0.4) + CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4) END END AS log
+  FROM t JOIN u AS u3 ON u3.a = t.w3 LEFT JOIN u AS u2 ON u2.a = t.w2
+  LEFT JOIN b AS b2 ON b2.a = t.w2 AND b2.b = t.w3 LEFT JOIN b AS b1 ON b1.a = t.w1 AND b1.b = t.w2
+  LEFT JOIN d ON d.a = t.w1 AND d.b = t.w2 AND d.c3 = t.w3 CROSS JOIN n
+), g AS (
+  SELECT doc_id, CAST(sum(backed) AS BIGINT) AS n_backoff, sum(log) AS log_score FROM s GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_backoff, 0) AS n_backoff,
+  round(coalesce(log_score, 0), 4) AS log_score, round(log_score / len(words), 4) AS mean_log_score
+FROM w LEFT JOIN g USING (doc_id)
+"""

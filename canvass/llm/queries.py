@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.fingerprints import op4_imatch_fingerprints
-from canvass.llm.language_model import OP9_SQL, op9_stupid_backoff
+from canvass.llm.language_model import OP9_ORDER3_SQL, OP9_SQL, op9_stupid_backoff, op9_stupid_backoff_order3
 from canvass.llm.mixing import op1_temperature_mixing
 from canvass.llm.packing import op5_best_fit_packing
 from canvass.llm.quality import op3_quality_forest
@@ -18,6 +18,6 @@ from canvass.llm.toxicity import op10_toxicity_ftrl
 from canvass.llm.warc import OP7_SQL, op7_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_temperature_mixing, op2_ngram_jaccard_join, op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op6_tool_call_chat, op7_warc_roundtrip, op8_secret_scan, op9_stupid_backoff, op10_toxicity_ftrl)
+    f.__name__: f for f in (op1_temperature_mixing, op2_ngram_jaccard_join, op3_quality_forest, op4_imatch_fingerprints, op5_best_fit_packing, op6_tool_call_chat, op7_warc_roundtrip, op8_secret_scan, op9_stupid_backoff, op9_stupid_backoff_order3, op10_toxicity_ftrl)
 }
-ORACLE_SQL: dict[str, str] = {"op6_tool_call_chat": OP6_SQL, "op7_warc_roundtrip": OP7_SQL, "op9_stupid_backoff": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_tool_call_chat": OP6_SQL, "op7_warc_roundtrip": OP7_SQL, "op9_stupid_backoff": OP9_SQL, "op9_stupid_backoff_order3": OP9_ORDER3_SQL}

@@ -9,14 +9,17 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canvass.llm import components, fingerprints, language_model, mixing, similarity_join, storage, toolchat, warc
+from canvass.llm import queries as llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -309,6 +312,39 @@ def test_backoff_scores_match_plain_counts(spark, docs):
     assert language_model.backoff_scores(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_takes_contexts_of_every_length(spark, docs, order):
+    rows = [(r[0], [w.lower() for w in WORD.findall(r[1] or "")]) for r in corpus()]
+    count = collections.Counter(tuple(w[i : i + n]) for _, w in rows for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    n_all = sum(len(w) for _, w in rows)
+
+    def score(context, word):
+        if not context:
+            return count[(word,)] / n_all
+        if count[(*context, word)] >= 2:
+            return count[(*context, word)] / count[context]
+        return 0.4 * score(context[1:], word)
+
+    want = []
+    for d, w in rows:
+        contexts = [tuple(w[max(0, i - order + 1) : i]) for i in range(len(w))]
+        backed = sum(bool(c) and count[(*c, x)] < 2 for c, x in zip(contexts, w, strict=True))
+        want.append((d, len(w), backed, round(sum(math.log(score(c, x)) for c, x in zip(contexts, w, strict=True)), 6)))
+    for block_bytes in (3000, 1 << 20):
+        got = language_model.backoff_scores(docs, block_bytes=block_bytes, order=order).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 6)) for r in got) == sorted(want)
+    assert language_model.backoff_scores(docs.limit(0), order=order).collect() == []
+
+
+def test_backoff_query_of_order_three_matches_its_sql(spark):
+    got = llm_queries.QUERIES["op9_stupid_backoff_order3"](spark, SF).toPandas().sort_values(["doc_id"]).reset_index(drop=True)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = db.execute(llm_queries.ORACLE_SQL["op9_stupid_backoff_order3"]).df().sort_values(["doc_id"]).reset_index(drop=True)
+    assert got["n_backoff"].tolist() == want["n_backoff"].tolist() and got["n_words"].tolist() == want["n_words"].tolist()
+    assert np.allclose(got["log_score"], want["log_score"], atol=2e-4)
+
+
 # --- pipeline
 
 

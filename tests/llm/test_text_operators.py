@@ -95,6 +95,23 @@ def test_encoded_secrets_are_read_before_they_are_reported():
     assert kinds(base64.b64encode(ssh[:-2]).decode()) == []
 
 
+def test_short_keys_are_found_whatever_else_the_text_holds():
+    p256, p384 = _der(6, bytes.fromhex("2a8648ce3d030107")), _der(6, bytes.fromhex("2b81040022"))
+    small = lambda n: bytes(i * 7 % 251 for i in range(1, n + 1))
+    sec1 = lambda n, curve: _der(0x30, _der(2, b"\x01") + _der(4, small(n)) + _der(0xA0, curve))
+    bare = _der(0x30, _der(2, b"\x01") + _der(4, small(32)))
+    algorithm = _der(0x30, _der(6, bytes.fromhex("2a8648ce3d0201")) + p256)
+    pkcs8 = _der(0x30, _der(2, b"\x00") + algorithm + _der(4, bare))
+    tiny = _der(0x30, _der(2, small(27)))
+    found = {base64.b64encode(k).decode()[:2]: base64.b64encode(k).decode() for k in (tiny, sec1(32, p256), sec1(48, p384), pkcs8)}
+    assert set(found) == {"MB", "MD", "ME"}
+    for text in found.values():
+        assert not any(pair in text for pair in ("MI", "MC", "MF", "MG", "MH"))
+        for around in (f"x {text} y", f"x {text} y 5 MHz"):
+            assert [s for s in secret_scan.find_spans(around) if s[1] == 5] == [(2, 5, 2 + len(text))]
+        assert secret_scan.masked(f"x {text} y") == "x [SECRET] y"
+
+
 def test_masking_merges_spans_and_keeps_the_rest():
     assert secret_scan.masked("a password=hunter22 b") == "a [SECRET] b"
     assert secret_scan.masked("token: " + "ab12" * 8 + "!") == "[SECRET]!"

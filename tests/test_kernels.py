@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from canvass.codebook import Codebook, CodebookError, Design, Group, Variable, score, with_orders
 from canvass.functions import dist, expr
-from canvass.operators import cluster, conjoint, distribution, efa, factorial, inference, mining, multiresponse, regression, summaries, survey
+from canvass.operators import cluster, conjoint, distribution, efa, factorial, inference, mining, multiresponse, regression, summaries, survey, transform
 from canvass.plans.primitives import complete, gram
 
 
@@ -258,3 +258,30 @@ def test_rules_are_found_and_verified(spark):
     assert {c[2] for c in best["rule"]} == {"b", "y"}
     found = mining.verify(df, F.col("y"), {best["rule"]: (F.col("g") == "b") & (F.col("h") == "y")}, F.col("id") % 2 == F.col("id") % 2).collect()
     assert found[0]["status"] == "replicated" and found[0]["effect"] == pytest.approx(best["effect"])
+
+
+def test_knn_imputation_takes_the_nearest_of_all_donors(spark):
+    n, step = 9000, 10
+    rng = np.random.default_rng(3)
+    x, u = rng.normal(size=n), np.round(rng.normal(size=n), 1)
+    y = np.sin(3 * x) + u
+    rows = [(i, None if i % step == 0 else float(y[i]), float(x[i]), None if i % 97 == 0 else float(u[i])) for i in range(n)]
+    df = spark.createDataFrame([*rows, rows[0]], "id long, y double, x double, u double")
+    all_rows = [*rows, rows[0]]
+    cols = [np.array([np.nan if r[j] is None else r[j] for r in all_rows]) for j in (2, 3)]
+    z = np.column_stack([np.nan_to_num((c - np.nanmean(c)) / np.nanstd(c)) for c in cols])
+    has = np.array([r[1] is not None for r in all_rows])
+    given = np.array([r[1] for r in all_rows if r[1] is not None])
+    want = []
+    for r, at in zip(all_rows, z, strict=True):
+        if r[1] is None:
+            d = np.sqrt(((z[has] - at) ** 2).sum(axis=1))
+            near = np.argsort(d, kind="stable")[:5]
+            w = 1 / (d[near] + 1e-9)
+            want.append((r[0], float((w * given[near]).sum() / w.sum())))
+    for blocks in ({}, {"donor_block": 700, "query_block": 300}):
+        out = transform.fill_knn(df, "y", ["x", "u"], "id", **blocks).collect()
+        assert len(out) == len(all_rows)
+        got = sorted((r["id"], r["y"]) for r in out if r["id"] % step == 0)
+        assert [i for i, _ in got] == sorted(i for i, _ in want)
+        assert [v for _, v in got] == pytest.approx([v for _, v in sorted(want)], rel=1e-6)

@@ -8,15 +8,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.codebook import CodebookError, Variable, position, valid_code
 from canvass.functions import dist
 from canvass.functions.columns import finite
-from canvass.plans.primitives import complete, gram, linear
+from canvass.plans.primitives import WIDE, complete, gram, linear
 
 LOWER, BOUNDARY = 0.005, 1e-6
+#: Values that one task ranks, and values that one job permutes, in parallel analysis.
+PERMUTED_BLOCK, JOB_ROWS = 100_000, 20_000_000
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
@@ -235,18 +237,48 @@ def score_columns(f: Factors, r: np.ndarray, df: DataFrame, columns: Sequence[st
     return df.withColumns({f"factor{j + 1}": linear(w[:, j], z) for j in range(w.shape[1])})
 
 
-def parallel(df: DataFrame, columns: Sequence[str], key: str, replicates: int = 50, quantile: float = 0.95, sample: int = 2000, seed: int = 42) -> tuple[np.ndarray, np.ndarray, int]:
+def permuted(rows: DataFrame, columns: Sequence[str], key: str, replicates: range, seed: int, n: int, block: int = PERMUTED_BLOCK) -> DataFrame:
+    """Each column of the n rows permuted on its own, once a replicate r; values of one place ``at`` are one row.
+
+    A value's place is the rank of a hash of its row, column and replicate, taken within and over ranges of about
+    ``block`` values: no window spans a table.
+    """
+    cut = n // block + 1
+    drawn = F.explode(F.sequence(F.lit(replicates.start), F.lit(replicates.stop - 1)))
+    long = rows.select(F.xxhash64(key, *columns).alias("k"), drawn.alias("r"), *columns).select("r", "k", F.posexplode(F.array(*columns)).alias("j", "v"))
+    long = long.withColumn("h", F.xxhash64("k", F.lit(seed), "r", "j")).withColumn("b", F.pmod("h", F.lit(cut)))
+    placed = long.withColumn("at", F.row_number().over(Window.partitionBy("r", "j", "b").orderBy("h", "v")))
+    if cut > 1:
+        before = Window.partitionBy("r", "j").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        sizes = long.groupBy("r", "j", "b").agg(F.count("*").alias("n"))
+        starts = sizes.select("r", "j", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        placed = placed.join(starts, ["r", "j", "b"]).withColumn("at", F.col("at") + F.col("start"))
+    return placed.groupBy("r", "at").agg(*(F.max(F.when(F.col("j") == i, F.col("v"))).alias(c) for i, c in enumerate(columns)))
+
+
+def parallel(df: DataFrame, columns: Sequence[str], key: str, replicates: int = 500, quantile: float = 0.95, seed: int = 42, job_rows: int = JOB_ROWS) -> tuple[np.ndarray, np.ndarray, int]:
     """Observed eigenvalues, the quantile of those under independent permutation of each column, and how many lead.
 
-    Eigenvalues are those of all rows; permutations use at most ``sample`` rows, those of smallest hash.
+    Both are those of all complete rows; a job permutes as many replicates as have about ``job_rows`` values, one at least.
     """
     r, _ = pearson_matrix(df, columns)
     observed = np.linalg.eigvalsh(r)[::-1]
-    rows = df.select(key, *(finite(c).alias(c) for c in columns)).dropna().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).drop(key).collect()
-    x = np.array([list(v) for v in rows])
-    rng = np.random.default_rng(seed)
-    null = [np.linalg.eigvalsh(np.corrcoef(rng.permuted(x, axis=0), rowvar=False))[::-1] for _ in range(replicates)]
-    reference = np.quantile(null, quantile, axis=0)
+    p = len(columns)
+    rows = df.select(key, *(finite(c).alias(f"__c{i}") for i, c in enumerate(columns))).dropna(subset=[f"__c{i}" for i in range(p)])
+    n, *s = rows.agg(F.count("*"), *(f(f"__c{i}") for i in range(p) for f in (F.avg, F.stddev_samp))).first()
+    names = [f"z{i}" for i in range(p)]
+    z = rows.select(F.col(key).alias("key"), *(((F.col(f"__c{i}") - F.lit(s[2 * i])) / F.lit(s[2 * i + 1])).alias(c) for i, c in enumerate(names)))
+    pairs = list(itertools.combinations(range(p), 2))
+    batch = max(1, job_rows // max(n * p, 1))
+    null = np.tile(np.eye(p), (replicates, 1, 1))
+    for first in range(0, replicates, batch):
+        lot = permuted(z, names, "key", range(first, min(first + batch, replicates)), seed, n)
+        for a in range(0, len(pairs), WIDE):
+            some = pairs[a : a + WIDE]
+            for found in lot.groupBy("r").agg(*((F.sum(F.col(names[i]) * F.col(names[j])) / (n - 1)).alias(f"s{i}_{j}") for i, j in some)).collect():
+                for i, j in some:
+                    null[found["r"], i, j] = null[found["r"], j, i] = found[f"s{i}_{j}"]
+    reference = np.quantile(np.linalg.eigvalsh(null)[:, ::-1], quantile, axis=0)
     above = observed > reference
     return observed, reference, int(len(above) if above.all() else above.argmin())
 

@@ -285,3 +285,21 @@ def test_knn_imputation_takes_the_nearest_of_all_donors(spark):
         got = sorted((r["id"], r["y"]) for r in out if r["id"] % step == 0)
         assert [i for i, _ in got] == sorted(i for i, _ in want)
         assert [v for _, v in got] == pytest.approx([v for _, v in sorted(want)], rel=1e-6)
+
+
+def test_parallel_analysis_permutes_all_rows(spark):
+    n, p = 6000, 3
+    x = np.random.default_rng(8).normal(size=(n, p))
+    names = [f"c{i}" for i in range(p)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, c0 double, c1 double, c2 double")
+    for block in (700, 100_000):
+        got = efa.permuted(df, names, "id", range(3, 5), 42, n, block).toPandas()
+        for _, g in got.groupby("r"):
+            assert sorted(g["at"]) == list(range(1, n + 1))
+            assert all(np.array_equal(np.sort(g[c]), np.sort(x[:, i])) for i, c in enumerate(names))
+            assert abs(np.corrcoef(g.sort_values("at")["c0"], x[:, 0])[0, 1]) < 0.06
+    rng = np.random.default_rng(1)
+    want = np.quantile([np.linalg.eigvalsh(np.corrcoef(rng.permuted(x, axis=0), rowvar=False))[::-1] for _ in range(500)], 0.95, axis=0)
+    observed, reference, _ = efa.parallel(df, names, "id", replicates=100, job_rows=1_000_000)
+    assert observed == pytest.approx(np.linalg.eigvalsh(np.corrcoef(x, rowvar=False))[::-1])
+    assert reference[0] - 1 == pytest.approx(want[0] - 1, rel=0.2)

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from canvass import model_queries
 from canvass.codebook import Codebook, CodebookError, Design, Group, Variable, score, with_orders
 from canvass.functions import dist, expr
 from canvass.operators import cluster, conjoint, distribution, efa, factorial, inference, mining, multiresponse, regression, summaries, survey, transform
 from canvass.plans.primitives import complete, gram
 
+SF = "/root/testdata/sf0.001"
+
 
 # --- distribution functions
 
@@ -303,3 +307,11 @@ def test_parallel_analysis_permutes_all_rows(spark):
     observed, reference, _ = efa.parallel(df, names, "id", replicates=100, job_rows=1_000_000)
     assert observed == pytest.approx(np.linalg.eigvalsh(np.corrcoef(x, rowvar=False))[::-1])
     assert reference[0] - 1 == pytest.approx(want[0] - 1, rel=0.2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_queries_verify_all_rules_and_draw_all_permutations(spark):
+    segments = spark.read.parquet(f"{SF}/customer.parquet").select("c_mktsegment").distinct().count()
+    assert model_queries.rule_verification(spark, SF).select("rule").distinct().count() == segments > 3
+    (r,) = model_queries.tau_permutation(spark, SF).collect()
+    assert r["p"] * 201 == pytest.approx(round(r["p"] * 201), abs=1e-9)

@@ -3,9 +3,11 @@
 Each coordinate has its own learning rate, and the L1 term keeps only weights
 that earn their place, so that the model is a short list of (slot, weight) pairs
 of at most ``SLOTS`` and can be broadcast whatever the corpus holds.  The fit
-uses a bounded sample of labelled rows (``MAX_FIT_ROWS``, by the hash of their
-id).  With more than ``SHARD_ROWS`` of them, shards learn side by side and their
-weights are averaged and carried into the next of ``ROUNDS`` rounds.  Scoring is one narrow map over all whole texts.
+uses a bounded sample of labelled rows: the ``MAX_FIT_ROWS`` ids with the smallest
+hash, and of these in that order as many as have ``MAX_FIT_FEATURES`` features
+together.  Ids are chosen before any text is read; the texts of the chosen ones
+become features in a narrow map, and one task learns from them row by row, as the
+method is sequential.  Scoring is one narrow map over all whole texts.
 
 Words are runs of bytes other than ASCII punctuation and white space, A-Z in
 lower case.  A document's features are the distinct slots of its words, its
@@ -13,28 +15,26 @@ pairs of neighbours and its pairs with one word between.
 
 Defined results: a null or empty text gets the score of no feature; with no
 labelled row every score is 0; ids labelled twice count as their largest label;
-repeated rows score alike; further columns pass through.
+of several texts of one labelled id the fit takes the one whose features are the
+least; repeated rows score alike; further columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canvass.llm import wordhash
-from canvass.llm.storage import documents, stored
+from canvass.llm.storage import documents
 
-MAX_FIT_ROWS = 20_000
-SHARD_ROWS, ROUNDS, PASSES = 20_000, 1, 3
+MAX_FIT_ROWS, MAX_FIT_FEATURES, PASSES = 20_000, 40_000_000, 3
 SLOTS = 1 << 20
-#: L1 holds for a full shard and shrinks with smaller ones, down to L1_LEAST.
+#: L1 holds for a full sample and shrinks with smaller ones, down to L1_LEAST.
 ALPHA, BETA, L1, L1_LEAST, L2 = 1.0, 1.0, 12.0, 1.0, 0.1
 CUTOFF = 0.3
 
@@ -62,11 +62,10 @@ def _all_slots(texts: pa.Array) -> Iterator[np.ndarray]:
 class Ftrl:
     """Per-coordinate FTRL-proximal with binary features; slot SLOTS is the intercept."""
 
-    def __init__(self, slots: np.ndarray, weights: np.ndarray, rows: int) -> None:
-        self.l1 = max(L1_LEAST, L1 * min(1.0, rows / SHARD_ROWS))
+    def __init__(self, rows: int) -> None:
+        self.l1 = max(L1_LEAST, L1 * min(1.0, rows / MAX_FIT_ROWS))
         self.z = np.zeros(SLOTS + 1)
         self.n = np.zeros(SLOTS + 1)
-        self.z[slots] = -weights * (BETA / ALPHA + L2) - np.sign(weights) * np.where(slots == SLOTS, 0.0, self.l1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
@@ -86,49 +85,56 @@ def _sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _learner(start: Broadcast, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What one shard learns in one round, from the weights of the round before."""
-
-    def learn(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["__h", "label"], ignore_index=True)
-        model = Ftrl(*start.value, rows=len(shard))
-        seen = list(_all_slots(pa.array(shard["text"], type=pa.binary())))
-        for p in range(PASSES):
-            for i in np.random.default_rng(turn * PASSES + p).permutation(len(seen)):
-                model.learn(seen[i], int(shard["label"][i]))
-        at = np.flatnonzero(model.z)
-        w = model.weights(at)
-        return pd.DataFrame({"slot": at[w != 0], "weight": w[w != 0]})
-
-    return learn
-
-
-def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights from a table with ``doc_id``, ``text`` and ``label``."""
-    spark = labelled.sparkSession
-    chosen = labelled.select("doc_id", "label", F.xxhash64("doc_id").alias("__h")).orderBy("__h", "doc_id").limit(max_rows)
-    shards = -(-chosen.count() // SHARD_ROWS) or 1
-    rows = stored(
-        labelled.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .join(chosen, "doc_id", "left_semi")
-        .join(chosen.select("doc_id", "label", "__h"), "doc_id")
-        .select(F.pmod("__h", F.lit(shards)).alias("shard"), "__h", "label", "text"),
-        "toxic-fit",
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _features(texts: pa.Array) -> pa.Array:
+    found = [slots.astype(np.int32) for slots in _all_slots(texts)]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *found])))
+
+
+def train(seen: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and weights that are not 0 after PASSES over the rows, each in an order of its own."""
+    model = Ftrl(len(seen))
+    for p in range(PASSES):
+        for i in np.random.default_rng(p).permutation(len(seen)):
+            model.learn(seen[i], labels[i])
+    at = np.flatnonzero(model.z)
+    w = model.weights(at)
+    return at[w != 0], w[w != 0]
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, labels, left = [], [], MAX_FIT_FEATURES
+    for batch in batches:
+        for label, slots in zip(batch.column("label").to_pylist(), batch.column("slots"), strict=True):
+            left -= len(slots)
+            if left >= 0:
+                seen.append(np.asarray(slots.values).astype(np.int64))
+                labels.append(int(label))
+        if left < 0:
+            break
+    slots, weights = train(seen, labels)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, type=pa.int64()), pa.array(weights, type=pa.float64())], names=["slot", "weight"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and weights from texts (doc_id, text) and labels (doc_id, label)."""
+    wanted = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = (
+        wanted.join(docs.select("doc_id"), "doc_id", "left_semi")
+        .select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+        .orderBy("h", "doc_id")
+        .limit(max_rows)
     )
-    slots, weights = np.empty(0, dtype=np.int64), np.empty(0)
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast((slots, weights))
-        mixed = (
-            rows.groupBy("shard")
-            .applyInPandas(_learner(start, turn), "slot long, weight double")
-            .groupBy("slot")
-            .agg((F.sum("weight") / shards).alias("weight"))
-            .orderBy("slot")
-            .collect()
-        )
-        slots = np.array([r["slot"] for r in mixed], dtype=np.int64)
-        weights = np.array([r["weight"] for r in mixed])
-    return slots, weights
+    rows = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")  # of max_rows rows at most
+        .select("h", "doc_id", "label", _features(F.col("text").cast("binary")).alias("slots"))
+        .groupBy("h", "doc_id", "label")
+        .agg(F.min("slots").alias("slots"))
+    )
+    model = rows.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(_learn, "slot long, weight double").orderBy("slot").collect()
+    return np.array([r["slot"] for r in model], dtype=np.int64), np.array([r["weight"] for r in model])
 
 
 def toxicity_score(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
@@ -154,14 +160,8 @@ def held_out(doc_id: Column) -> Column:
 
 def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = (
-        spark.read.parquet(f"{sf_dir}/labels.parquet")
-        .where("toxic IS NOT NULL")
-        .where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("label"))
-    )
-    model = fit(docs.join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    model = fit(docs, labels)
     scored = docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(spark, model, F.col("text")).alias("score")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -183,14 +184,63 @@ def test_ftrl_learns_and_held_out_rows_stay_out(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     held = toxicity.held_out(F.col("doc_id"))
     assert [r[0] for r in df.select(held).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(1200)]
-    model = toxicity.fit(df.where(~held))
+    model = toxicity.fit(df, df.where(~held))
     out = df.where(held).withColumn("score", toxicity.toxicity_score(spark, model, F.col("text"))).collect()
     assert np.mean([(r["score"] >= toxicity.CUTOFF) == bool(r["label"]) for r in out]) > 0.95
     assert len(model[0]) < 5000
     odd = spark.createDataFrame(ROWS, "doc_id long, text string, score string")
     scores = odd.select(toxicity.toxicity_score(spark, model, F.col("text")).alias("s")).collect()
     assert len(scores) == len(ROWS) and all(0 <= r["s"] <= 1 for r in scores)
-    assert [r.s for r in odd.limit(2).select(toxicity.toxicity_score(spark, toxicity.fit(df.limit(0)), F.col("text")).alias("s")).collect()] == [0.0, 0.0]
+    assert [r.s for r in odd.limit(2).select(toxicity.toxicity_score(spark, toxicity.fit(df, df.limit(0)), F.col("text")).alias("s")).collect()] == [0.0, 0.0]
+
+
+def plain_ftrl(rows: list[tuple[list[int], int]]) -> dict[int, float]:
+    """FTRL-proximal one feature at a time."""
+    l1 = max(toxicity.L1_LEAST, toxicity.L1 * min(1.0, len(rows) / toxicity.MAX_FIT_ROWS))
+    z, n = {}, {}
+
+    def weight(i):
+        if i not in z or (i != toxicity.SLOTS and abs(z[i]) <= l1):
+            return 0.0
+        shrink = 0.0 if i == toxicity.SLOTS else l1
+        return -(z[i] - math.copysign(shrink, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for p in range(toxicity.PASSES):
+        for r in np.random.default_rng(p).permutation(len(rows)):
+            at, label = [*rows[r][0], toxicity.SLOTS], rows[r][1]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+def test_ftrl_is_that_of_plain_python(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        label = i % 3 == 0
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))] + (["vile", "thing"] if label else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(label)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    slots, weights = toxicity.fit(df, df.repartition(7))
+    order = [r[0] for r in df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    seen = dict(zip([r[0] for r in rows], toxicity._all_slots(pa.array([r[1].encode() for r in rows])), strict=True))
+    want = plain_ftrl([(seen[i].tolist(), rows[i][2]) for i in order])
+    assert len(want) > 3 and set(slots.tolist()) == set(want)
+    assert all(abs(w - want[i]) < 1e-9 for i, w in zip(slots.tolist(), weights.tolist(), strict=True))
+
+
+def test_ftrl_takes_repeated_ids_once(spark):
+    df = spark.createDataFrame([(i, f"good words here {i}", i % 2) for i in range(40)], "doc_id long, text string, label int")
+    labels = df.select("doc_id", "label")
+    nulls = spark.createDataFrame([(None, 1), (3, None), (999, 1), (4, -1)], "doc_id long, label int")
+    once, twice = toxicity.fit(df, labels), toxicity.fit(df.union(df), labels.union(labels).union(nulls))
+    assert all(np.array_equal(a, b) for a, b in zip(once, twice, strict=True))
 
 
 # --- packing

@@ -6,17 +6,20 @@ its score after v without its first word; without words before it, c(w) / N.  v
 the order - 1 words before w, or as many as there are.  A document's score is the sum
 of the logarithms.  Counts are of the whole corpus.
 
-n-grams travel as 64-bit hashes.  Documents are dealt into blocks of about
-``BLOCK_BYTES``; a block counts its own distinct n-grams before anything is
-shuffled, so that even the most common pair is one entry of a block.  The count
-tables are partitioned by hash: each bucket adds up the blocks' counts of its
-n-grams and answers every block with the totals in the order in which it asked.
-Words and pairs are asked for in one step, each longer order in a step of its own.
-An n-gram is counted no more often than the two shorter ones in it, so a longer step
-asks only for those whose two parts have ``MIN_COUNT``: no score can use another.
-Totals and texts of a block then meet (one shuffle of the texts serves all
-steps) and are summed per document.  Volumes grow in proportion to the corpus,
-and no group is larger than a block or a bucket.
+The work is relational.  Texts are exploded into n-grams (64-bit hashes), one row
+for each n-gram of a block of about ``BLOCK_BYTES`` of texts with its count in the
+block, so that even the most common pair is one row of a block.  The count table
+is a sum over these rows, partitioned by hash; it is joined to the exploded rows
+where they lie, and what a block does not know yet (other blocks have the n-gram
+too) goes back to it, where scores are summed for each document.  Words and pairs
+go in one step, each longer order in a step of its own: an n-gram is counted no more
+often than the two shorter ones in it, so a longer step explodes only those whose two
+parts have ``MIN_COUNT``; no score can use another.
+
+Only for the way to the count table, a block's rows of one range of hashes are packed
+into one list; there are never more lists than rows, so the volume grows in proportion
+to the corpus.  A block is made of whole input partitions, or of a hash part of one,
+so its texts travel once, compressed.
 
 Defined results: words are runs of non-space characters, A-Z in lower case; a
 null or empty text has no words, score 0 and a null mean; n_backoff counts the words
@@ -26,47 +29,68 @@ often as they occur; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.llm import wordhash
-from canvass.llm.storage import documents
+from canvass.llm.storage import documents, stored
 
 MIN_COUNT, BACKOFF = 2, 0.4
-BLOCK_BYTES = 8 << 20
+#: Bytes of texts in a block, and for each partition of the count table.
+BLOCK_BYTES, PART_BYTES = 32 << 20, 16 << 20
+#: Ranges of hashes in a partition of the count table: with a few, hashing them to partitions is even.
+RANGES = 4
 #: The order of ``op9_stupid_backoff_order3``.
 ORDER = 3
-#: The bucket in which blocks report how many words they have.
-_WORDS = -1
-_ASKED = "step int, bucket long, block long, hashes binary, counts binary"
-_ANSWERS = "step int, bucket long, block long, totals binary"
-_SCORES = "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double"
+_PACKED = "block long, part binary"
+_LISTS = "bucket long, block long, grams binary, counts binary"
+_SCORES = "doc_id long, n_words long, n_backoff long, n_single long, log_score double"
 
 
-def _packed(values: np.ndarray) -> bytes:
+def _planes(values: np.ndarray) -> bytes:
     """64-bit values, all first bytes, then all second ones and so on: the shuffle's compression then finds the zeros."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _of_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block in a batch as one compressed table."""
+    for batch in batches:
+        blocks = np.asarray(batch.column("block"))
+        rows = batch.select(["doc_id", "text"])
+        found, parts = np.unique(blocks), []
+        for b in found:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write(rows if len(found) == 1 else rows.filter(pa.array(blocks == b)))
+            parts.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(parts, type=pa.binary())], names=["block", "part"])
+
+
 class _Block:
     """The words of a block's texts one after the other, and the totals of n-grams that end in them."""
 
-    def __init__(self, texts: pa.ChunkedArray) -> None:
-        words = [w.copy() for w in wordhash.hashed_texts(texts, fold=True)]
+    def __init__(self, packed: pa.Table) -> None:
+        parts = packed.column("part").to_pylist()
+        texts = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts])
+        words = [w.copy() for w in wordhash.hashed_texts(texts.column("text"), fold=True)]
+        self.doc_id = texts.column("doc_id")
         self.words = np.concatenate([np.empty(0, dtype=np.uint64), *words])
         self.sizes = np.array([len(w) for w in words], dtype=np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.place = np.arange(len(self.words)) - np.repeat(self.begin[:-1], self.sizes)  # of a word in its text
+        self.place = np.arange(len(self.words), dtype=np.int32) - np.repeat(self.begin[:-1], self.sizes).astype(np.int32)  # in its text
         self.totals: dict[int, np.ndarray] = {}
-        self.n_all = 0
 
-    def _ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where n-grams end that a score can need, and their hashes."""
         at = np.flatnonzero(self.place >= n - 1)
         hashes = wordhash.ngram_hashes(self.words, n)[at - (n - 1)] if n > 1 else self.words
@@ -76,119 +100,136 @@ class _Block:
             at, hashes = at[some], hashes[some]
         return at, hashes
 
-    def asked(self, step: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-        """Orders of a step with the ends of their n-grams, and the hashes of all of them."""
-        found = {n: self._ending(n) for n in ((1, 2) if step == 2 else (step,))}
-        return [(n, at) for n, (at, _) in found.items()], np.concatenate([h for _, h in found.values()])
-
-    def learn(self, step: int, answers: pa.Table) -> None:
-        orders, hashes = self.asked(step)
-        answers = answers.sort_by("bucket")
-        buckets, packed = answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()
-        if buckets[:1] == [_WORDS]:
-            self.n_all = int(_unpacked(packed.pop(0))[0])
-        _, which = np.unique(hashes, return_inverse=True)
-        counted = np.concatenate([np.empty(0, dtype=np.int64), *(_unpacked(x).astype(np.int64) for x in packed)])[which]
-        for n, at in orders:
-            self.totals[n] = np.zeros(len(self.words), dtype=np.int64)
-            self.totals[n][at], counted = counted[: len(at)], counted[len(at) :]
+    def learn(self, n: int, grams: np.ndarray, totals: np.ndarray) -> None:
+        """Totals of order n: those of the answers, and of n-grams without an answer the block's own counts."""
+        at, hashes = self.ending(n)
+        known, which, own = np.unique(hashes, return_inverse=True, return_counts=True)
+        if len(known):
+            to = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            mine = known[to] == grams
+            own[to[mine]] = totals[mine]
+        self.totals[n] = np.zeros(len(self.words), dtype=np.int64)
+        self.totals[n][at] = own[which]
 
     def learn_all(self, answers: pa.Table, last: int) -> None:
-        steps = np.asarray(answers.column("step")) if len(answers) else np.empty(0, dtype=np.int32)
-        for step in range(2, last + 1):
-            self.learn(step, answers.filter(pa.array(steps == step)))
+        grams = np.asarray(answers.column("gram")).view(np.uint64) if len(answers) else np.empty(0, dtype=np.uint64)
+        totals = np.asarray(answers.column("total")) if len(answers) else np.empty(0, dtype=np.int64)
+        for n in range(1, last + 1):
+            self.learn(n, grams, totals)
 
 
-def _bucket_starts(entries: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted entries, and their end: buckets are even ranges of hashes."""
-    cuts = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(entries, cuts), [len(entries)]))
+def _orders(step: int) -> tuple[int, ...]:
+    return (1, 2) if step == 2 else (step,)
 
 
-def _asker(step: int, n_buckets: int):
-    def ask(texts: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        rows = []
-        if len(texts):
-            who = texts.column("block")[0].as_py()
-            block = _Block(texts.column("text"))
+def _exploder(step: int, n_buckets: int):
+    """A block's distinct n-grams of a step with their counts, as lists by range of hashes."""
+    cuts = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64)
+
+    def explode(packed: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        bucket, grams, counts = [], [], []
+        if len(packed):
+            block = _Block(packed)
             if answers is not None:
                 block.learn_all(answers, step - 1)
-            entries, counts = np.unique(block.asked(step)[1], return_counts=True)
-            starts = _bucket_starts(entries, n_buckets)
-            for b in np.flatnonzero(np.diff(starts)).tolist():
-                part = slice(starts[b], starts[b + 1])
-                hashes = np.diff(entries[part], prepend=np.uint64(0))  # steps between sorted hashes have few high bits
-                rows.append({"step": step, "bucket": b, "block": who, "hashes": _packed(hashes), "counts": _packed(counts[part])})
-            if step == 2:
-                number = np.array([len(block.words)])
-                rows.append({"step": step, "bucket": _WORDS, "block": who, "hashes": _packed(np.zeros(1)), "counts": _packed(number)})
-        schema = pa.schema([("step", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_pylist(rows, schema=schema)
-
-    return ask if step > 2 else lambda texts: ask(texts)
-
-
-def _add_up(bucket: pa.Table) -> pa.Table:
-    """The total of each n-gram over all blocks, in the order of each block's request."""
-    hashes = [np.cumsum(_unpacked(x)) for x in bucket.column("hashes").to_pylist()]
-    counts = [_unpacked(x) for x in bucket.column("counts").to_pylist()]
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)[which]
-    parts = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-    return bucket.select(["step", "bucket", "block"]).append_column("totals", pa.array([_packed(t) for t in parts], type=pa.binary()))
+            for n in _orders(step):
+                entries, times = np.unique(block.ending(n)[1], return_counts=True)
+                starts = np.concatenate(([0], np.searchsorted(entries, cuts), [len(entries)]))
+                for b in np.flatnonzero(np.diff(starts)).tolist():
+                    part = slice(starts[b], starts[b + 1])
+                    bucket.append(b)
+                    grams.append(_planes(np.diff(entries[part], prepend=np.uint64(0))))  # steps between sorted hashes have few high bits
+                    counts.append(_planes(times[part]))
+        who = packed.column("block")[0].as_py() if len(packed) else 0
+        return pa.table(
+            {
+                "bucket": pa.array(bucket, type=pa.int64()),
+                "block": pa.array([who] * len(bucket), type=pa.int64()),
+                "grams": pa.array(grams, type=pa.binary()),
+                "counts": pa.array(counts, type=pa.binary()),
+            }
+        )
+
+    return explode if step > 2 else lambda packed: explode(packed)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])))
+def _unpacked(grams: pa.Array, counts: pa.Array) -> pa.Array:
+    lists = [np.cumsum(_of_planes(x.as_py())).view(np.int64) for x in grams]
+    times = [_of_planes(x.as_py()).view(np.int64) for x in counts]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    flat = [np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (lists, times)]
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["gram", "n"]))
+
+
+def _answers(lists: DataFrame, n_parts: int) -> DataFrame:
+    """block, gram and total of each exploded row whose n-gram other blocks have too: the count table joined to the rows."""
+    rows = lists.repartition(n_parts, "bucket").select("bucket", "block", F.inline(_unpacked("grams", "counts")))
+    table = rows.groupBy("gram", "bucket").agg(F.sum("n").alias("total"), F.count("block").alias("n_blocks")).where("n_blocks > 1")
+    return rows.join(table, ["gram", "bucket"]).where("total > n").select("block", "gram", "total")
 
 
 def _scorer(order: int):
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(texts.column("text"))
-        block.learn_all(answers, max(order, 2))
-        log = np.log(np.maximum(block.totals[1], 1)) - np.log(max(block.n_all, 1))
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(packed)
+        block.learn_all(answers, order)
+        log = np.log(np.maximum(block.totals[1], 1))
         backed = np.zeros(len(log), dtype=bool)
+        single = np.ones(len(log), dtype=bool)  # scored by the word alone: its count is yet to be divided by N
         for n in range(2, order + 1):
             later = np.flatnonzero(block.place >= n - 1)  # the others have no such context to back off from
             total = block.totals[n][later]
             hit = total >= MIN_COUNT
             log[later[~hit]] += np.log(BACKOFF)
             log[later[hit]] = np.log(total[hit]) - np.log(block.totals[n - 1][later[hit] - 1])
-            backed[later] = ~hit
-        begin, sizes = block.begin, block.sizes
-        score = np.array([log[a:b].sum() for a, b in zip(begin[:-1], begin[1:], strict=True)])
-        n_backed = np.concatenate(([0], np.cumsum(backed)))
-        mean = np.divide(score, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
+            backed[later], single[later[hit]] = ~hit, False
+        texts = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        per_text = lambda x: np.bincount(texts, weights=x, minlength=len(block.sizes))
         return pa.Table.from_arrays(
             [
-                texts.column("doc_id"),
-                pa.array(sizes),
-                pa.array(n_backed[begin[1:]] - n_backed[begin[:-1]]),
-                pa.array(score, type=pa.float64()),
-                pa.array(mean, mask=sizes == 0, type=pa.float64()),
+                block.doc_id,
+                pa.array(block.sizes),
+                *(pa.array(per_text(x).astype(np.int64)) for x in (backed, single)),
+                pa.array(per_text(log), type=pa.float64()),
             ],
-            names=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"],
+            names=[x.split()[0] for x in _SCORES.split(", ")],
         )
 
     return score
 
 
-def backoff_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The texts in blocks, packed; and how many bytes they are.
+
+    Blocks are runs of input partitions, or hash parts of them where partitions are larger than a block: which row
+    belongs to which block does not change when a task runs again.
+    """
+    parts = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text").cast("long") + 1).alias("s"))
+    n, size, most = parts.agg(F.count("*"), F.sum("s"), F.max("s")).first()
+    size, most = size or 0, most or 0
+    together = max(1, n * block_bytes // max(size, 1))
+    split = -(-together * most // block_bytes) or 1
+    block = F.floor(F.spark_partition_id() / together) * split + F.pmod(F.xxhash64("doc_id", "text"), F.lit(split))
+    rows = docs.select(block.cast("long").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_pack_texts, _PACKED).repartition(int(size // block_bytes) + 1, "block"), size
+
+
+def backoff_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
     """Score of each row of docs with n-grams of up to order words: doc_id, n_words, n_backoff, log_score, mean_log_score."""
     if order < 1:
         raise ValueError("order is 1 or more")
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = int(size // block_bytes) + 1
-    blocks = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("binary").alias("text"),
-    ).repartition(n, "block")  # by blocks here and below: the union of all answers then lies as each of them does
-    answers = None
+    docs = docs.select("doc_id", "text")
+    blocks, size = _blocks(docs, block_bytes)
+    n_parts = int(size // part_bytes) + 1
+    found: list[DataFrame] = []
     for step in range(2, max(order, 2) + 1):
-        if answers is None:
-            asked = blocks.groupBy("block").applyInArrow(_asker(step, n), _ASKED)
-        else:
-            asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(step, n), _ASKED)
-        found = asked.groupBy("bucket").applyInArrow(_add_up, _ANSWERS).repartition(n, "block")
-        answers = found if answers is None else answers.unionByName(found)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order), _SCORES)
+        told = blocks.groupBy("block") if not found else blocks.groupBy("block").cogroup(reduce(DataFrame.union, found).groupBy("block"))
+        found.append(_answers(told.applyInArrow(_exploder(step, RANGES * n_parts), _LISTS), n_parts))
+    answers = reduce(DataFrame.union, found)
+    scores = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order), _SCORES), "scores")
+    n_all = scores.agg(F.sum("n_words")).first()[0] or 1
+    score = F.col("log_score") - F.col("n_single") * F.log(F.lit(float(max(n_all, 1))))
+    return scores.select("doc_id", "n_words", "n_backoff", score.alias("log_score"), F.try_divide(score, F.col("n_words")).alias("mean_log_score"))
 
 
 def _rounded(scores: DataFrame) -> DataFrame:

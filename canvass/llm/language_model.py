@@ -10,16 +10,15 @@ The work is relational.  Texts are exploded into n-grams (64-bit hashes), one ro
 for each n-gram of a block of about ``BLOCK_BYTES`` of texts with its count in the
 block, so that even the most common pair is one row of a block.  The count table
 is a sum over these rows, partitioned by hash; it is joined to the exploded rows
-where they lie, and what a block does not know yet (other blocks have the n-gram
+where they lie (a window does both), and what a block does not know yet (other blocks have the n-gram
 too) goes back to it, where scores are summed for each document.  Words and pairs
 go in one step, each longer order in a step of its own: an n-gram is counted no more
 often than the two shorter ones in it, so a longer step explodes only those whose two
 parts have ``MIN_COUNT``; no score can use another.
 
-Only for the way to the count table, a block's rows of one range of hashes are packed
-into one list; there are never more lists than rows, so the volume grows in proportion
-to the corpus.  A block is made of whole input partitions, or of a hash part of one,
-so its texts travel once, compressed.
+Only on their way rows travel as arrays: those of one block whose hashes begin with the
+same 16 bits.  A block has so many arrays at most, whatever the corpus holds, and the
+volume grows in proportion to it.  One shuffle of the texts serves all steps.
 
 Defined results: words are runs of non-space characters, A-Z in lower case; a
 null or empty text has no words, score 0 and a null mean; n_backoff counts the words
@@ -29,14 +28,13 @@ often as they occur; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canvass.llm import wordhash
 from canvass.llm.storage import documents, stored
@@ -44,44 +42,17 @@ from canvass.llm.storage import documents, stored
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Bytes of texts in a block, and for each partition of the count table.
 BLOCK_BYTES, PART_BYTES = 32 << 20, 16 << 20
-#: Ranges of hashes in a partition of the count table: with a few, hashing them to partitions is even.
-RANGES = 4
 #: The order of ``op9_stupid_backoff_order3``.
 ORDER = 3
-_PACKED = "block long, part binary"
-_LISTS = "bucket long, block long, grams binary, counts binary"
+#: A hash as it travels: 16 bits that its array shares (the bucket), and 16 and 32 bits of its own.
+_LISTS = "bucket int, block long, high array<smallint>, low array<int>, n array<int>"
 _SCORES = "doc_id long, n_words long, n_backoff long, n_single long, log_score double"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit values, all first bytes, then all second ones and so on: the shuffle's compression then finds the zeros."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _of_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of each block in a batch as one compressed table."""
-    for batch in batches:
-        blocks = np.asarray(batch.column("block"))
-        rows = batch.select(["doc_id", "text"])
-        found, parts = np.unique(blocks), []
-        for b in found:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write(rows if len(found) == 1 else rows.filter(pa.array(blocks == b)))
-            parts.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(parts, type=pa.binary())], names=["block", "part"])
-
-
 class _Block:
     """The words of a block's texts one after the other, and the totals of n-grams that end in them."""
 
-    def __init__(self, packed: pa.Table) -> None:
-        parts = packed.column("part").to_pylist()
-        texts = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts])
+    def __init__(self, texts: pa.Table) -> None:
         words = [w.copy() for w in wordhash.hashed_texts(texts.column("text"), fold=True)]
         self.doc_id = texts.column("doc_id")
         self.words = np.concatenate([np.empty(0, dtype=np.uint64), *words])
@@ -112,66 +83,70 @@ class _Block:
         self.totals[n][at] = own[which]
 
     def learn_all(self, answers: pa.Table, last: int) -> None:
-        grams = np.asarray(answers.column("gram")).view(np.uint64) if len(answers) else np.empty(0, dtype=np.uint64)
-        totals = np.asarray(answers.column("total")) if len(answers) else np.empty(0, dtype=np.int64)
+        whole = lambda c, bits: _values(answers.column(c)).astype(np.int64) & ((1 << bits) - 1)
+        sizes = np.asarray(pc.list_value_length(answers.column("low")).combine_chunks(), dtype=np.int64)
+        grams = np.repeat(np.asarray(answers.column("bucket").combine_chunks()).astype(np.uint64), sizes) << np.uint64(48)
+        grams |= (whole("high", 16) << 32 | whole("low", 32)).view(np.uint64)
+        totals = whole("more", 32) << 15 | whole("total", 15)
         for n in range(1, last + 1):
             self.learn(n, grams, totals)
 
 
-def _orders(step: int) -> tuple[int, ...]:
-    return (1, 2) if step == 2 else (step,)
+def _values(lists: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(pc.list_flatten(lists).combine_chunks())
 
 
-def _exploder(step: int, n_buckets: int):
-    """A block's distinct n-grams of a step with their counts, as lists by range of hashes."""
-    cuts = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64)
+def _exploder(step: int):
+    """A block's distinct n-grams of a step with their counts, as arrays by the first 16 bits of their hashes."""
 
-    def explode(packed: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        bucket, grams, counts = [], [], []
-        if len(packed):
-            block = _Block(packed)
+    def explode(texts: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        found = []
+        if len(texts):
+            who = texts.column("block")[0].as_py()
+            block = _Block(texts)
             if answers is not None:
                 block.learn_all(answers, step - 1)
-            for n in _orders(step):
+            for n in (1, 2) if step == 2 else (step,):
                 entries, times = np.unique(block.ending(n)[1], return_counts=True)
-                starts = np.concatenate(([0], np.searchsorted(entries, cuts), [len(entries)]))
-                for b in np.flatnonzero(np.diff(starts)).tolist():
-                    part = slice(starts[b], starts[b + 1])
-                    bucket.append(b)
-                    grams.append(_planes(np.diff(entries[part], prepend=np.uint64(0))))  # steps between sorted hashes have few high bits
-                    counts.append(_planes(times[part]))
-        who = packed.column("block")[0].as_py() if len(packed) else 0
-        return pa.table(
-            {
-                "bucket": pa.array(bucket, type=pa.int64()),
-                "block": pa.array([who] * len(bucket), type=pa.int64()),
-                "grams": pa.array(grams, type=pa.binary()),
-                "counts": pa.array(counts, type=pa.binary()),
-            }
-        )
+                buckets, starts = np.unique(entries >> np.uint64(48), return_index=True)
+                at = pa.array(np.append(starts, len(entries)).astype(np.int32))
+                arrays = [(entries >> np.uint64(32)).astype(np.uint16).view(np.int16), entries.astype(np.uint32).view(np.int32), times.astype(np.int32)]
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in arrays]
+                found.append(pa.Table.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), who, dtype=np.int64)), *lists], schema=_LISTS_SCHEMA))
+        return pa.concat_tables(found) if found else _LISTS_SCHEMA.empty_table()
 
-    return explode if step > 2 else lambda packed: explode(packed)
+    return explode if step > 2 else lambda texts: explode(texts)
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])))
-def _unpacked(grams: pa.Array, counts: pa.Array) -> pa.Array:
-    lists = [np.cumsum(_of_planes(x.as_py())).view(np.int64) for x in grams]
-    times = [_of_planes(x.as_py()).view(np.int64) for x in counts]
-    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-    flat = [np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (lists, times)]
-    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["gram", "n"]))
+_LISTS_SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("block", pa.int64()), ("high", pa.list_(pa.int16())), ("low", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
+)
 
 
 def _answers(lists: DataFrame, n_parts: int) -> DataFrame:
-    """block, gram and total of each exploded row whose n-gram other blocks have too: the count table joined to the rows."""
-    rows = lists.repartition(n_parts, "bucket").select("bucket", "block", F.inline(_unpacked("grams", "counts")))
-    table = rows.groupBy("gram", "bucket").agg(F.sum("n").alias("total"), F.count("block").alias("n_blocks")).where("n_blocks > 1")
-    return rows.join(table, ["gram", "bucket"]).where("total > n").select("block", "gram", "total")
+    """Exploded rows with the total of their n-gram, of n-grams that other blocks have too; arrays by block and bucket again.
+
+    The count table lies in n_parts hash partitions with the rows that it is the sum of, so that a window joins the two
+    without another shuffle.  An n-gram has no more rows than there are blocks.
+    """
+    rows = lists.repartition(n_parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("high", "low", "n")))
+    same = Window.partitionBy("low", "high", "bucket")
+    return (
+        rows.withColumn("all", F.sum("n").over(same))
+        .where(F.col("all") > F.col("n"))
+        .groupBy("bucket", "block")
+        .agg(
+            F.collect_list("high").alias("high"),
+            F.collect_list("low").alias("low"),
+            F.collect_list(F.col("all").bitwiseAND(F.lit(32767)).cast("smallint")).alias("total"),
+            F.collect_list(F.shiftright("all", 15).cast("int")).alias("more"),
+        )
+    )
 
 
 def _scorer(order: int):
-    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(packed)
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(texts)
         block.learn_all(answers, order)
         log = np.log(np.maximum(block.totals[1], 1))
         backed = np.zeros(len(log), dtype=bool)
@@ -183,8 +158,8 @@ def _scorer(order: int):
             log[later[~hit]] += np.log(BACKOFF)
             log[later[hit]] = np.log(total[hit]) - np.log(block.totals[n - 1][later[hit] - 1])
             backed[later], single[later[hit]] = ~hit, False
-        texts = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        per_text = lambda x: np.bincount(texts, weights=x, minlength=len(block.sizes))
+        owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        per_text = lambda x: np.bincount(owner, weights=x, minlength=len(block.sizes))
         return pa.Table.from_arrays(
             [
                 block.doc_id,
@@ -198,33 +173,22 @@ def _scorer(order: int):
     return score
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """The texts in blocks, packed; and how many bytes they are.
-
-    Blocks are runs of input partitions, or hash parts of them where partitions are larger than a block: which row
-    belongs to which block does not change when a task runs again.
-    """
-    parts = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text").cast("long") + 1).alias("s"))
-    n, size, most = parts.agg(F.count("*"), F.sum("s"), F.max("s")).first()
-    size, most = size or 0, most or 0
-    together = max(1, n * block_bytes // max(size, 1))
-    split = -(-together * most // block_bytes) or 1
-    block = F.floor(F.spark_partition_id() / together) * split + F.pmod(F.xxhash64("doc_id", "text"), F.lit(split))
-    rows = docs.select(block.cast("long").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_pack_texts, _PACKED).repartition(int(size // block_bytes) + 1, "block"), size
-
-
 def backoff_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
     """Score of each row of docs with n-grams of up to order words: doc_id, n_words, n_backoff, log_score, mean_log_score."""
     if order < 1:
         raise ValueError("order is 1 or more")
-    docs = docs.select("doc_id", "text")
-    blocks, size = _blocks(docs, block_bytes)
-    n_parts = int(size // part_bytes) + 1
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_blocks, n_parts = int(size // block_bytes) + 1, int(size // part_bytes) + 1
+    # rows repeated with one id and text are in as many blocks as input partitions
+    blocks = docs.select(
+        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).alias("block"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("binary").alias("text"),
+    ).repartition(n_blocks, "block")
     found: list[DataFrame] = []
     for step in range(2, max(order, 2) + 1):
         told = blocks.groupBy("block") if not found else blocks.groupBy("block").cogroup(reduce(DataFrame.union, found).groupBy("block"))
-        found.append(_answers(told.applyInArrow(_exploder(step, RANGES * n_parts), _LISTS), n_parts))
+        found.append(_answers(told.applyInArrow(_exploder(step), _LISTS), n_parts))
     answers = reduce(DataFrame.union, found)
     scores = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order), _SCORES), "scores")
     n_all = scores.agg(F.sum("n_words")).first()[0] or 1

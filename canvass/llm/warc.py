@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and the reader that checks it.
 
-Which shard a record goes to follows from the ids and sizes alone: the id range
-is cut into at most ``CELLS`` cells of one width, and shards are runs of cells of
-about equal bytes.  Each shard is one sorted stream; its writer rolls to a new
+Records are sorted by (id, payload digest), null ids first, and cut into shards of
+about equal bytes.  The cuts are quantiles of that order by bytes, taken from rows
+that a hash of id and digest picks (all rows of small tables): they follow from the
+rows alone, not from how they lie or what range the ids span.  Each shard is one sorted stream; its writer rolls to a new
 file when the compressed size is reached, one gzip member for each record, and
 makes every header and digest anew from the payload.  Files are written below a
 temporary name of the task attempt, listed in a manifest, and moved to their
@@ -20,6 +21,7 @@ columns are not archived; an empty table writes no file.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -30,11 +32,16 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.llm.storage import shared_folder, stored
 
 DEDUP_BYTES = 100
-CELLS, MOST_SHARDS, SHARD_BYTES, ROLL_BYTES = 65_536, 4096, 16 << 20, 64 << 20
+MOST_SHARDS, SHARD_BYTES, ROLL_BYTES = 65_536, 16 << 20, 64 << 20
+#: Rows that the cuts are taken from, for each shard and at most (in expectation).
+SHARD_SAMPLE, MOST_SAMPLE = 32, 1 << 19
+#: Digits of a digest that place a record among those of its id.
+_DIGITS = 16
 DATE, GZIP_LEVEL = "1970-01-01T00:00:00Z", 6
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, roll int, name string, temporary string, records long, bytes long, sha256 string"
@@ -153,6 +160,42 @@ def _committer(folder: str):
     return commit
 
 
+def _key(page_id: int | None, digest: str) -> tuple[int, str]:
+    return (-(1 << 63) - 1 if page_id is None else page_id, digest[:_DIGITS])
+
+
+def shard_cuts(sizes: DataFrame, per_shard: int, n_shards: int) -> list[tuple[int, str]]:
+    """The keys at which shards begin, but for the first; of sizes (page_id, digest, n)."""
+    wanted = min(SHARD_SAMPLE * n_shards, MOST_SAMPLE)
+    one_in = max(1, sizes.count() // wanted)
+    picked = (
+        sizes.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(one_in)) == 0)
+        .groupBy("page_id", F.left("digest", F.lit(_DIGITS)).alias("digest"))
+        .agg(F.sum("n").alias("n"))
+        .collect()
+    )
+    keys = sorted((_key(r["page_id"], r["digest"]), r["n"] * one_in) for r in picked)
+    cuts, since = [], 0
+    for key, n in keys:
+        if since >= per_shard:
+            cuts.append(key)
+            since = 0
+        since += n
+    return cuts
+
+
+def _shard_of(spark: SparkSession, cuts: list[tuple[int, str]]):
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf(T.LongType())
+    def shard(page_ids: pa.Array, digests: pa.Array) -> pa.Array:
+        at = shared.value
+        keys = map(_key, page_ids.to_pylist(), digests.to_pylist())
+        return pa.array([bisect.bisect_right(at, k) for k in keys], type=pa.int64())
+
+    return shard
+
+
 def write_warc(
     pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES
 ) -> DataFrame:
@@ -163,16 +206,10 @@ def write_warc(
         F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     sizes = stored(whole.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n")), "warc-sizes")
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    low, high, total = low or 0, high or 0, total or 0
-    width = (high - low) // CELLS + 1
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     per_shard = max(shard_bytes, total // MOST_SHARDS + 1)
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    before = "sum(n) OVER (ORDER BY cell ROWS UNBOUNDED PRECEDING) - n"  # of at most CELLS rows
-    shards = (
-        sizes.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
-        .select("cell", F.expr(f"CAST(floor(({before}) / {per_shard}) AS BIGINT)").alias("shard"))
-    )
+    n_shards = int(total // per_shard) + 1
+    shard = _shard_of(pages.sparkSession, shard_cuts(sizes, per_shard, n_shards))
     large = sizes.where(F.col("n") >= DEDUP_BYTES)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("__n")).where("__n > 1")
     marks = (
@@ -182,11 +219,8 @@ def write_warc(
         .distinct()
     )
     rows = whole.select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(marks)
-    n_shards = int(total // per_shard) + 1
     manifest = (
-        rows.withColumn("cell", cell)
-        .join(F.broadcast(shards), "cell")
-        .drop("cell")
+        rows.withColumn("shard", shard("page_id", "digest"))
         .repartition(n_shards, "shard")
         .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
         .mapInArrow(_writer(folder, roll_bytes), _MANIFEST)

@@ -244,6 +244,38 @@ def test_archives_round_trip(spark, tmp_path):
     assert empty.collect() == [] and warc.read_warc(empty, f"file://{tmp_path}/none").collect() == []
 
 
+def test_warc_shards_are_even_whatever_the_ids_span(spark, tmp_path):
+    rng = random.Random(21)
+    body = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(150, 250)))
+    wide = [(rng.randint(-(1 << 63), (1 << 63) - 1), "u", body()) for _ in range(300)]
+    outlier = [(i, "u", body()) for i in range(300)] + [(1 << 62, "u", body())]
+    equal = [(7, "u", body()) for _ in range(200)] + [(None, "u", body()) for _ in range(100)]
+    for k, rows in enumerate((wide, outlier, equal)):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        names = []
+        for parts in (2, 5):
+            folder = f"file://{tmp_path}/{k}-{parts}"
+            manifest = warc.write_warc(pages.repartition(parts), folder, shard_bytes=4000)
+            files = manifest.collect()
+            assert len(files) >= 10 and max(f["records"] for f in files) <= 40
+            assert sum(f["records"] for f in files) == len(rows)
+            names.append(sorted((f["name"], f["sha256"]) for f in files))
+        assert names[0] == names[1]  # the same archives however the rows lie
+        found = warc.read_warc(manifest, folder).collect()
+        want = sorted((r[0] is None, r[0] or 0, hashlib.sha256(r[2].encode()).hexdigest()) for r in rows)
+        assert sorted((r["page_id"] is None, r["page_id"] or 0, r["payload_digest"]) for r in found) == want
+
+
+def test_warc_cuts_come_from_a_bounded_part_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_SAMPLE", 200)
+    sizes = spark.range(20_000).select(F.col("id").alias("page_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit(10).cast("long").alias("n"))
+    cuts = warc.shard_cuts(sizes, 20_000, 10)
+    starts = [0, *(c[0] for c in cuts), 20_000]
+    assert 8 <= len(cuts) <= 12 and max(b - a for a, b in zip(starts, starts[1:], strict=False)) < 4_000
+    assert cuts == warc.shard_cuts(sizes.repartition(7), 20_000, 10)
+
+
+
 # --- tool calls
 
 

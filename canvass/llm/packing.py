@@ -1,13 +1,14 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokens are counted in one map over all whole texts.  A document longer than a
-sequence is cut into full pieces and a rest; nothing else is cut.  Pieces are
-then dealt by hash into groups of about ``GROUP_PIECES`` and each group is packed
-by bounded-space online best-fit: at most ``open_bins`` bins are open, a bitset
-keyed by free space finds the tightest one in a few word operations, and the
-fullest closes first when a new one is needed.  A group takes its long pieces
-first.  Groups are many and of even size whatever the corpus holds, and each
-leaves about one part-filled sequence behind.
+sequence is cut into full pieces and a rest; nothing else is cut.  The pieces, a
+small stored table, are then packed as they come by bounded-space online best-fit:
+each task holds ``OPEN_BINS`` open bins at most, a bitset keyed by free space finds
+the tightest one in a few word operations, and the fullest closes first when
+another is needed.  A task sees about ``GROUP_PIECES`` pieces or more, as many as its
+part of the table has, and keeps only its open bins: nothing is shuffled, no key
+makes a group, and rows repeated with one id are spread as they lie.  Each task
+leaves at most its open bins part-filled.
 
 Defined results: a null or empty text is its end token alone; repeated rows are
 packed as often as they occur; an empty table packs into nothing; further
@@ -23,15 +24,15 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.llm.storage import documents, stored
 
 MAX_TOKENS, END_ID = 4096, 1
-GROUP_PIECES, OPEN_BINS = 8192, 2048
+GROUP_PIECES, OPEN_BINS = 65_536, 64
 CACHED_WORDS, BATCH_TEXTS = 500_000, 64
 #: Texts of these characters alone are in composed form already, fold to lower case letter by letter, and hold no
 #: special token: white space parts them for the tokenizer, so each word can be looked up on its own.
@@ -138,59 +139,60 @@ def token_pieces(
     )
 
 
-def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each length, taken in the order given."""
-    open_by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    used: list[int] = []
-    bits = n_open = 0  # bit f: some open bin has f free
-    bins, offsets = [], []
-    for size in lengths:
-        fits = bits >> size
+class BestFit:
+    """Online best-fit of lengths into bins, at most open_bins of them open at a time."""
+
+    def __init__(self, capacity: int, open_bins: int) -> None:
+        self.capacity, self.open_bins = capacity, open_bins
+        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins
+        self.bits = self.n_open = self.n_bins = 0  # bit f: some open bin has f free
+
+    def _take(self, free: int) -> int:
+        b = self.by_free[free].pop()
+        if not self.by_free[free]:
+            self.bits ^= 1 << free
+        self.n_open -= 1
+        return b
+
+    def place(self, size: int) -> tuple[int, int]:
+        """Bin and offset of the next length: the open bin that it fits most tightly, or a new one."""
+        fits = self.bits >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
-            b = open_by_free[free].pop()
-            if not open_by_free[free]:
-                bits ^= 1 << free
-            n_open -= 1
+            b = self._take(free)
         else:
-            if n_open >= open_bins:
-                fullest = (bits & -bits).bit_length() - 1
-                open_by_free[fullest].pop()
-                if not open_by_free[fullest]:
-                    bits ^= 1 << fullest
-                n_open -= 1
-            b, free = len(used), capacity
-            used.append(0)
-        bins.append(b)
-        offsets.append(used[b])
-        used[b] += size
+            if self.n_open >= self.open_bins:  # the fullest closes
+                self._take((self.bits & -self.bits).bit_length() - 1)
+            b, free = self.n_bins, self.capacity
+            self.n_bins += 1
         if free > size:
-            open_by_free[free - size].append(b)
-            bits |= 1 << (free - size)
-            n_open += 1
-    return bins, offsets
+            self.by_free[free - size].append(b)
+            self.bits |= 1 << (free - size)
+            self.n_open += 1
+        return b, self.capacity - free
 
 
-def _packer(capacity: int, open_bins: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
-        bins, offsets = best_fit(group["length"].tolist(), capacity, open_bins)
-        group["sequence_id"] = np.array(bins, dtype=np.int64) + (group["group"].to_numpy() << 32)
-        group["offset"] = np.array(offsets, dtype=np.int64)
-        return group.drop(columns="group")
+def _packer(capacity: int, open_bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = BestFit(capacity, open_bins)
+        first = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            placed = np.array([bins.place(n) for n in batch.column("length").to_pylist()], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"]
+            )
 
     return pack
 
 
-def pack(
-    pieces: DataFrame, max_tokens: int = MAX_TOKENS, group_pieces: int = GROUP_PIECES, open_bins: int = OPEN_BINS
-) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``; read twice, so give it a stored table."""
-    groups = -(-pieces.count() // group_pieces) or 1
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    fields = [f for f in pieces.schema.fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-    return dealt.groupBy("group").applyInPandas(_packer(max_tokens, open_bins), schema)
+def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group_pieces: int = GROUP_PIECES, open_bins: int = OPEN_BINS) -> DataFrame:
+    """Add ``sequence_id`` and ``offset``; read twice, so give it a stored table.
+
+    Lengths are 1 to max_tokens; sequences are numbered by the task that fills them and their order in it.
+    """
+    tasks = max(1, pieces.count() // group_pieces)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    return pieces.coalesce(tasks).mapInArrow(_packer(max_tokens, open_bins), schema)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -256,18 +256,53 @@ def test_word_cache_gives_the_tokenizers_ids():
             assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_best_fit_never_overfills_and_keeps_few_bins_open():
+def plain_best_fit(sizes, capacity, open_bins):
+    """All open bins looked through; the same of several equally full ones closes or takes: the one filled last."""
+    open_, out, used = [], [], []
+    for size in sizes:
+        fitting = [b for b in open_ if used[b] + size <= capacity]
+        if fitting:
+            b = max(fitting, key=lambda b: (used[b], open_.index(b)))
+        else:
+            if len(open_) >= open_bins:
+                open_.remove(max(open_, key=lambda b: (used[b], open_.index(b))))
+            b = len(used)
+            used.append(0)
+        if b in open_:
+            open_.remove(b)
+        out.append((b, used[b]))
+        used[b] += size
+        if used[b] < capacity:
+            open_.append(b)
+    return out
+
+
+def test_best_fit_closes_the_fullest_and_takes_the_tightest():
+    bins = packing.BestFit(100, 3)
+    # three open bins of 60, 70 and 80; 90 fits none of them, so that of 80 closes; 15 goes to the tightest left but 90 has no room for it
+    assert [bins.place(n) for n in (60, 70, 80, 90, 15, 20, 40)] == [(0, 0), (1, 0), (2, 0), (3, 0), (1, 70), (0, 60), (4, 0)]
     rng = random.Random(6)
-    sizes = [rng.randint(1, 100) for _ in range(3000)]
-    for open_bins in (1, 8, 10_000):
-        bins, offsets = packing.best_fit(sizes, 100, open_bins)
-        at: dict[int, int] = {}
-        for s, b, o in zip(sizes, bins, offsets, strict=True):
-            assert at.get(b, 0) == o
-            at[b] = o + s
-        assert max(at.values()) <= 100
-    bins, _ = packing.best_fit(sorted(sizes, reverse=True), 100, 10_000)
-    assert max(bins) + 1 <= 1.02 * sum(sizes) / 100 + 1
+    sizes = [rng.randint(1, 100) for _ in range(2000)]
+    for open_bins in (1, 2, 8, 64):
+        bins = packing.BestFit(100, open_bins)
+        got = [bins.place(n) for n in sizes]
+        assert got == plain_best_fit(sizes, 100, open_bins)
+        assert bins.n_open <= open_bins
+
+
+def test_packing_is_best_fit_of_each_task(spark):
+    rng = random.Random(16)
+    rows = [(1 if i % 3 else None, 0, 0, rng.randint(1, 100), i) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(1)
+    out = packing.pack(pieces, max_tokens=100, open_bins=8).collect()
+    assert [(r["sequence_id"], r["offset"]) for r in out] == plain_best_fit([r[3] for r in rows], 100, 8)
+    several = packing.pack(pieces.repartition(6), max_tokens=100, group_pieces=500, open_bins=8).collect()
+    at: dict[int, int] = {}
+    for r in sorted(several, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.get(r["sequence_id"], 0) == r["offset"]
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 100 and len({s >> 32 for s in at}) == 6 and len(several) == 3000
+    assert sum(at.values()) / 100 / len(at) > 0.85
 
 
 def test_packing_of_odd_rows(spark):

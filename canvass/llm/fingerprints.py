@@ -3,8 +3,7 @@
 Terms that are neither too common nor too rare carry a document: those whose
 document frequency lies between ``LOW`` and ``HIGH`` of all documents.  There are
 at most (mean distinct terms of a document) / LOW of them however large the
-corpus is, so the lexicon is a bitmap of fixed size over term hashes (a few terms
-outside the band share a bit with one inside it and so belong to it too).  A
+corpus is: the lexicon is the set of their hashes, held in the plan as a list.  A
 fingerprint hashes the sorted distinct lexicon terms of a text, once for each of
 several random subsets of the lexicon: ``LEVELS`` gives how many subsets there
 are of which share of the lexicon, dense ones for short texts and sparse ones for
@@ -33,9 +32,8 @@ LOW, HIGH = 0.001, 0.2
 #: (one in how many terms, groups of subsets, subsets in a group)
 LEVELS = ((16, 4, 4), (128, 4, 8), (1024, 4, 8))
 MIN_FILLED = 4
-BITS = 1 << 20
 UNFILLED, DIGITS = "----", 4
-BUCKET_ROWS, MOST_BUCKETS = 512, 4096
+BUCKET_ROWS, MOST_BUCKETS = 512, 16_384
 
 
 def term_hashes(text: Column) -> Column:
@@ -44,26 +42,15 @@ def term_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(terms), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BITS - 1))
-
-
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """The bitmap of the terms in the band as a literal of BITS / 4 bytes, each of which holds four bits in a letter."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
+    """Hashes of the terms in the band, sorted."""
     counts = stored(
         docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
         "term-df",
     )
     n = docs.count()
-    letters = (
-        counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n))
-        .groupBy(F.shiftright(_slot(F.col("term")), 2).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1, cast(term & 3 AS INT))")).alias("four"))
-    )
-    dense = docs.sparkSession.range(BITS // 4).withColumnRenamed("id", "at").join(letters, "at", "left")
-    letter = F.char(F.coalesce("four", F.lit(0)) + F.lit(64))
-    bitmap = dense.agg(F.array_sort(F.collect_list(F.struct("at", letter.alias("c")))).alias("all"))
-    return F.lit(bytearray(bitmap.select(F.array_join(F.transform("all", lambda x: x["c"]), "")).first()[0].encode()))
+    band = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term")
+    return sorted(r["term"] for r in band.collect())  # bounded by the band
 
 
 def _let(value: Column, body) -> Column:
@@ -96,12 +83,11 @@ def _level(terms: Column, level: int, one_in: int, groups: int, per_group: int)
     )
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """The fingerprint of a text as a string of DIGITS characters for each subset."""
-    letter = lambda h: F.substring(bits, F.shiftright(_slot(h), 2).cast("int") + 1, F.lit(1)).cast("string")
-    known = lambda h: F.getbit(F.ascii(letter(h)), h.bitwiseAND(F.lit(3)).cast("int")) == 1
-    terms = F.array_sort(F.filter(term_hashes(text), known))
-    return _let(terms, lambda t: F.concat(*(_level(t, i, *level) for i, level in enumerate(LEVELS))))
+def with_fingerprint(docs: DataFrame, text: str, name: str, terms: list[int]) -> DataFrame:
+    """Add the fingerprint of a text column as a string of DIGITS characters for each subset, under a lexicon's terms."""
+    known = f"filter(__terms, t -> t IN ({', '.join(f'{t}L' if t > -(1 << 63) else '(-9223372036854775807L - 1L)' for t in terms)}))" if terms else "filter(__terms, t -> false)"
+    found = docs.withColumn("__terms", term_hashes(F.col(text))).withColumn("__terms", F.array_sort(F.expr(known)))
+    return found.withColumn(name, _let(F.col("__terms"), lambda t: F.concat(*(_level(t, i, *level) for i, level in enumerate(LEVELS))))).drop("__terms")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,53 +124,49 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(fine))
 
 
-_LAST, _NULLS = -(1 << 63), -(1 << 63) + 1
-
-
 def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Add next_<column> for each column of keep: that of the next row by descending doc_id, the first after the last.
 
     Rows are dealt by ranges of ids, each of which also gets a copy of the first row of the next range; one shuffle.
     """
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULLS)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     n = docs.count()
     parts = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) or 1
     cuts = [i / parts for i in range(1, parts)]
-    bounds = (rows.select("__key").agg(F.percentile_approx("__key", cuts, 50_000).alias("b")).first()["b"] or []) if cuts else []
-    bounds = sorted(set(bounds))
-    rows = rows.withColumn("__bucket", _bucket(F.col("__key"), bounds))
-    heads = sorted((r["__bucket"], r["k"]) for r in rows.groupBy("__bucket").agg(F.max("__key").alias("k")).collect())
+    bounds = (docs.select(F.percentile_approx(key, cuts, 50_000).alias("b")).first()["b"] or []) if cuts else []
+    rows = docs.withColumn("__bucket", _bucket(key, sorted(set(bounds))))
+    heads = sorted((r["__bucket"], r["k"]) for r in rows.groupBy("__bucket").agg(F.max("doc_id").cast("long").alias("k")).collect())
     if not heads:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in keep))
     # the first row of each range, under the range before it in descending order
-    into = [(heads[(i + 1) % len(heads)][0], key) for i, (_, key) in enumerate(heads)]
-    target = docs.sparkSession.createDataFrame(into, "__into int, __key long")
+    into = [(b, key, heads[(i + 1) % len(heads)][0]) for i, (b, key) in enumerate(heads)]
+    target = docs.sparkSession.createDataFrame(into, "__from int, __first long, __into int")
     tie = [F.xxhash64("text"), F.col("text")]
     ghosts = (
-        rows.join(F.broadcast(target), "__key")
+        rows.join(F.broadcast(target), (F.col("__bucket") == F.col("__from")) & F.col("doc_id").eqNullSafe(F.col("__first")))
         .groupBy("__into")
         .agg(F.min_by(F.struct(*docs.columns), F.struct(*(t.alias(f"t{i}") for i, t in enumerate(tie)))).alias("row"))
-        .select("row.*", F.lit(_LAST).alias("__key"), F.col("__into").alias("__bucket"))
+        .select("row.*", F.col("__into").alias("__bucket"), F.lit(True).alias("__ghost"))
     )
-    order = Window.partitionBy("__bucket").orderBy(F.desc("__key"), *tie)
+    order = Window.partitionBy("__bucket").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), *tie)
     return (
-        rows.unionByName(ghosts)
+        rows.withColumn("__ghost", F.lit(False))
+        .unionByName(ghosts)
         .select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in keep))
-        .where(F.col("__key") != _LAST)
-        .drop("__key", "__bucket")
+        .where(~F.col("__ghost"))
+        .drop("__ghost", "__bucket")
     )
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = lexicon(docs)
-    rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"), bits)), ["text", "fingerprint"])
+    terms = lexicon(docs)
+    rows = with_next(with_fingerprint(docs, "text", "fingerprint", terms), ["text", "fingerprint"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"), bits))
-    return rows.select(
+    return with_fingerprint(rows, "edited", "edited_fingerprint", terms).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),

@@ -41,7 +41,7 @@ from canvass.llm.storage import documents, stored
 
 MIN_COUNT, BACKOFF = 2, 0.4
 #: Bytes of texts in a block, and for each partition of the count table.
-BLOCK_BYTES, PART_BYTES = 32 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
 #: The order of ``op9_stupid_backoff_order3``.
 ORDER = 3
 #: A hash as it travels: 16 bits that its array shares (the bucket), and 16 and 32 bits of its own.

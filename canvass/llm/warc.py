@@ -209,7 +209,7 @@ def write_warc(
     total = sizes.agg(F.sum("n")).first()[0] or 0
     per_shard = max(shard_bytes, total // MOST_SHARDS + 1)
     n_shards = int(total // per_shard) + 1
-    shard = _shard_of(pages.sparkSession, shard_cuts(sizes, per_shard, n_shards))
+    shard = _shard_of(pages.sparkSession, shard_cuts(sizes, total // n_shards + 1, n_shards))
     large = sizes.where(F.col("n") >= DEDUP_BYTES)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("__n")).where("__n > 1")
     marks = (

@@ -12,6 +12,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -137,8 +138,8 @@ def test_edited_texts_and_fingerprints(spark, docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     rows = [(r[0], r[1] or "") for r in corpus()][:-1]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    bits = fingerprints.lexicon(table, 0.0, 0.5)
-    full = fingerprints.with_next(table.withColumn("fp", fingerprints.fingerprint(F.col("text"), bits)), ["text", "fp"])
+    terms = fingerprints.lexicon(table, 0.0, 0.5)
+    full = fingerprints.with_next(fingerprints.with_fingerprint(table, "text", "fp", terms), ["text", "fp"])
     full = full.withColumn("near", fingerprints.likeness(F.col("fp"), F.col("next_fp"))).collect()
     order = sorted(rows, key=lambda r: -r[0])
     following = {d: order[(i + 1) % len(order)][1] for i, (d, _) in enumerate(order)}
@@ -152,6 +153,56 @@ def test_edited_texts_and_fingerprints(spark, docs, monkeypatch):
     assert by_text[""] == {fingerprints.UNFILLED * n}
 
 
+def hashed(data: bytes, seed: int = 42) -> int:
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_terms(text: str) -> list[int]:
+    return sorted({signed(hashed(t.encode())) for t in re.split(r"[\s!-/:-@\[-`{-~]+", (text or "").lower(), flags=re.A) if t})
+
+
+def plain_fingerprint(terms: list[int]) -> str:
+    out = ""
+    for level, (one_in, groups, per_group) in enumerate(fingerprints.LEVELS):
+        for k in range(groups * per_group):
+            chosen = [t for t in terms if signed(hashed(level.to_bytes(4, "little"), hashed(t.to_bytes(8, "little", signed=True)))) % one_in == k]
+            h = 42
+            for t in chosen:
+                h = hashed(t.to_bytes(8, "little", signed=True), h)
+            out += f"{h % 65536:04x}" if chosen else fingerprints.UNFILLED
+    return out
+
+
+def test_fingerprints_are_those_of_the_exact_band(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"{rng.choice('abcdefghij')}{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.randint(0, 120)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "Plain, plain; text!\n(again)")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    df = collections.Counter(t for _, text in rows for t in plain_terms(text))
+    band = {t for t, n in df.items() if 0.01 * len(rows) <= n <= 0.2 * len(rows)}
+    terms = fingerprints.lexicon(table, 0.01, 0.2)
+    assert terms == sorted(band) and 20 < len(band) < len(df) / 2
+    got = {r["doc_id"]: r["fp"] for r in fingerprints.with_fingerprint(table, "text", "fp", terms).collect()}
+    assert got == {d: plain_fingerprint([t for t in plain_terms(text) if t in band]) for d, text in rows}
+
+
+def test_next_rows_of_extreme_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
+    low, high = -(1 << 63), (1 << 63) - 1
+    ids = [low, low + 1, high, high - 1, 0, *range(5, 25), None, None, low]
+    rows = [(d, f"t{i:02d}") for i, d in enumerate(ids)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tie = {r["text"]: r["h"] for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
+    want = {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    out = fingerprints.with_next(table, ["text"]).collect()
+    assert len(out) == len(rows) and {r["text"]: r["next_text"] for r in out} == want
+
+
 def test_fingerprint_query_on_files(spark, docs, tmp_path):
     docs.withColumn("fingerprint", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
     out = fingerprints.op4_imatch_fingerprints(spark, str(tmp_path)).collect()

@@ -1,8 +1,9 @@
 """Temperature mixing of sources, with DataFrame functions only.
 
 A source with token share p gets weight p**a / sum(p**a).  The exponent a lies
-between 0 (all sources alike) and 1 (as they come); it is narrowed down by a grid
-in each round until it is known to 2**-40: either the least a at which no source
+between 0 (all sources alike) and 1 (as they come) and is found by bisection to
+2**-40, five halvings a job (one aggregation answers for every midpoint that the next
+five can ask for): either the least a at which no source
 is repeated more than ``max_repetition`` times within the budget, or the largest
 at which the entropy of the weights is ``entropy_share`` of its maximum.
 
@@ -31,7 +32,7 @@ from canvass.llm.storage import documents, stored
 
 BLOCK_TOKENS, SEED = 1 << 20, 11
 MAX_REPETITION = 1.25
-_GRID, _ROUNDS = 32, 8
+_HALVINGS, _JOBS = 5, 8
 
 
 @dataclass(frozen=True)
@@ -59,9 +60,16 @@ def units(docs: DataFrame) -> DataFrame:
 
 def exponent(shares: DataFrame, target: Target) -> float:
     """The exponent that meets the target; shares has one positive p for each source."""
-    low, high = 0.0, 1.0
-    for _ in range(_ROUNDS):
-        grid = [low + (high - low) * i / _GRID for i in range(_GRID + 1)]
+    def meets(r) -> bool:
+        if target.entropy_share is None:
+            return r["repetition"] <= target.max_repetition
+        return r["entropy"] >= target.entropy_share * r["most"] - 1e-12
+
+    low, width = 0.0, 1.0
+    upward = target.entropy_share is None  # repetition falls as the exponent grows, entropy falls too
+    steps = 2**_HALVINGS
+    for job in range(_JOBS):
+        grid = [low + width * i / steps for i in range(steps + 1)]
         powers = (
             shares.select("p", F.explode(F.array(*map(F.lit, grid))).alias("a"))
             .groupBy("a")
@@ -81,17 +89,15 @@ def exponent(shares: DataFrame, target: Target) -> float:
         )
         if not powers:
             return 1.0
-        if target.entropy_share is None:
-            good = {r["a"] for r in powers if r["repetition"] <= target.max_repetition}
-            high = min(good, default=1.0)
-            low = max((a for a in grid if a < high), default=high) if good else high
-        else:
-            good = {r["a"] for r in powers if r["entropy"] >= target.entropy_share * r["most"] - 1e-12}
-            low = max(good, default=0.0)
-            high = min((a for a in grid if a > low), default=low) if good else low
-        if low >= high:
-            break
-    return high if target.entropy_share is None else low
+        good = [meets(r) for r in sorted(powers, key=lambda r: r["a"])]
+        if job == 0 and good[0] == good[-1]:  # every exponent meets the target, or none does
+            return 0.0 if good[0] == upward else 1.0
+        below, above = 0, steps
+        while above - below > 1:
+            middle = (below + above) // 2
+            below, above = (below, middle) if good[middle] == upward else (middle, above)
+        low, width = grid[below], width / steps
+    return low + width if upward else low
 
 
 def source_quotas(all_units: DataFrame, target: Target) -> DataFrame:

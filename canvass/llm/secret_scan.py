@@ -4,7 +4,8 @@ Three plain patterns give the base spans (``assign``, ``access``, ``hex``).  A
 second layer looks at encoded candidates and reports one only after its inside
 has been read: the header and payload of a signed token must be JSON objects
 with an algorithm, the nested lengths of a DER value must add up to its end, and
-the fields of an OpenSSH key must fill it.  Every row is looked at on its own, so
+the fields of an OpenSSH key must fill it.  Longer base64 or hex runs are decoded and
+looked into for all of these, up to ``LAYERS`` encodings deep (``encoded``).  Every row is looked at on its own, so
 the job is one narrow map: no shuffle, and any lost task is simply run again.
 
 Defined results: a null or empty text has no spans; a row is never dropped or
@@ -26,8 +27,9 @@ from pyspark.sql import types as T
 from canvass.llm.storage import documents
 
 #: In the order in which spans with one start are listed; the first three are the base kinds.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexder")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexder", "encoded")
 N_BASE = 3
+LAYERS = 3
 #: What a redacted span becomes.
 MASK = "[SECRET]"
 
@@ -43,6 +45,9 @@ _DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
 _OPENSSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+={0,2}")
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 
+_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
+_HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})+")
+
 Span = tuple[int, int, int]  # start, kind's number, end
 
 
@@ -116,17 +121,9 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data)
 
 
-def find_spans(text: str | None) -> list[Span]:
-    """All spans of one text, by start and then kind; offsets are code points, ends exclusive."""
-    if not text:
-        return []
+def _confirmed(text: str) -> list[Span]:
+    """Spans of encoded secrets whose inside has been read."""
     spans: list[Span] = []
-    low = text.lower()
-    if any(hint in low for hint in _ASSIGN_HINTS):
-        spans += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if "AKIA" in text:
-        spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             header = _json_object(_decoded(m[1], urlsafe=True))
@@ -143,6 +140,32 @@ def find_spans(text: str | None) -> list[Span]:
     for m in _HEXDER.finditer(text):
         if len(m[0]) % 2 == 0 and is_key_sequence(bytes.fromhex(m[0])):
             spans.append((m.start(), 7, m.end()))
+    return spans
+
+
+def _holds_secret(run: str, layers: int) -> bool:
+    """Whether a base64 or hex run hides a confirmed secret."""
+    is_hex = _HEX_RUN.fullmatch(run) is not None
+    data = bytes.fromhex(run) if is_hex else _decoded(run, urlsafe="-" in run or "_" in run)
+    if is_openssh_key(data) and (is_hex or layers < LAYERS):  # else it is an openssh span itself
+        return True
+    inside = data.decode("latin-1")
+    return bool(_confirmed(inside)) or (layers > 1 and any(_holds_secret(m[0], layers - 1) for m in _ENCODED.finditer(inside)))
+
+
+def find_spans(text: str | None) -> list[Span]:
+    """All spans of one text, by start and then kind; offsets are code points, ends exclusive."""
+    if not text:
+        return []
+    spans: list[Span] = []
+    low = text.lower()
+    if any(hint in low for hint in _ASSIGN_HINTS):
+        spans += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
+    spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    spans += _confirmed(text)
+    spans += [(m.start(), 8, m.end()) for m in _ENCODED.finditer(text) if _holds_secret(m[0], LAYERS)]
     return sorted(spans)
 
 

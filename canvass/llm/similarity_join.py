@@ -32,6 +32,7 @@ other id is in the component; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -58,18 +59,32 @@ def _head(n: int) -> int:
     return min(n, n - -(-n * PERCENT // 100) + 1 + n // MORE)
 
 
-def _sets(batch: pa.RecordBatch, n_words: int) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Shingle set of each row, and two halves of a 128-bit digest of it."""
-    for words in wordhash.hashed_texts(batch.column("text"), fold=True):
-        tokens = wordhash.shingle_set(words, n_words)
+@dataclass(frozen=True)
+class Naming:
+    """How a shingle set is made and named: by the first node_bits of a digest, or by its last 63 if others have those too."""
+
+    n_words: int = N_WORDS
+    node_bits: int = 63
+    shared: frozenset[int] = frozenset()
+
+    def name(self, tokens: np.ndarray) -> tuple[int, int]:
+        """The name, and the part of the digest that it leaves out."""
         digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
-        yield tokens, (digest >> 65) if len(tokens) else -1, (digest & ((1 << 63) - 1))
+        first, last = digest >> (128 - self.node_bits), digest & ((1 << 63) - 1)
+        return (last, first) if first in self.shared else (first, last)
+
+
+def _sets(batch: pa.RecordBatch, naming: Naming) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Shingle set of each row, its name and the rest of its digest."""
+    for words in wordhash.hashed_texts(batch.column("text"), fold=True):
+        tokens = wordhash.shingle_set(words, naming.n_words)
+        yield tokens, *(naming.name(tokens) if len(tokens) else (-1, 0))
 
 
-def _profiler(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _profiler(naming: Naming) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(tokens), node, check) for tokens, node, check in _sets(batch, n_words)]
+            rows = [(len(tokens), node, check) for tokens, node, check in _sets(batch, naming)]
             columns = np.array(rows, dtype=np.int64).reshape(len(rows), 3)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(columns[:, j]) for j in range(3))],
@@ -79,11 +94,11 @@ def _profiler(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return profile
 
 
-def _header(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _header(naming: Naming) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, nodes, size = [], [], 0
-            for mine, node, _ in _sets(batch, n_words):
+            for mine, node, _ in _sets(batch, naming):
                 mine = mine[: _head(len(mine))]
                 tokens.append(mine.view(np.int64))
                 nodes.append(np.full(len(mine), node, dtype=np.int64))
@@ -102,11 +117,11 @@ def _header(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return heads
 
 
-def _setter(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _setter(naming: Naming) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, lists, size = [], [], 0
-            for tokens, node, _ in _sets(batch, n_words):
+            for tokens, node, _ in _sets(batch, naming):
                 nodes.append(node)
                 lists.append(tokens.view(np.int64))
                 size += len(tokens)
@@ -219,26 +234,29 @@ def _verified(pairs: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame
     )
 
 
-def similar_components(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
+def similar_components(docs: DataFrame, n_words: int = N_WORDS, node_bits: int = 63) -> DataFrame:
     """For each row of docs: doc_id, n_shingles and component_id, the smallest id it is linked with."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = stored(
-        texts.mapInArrow(_profiler(n_words), "doc_id long, n_shingles long, node long, check long"), "profile"
-    )
-    nodes = (
-        rows.where("n_shingles > 0")
-        .groupBy("node")
-        .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"))
-    )
-    nodes = stored(nodes, "nodes")
-    if nodes.where("low <> high").limit(1).count():
-        raise ValueError("two different sets share a 63-bit digest")
-    heads = texts.mapInArrow(_header(n_words), "token long, node long")
+    naming, known = Naming(n_words, node_bits), None
+    while naming != known:  # once, but for sets that share the first half of their digest
+        known = naming
+        rows = stored(texts.mapInArrow(_profiler(naming), "doc_id long, n_shingles long, node long, check long"), "profile")
+        nodes = (
+            rows.where("n_shingles > 0")
+            .groupBy("node")
+            .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"))
+        )
+        nodes = stored(nodes, "nodes")
+        shared = nodes.where("low <> high").select("node").collect()  # of n sets about n * n / 2**64
+        naming = replace(naming, shared=naming.shared | {r["node"] for r in shared})
+    if shared:
+        raise ValueError("two different sets share both halves of their digests")
+    heads = texts.mapInArrow(_header(naming), "token long, node long")
     left = stored(_without_alone(nodes.select("node", "n"), heads), "left")
     ids = left.join(nodes.select("node", "first_id"), "node").select("first_id").distinct()
     sets = (
         texts.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        .mapInArrow(_setter(n_words), "node long, tokens array<long>")
+        .mapInArrow(_setter(naming), "node long, tokens array<long>")
         .dropDuplicates(["node"])
         .join(left, "node")
         .select("node", "n", "tokens")

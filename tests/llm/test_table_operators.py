@@ -6,6 +6,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 
@@ -117,6 +118,29 @@ def test_join_links_what_brute_force_links(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(plain_components(rows))
 
 
+def test_sets_that_share_half_a_digest_are_told_apart(spark):
+    rng = random.Random(12)
+    rows = corpus(8, 15)
+    rows += [doc(700 + k, " ".join(sentence(rng, 20))) for k in range(10)]
+    out = similarity_join.similar_components(spark.createDataFrame(rows, DOCS), node_bits=3).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(plain_components(rows))
+
+
+def test_intermediate_tables_need_a_shared_folder_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    stored = storage.stored(spark.range(3), "x")
+    path = stored.inputFiles()[0]
+    assert os.path.exists(path.removeprefix("file://"))
+    storage.clear(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+    class Remote:
+        conf = type("N", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("C", (), {"applicationId": "a", "master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark.checkpoint.dir"):
+        storage.shared_folder(Remote(), "x")
+
+
 def test_join_of_nothing_and_of_clashing_columns(spark, docs):
     assert similarity_join.similar_components(docs.limit(0)).collect() == []
     clash = docs.withColumn("node", F.lit("x")).withColumn("token", F.lit(1)).withColumn("n", F.lit(2))
@@ -232,6 +256,24 @@ def test_exponent_meets_its_target(spark):
     assert abs(h(a) - 0.9) < 1e-6
 
 
+def test_exponent_at_the_ends(spark):
+    shares = spark.createDataFrame([(0.9,), (0.1,)], "p double")
+    assert mixing.exponent(shares, mixing.Target(max_repetition=50.0)) == 0.0
+    assert mixing.exponent(shares, mixing.Target(max_repetition=0.5)) == 1.0
+    assert mixing.exponent(shares, mixing.Target(entropy_share=0.0)) == 1.0
+    assert mixing.exponent(shares, mixing.Target(entropy_share=2.0)) == 0.0
+    assert mixing.exponent(shares.limit(0), mixing.Target()) == 1.0
+
+
+def test_a_null_source_is_a_source(spark):
+    rows = [doc(i, "one two three four five six seven eight") for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.lit("x")))
+    out = mixing.mix(storage.stored(mixing.units(df), "u"), mixing.Target(max_repetition=1.2)).collect()
+    weights = {r["source"]: r["source_weight"] for r in out}
+    assert set(weights) == {None, "x"} and abs(sum(weights.values()) - 1) < 1e-9 and weights[None] > 1 / 3
+    assert sum(r["source"] is None for r in out) == math.floor(weights[None] * 240) // 8
+
+
 def test_mix_takes_whole_epochs_and_keeps_the_budget(spark, docs, monkeypatch):
     units = storage.stored(mixing.units(docs), "u")
     out = mixing.mix(units, mixing.Target(max_repetition=1.3), block_tokens=200).collect()

@@ -317,6 +317,22 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(df.limit(0)).collect() == []
 
 
+def test_secrets_inside_encodings_are_found():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1234567890'})}.c2lnbmF0dXJl"
+    key = b"\x30\x31\x02\x01\x01\x04\x20" + bytes(range(32)) + b"\xa0\x0a\x06\x08" + b"\x2a\x86\x48\xce\x3d\x03\x01\x07"
+    pem = f"-----BEGIN EC PRIVATE KEY-----\n{base64.b64encode(key).decode()}\n-----END EC PRIVATE KEY-----\n"
+    for secret in (token, pem, f'{{"auth": "{token}"}}'):
+        once = base64.b64encode(secret.encode()).decode()
+        for run in (once, secret.encode().hex(), base64.urlsafe_b64encode(once.encode()).decode(), base64.b64encode(secret.encode().hex().encode()).decode()):
+            spans = secret_scan.find_spans(f"see {run} there")
+            assert (4, secret_scan.KINDS.index("encoded"), 4 + len(run)) in spans
+            assert secret_scan.masked(f"see {run} there") == "see [SECRET] there"
+    for plain in ("nothing to see in this text, however long it may be made", "x" * 300, "ab" * 200):
+        for run in (base64.b64encode(plain.encode()).decode(), plain.encode().hex(), plain):
+            assert not [s for s in secret_scan.find_spans(f"see {run} there") if s[1] >= secret_scan.N_BASE]
+
+
 def test_digests_are_sha256_of_the_listing(spark):
     df = spark.createDataFrame([(1, "token=abcdef1 x")], "doc_id long, text string")
     (r,) = df.select(F.sha2(secret_scan._listed(secret_scan.secret_spans(F.col("text"))), 256).alias("h")).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -48,13 +49,18 @@ def ratings(df: DataFrame, rating: str, x: dict[str, Column], respondent: str |
 
 
 def checked_tasks(df: DataFrame, respondent: str, task: str, mode: str, answer: str) -> DataFrame:
-    """Rows of tasks that can be used: two alternatives or more, and one choice or the ranks 1 to J."""
+    """Rows of tasks that can be used: two alternatives or more, and one choice or the ranks 1 to J.
+
+    A task with an alternative that lacks any value is dropped whole.
+    """
+    missing = reduce(lambda a, b: a | b, (F.col(f"`{f.name}`").isNull() | (F.isnan(f"`{f.name}`") if f.dataType.typeName() in ("double", "float") else F.lit(False)) for f in df.schema.fields))
     w = Window.partitionBy(respondent, task)  # of a task's few alternatives
     n = F.count("*").over(w)
     if mode == "choice":
         good = (n >= 2) & (F.sum(F.col(answer).cast("int")).over(w) == 1)
     else:
         good = (n >= 2) & (F.min(answer).over(w) == 1) & (F.max(answer).over(w) == n) & (F.size(F.collect_set(answer).over(w)) == n)
+    good = good & ~F.bool_or(missing).over(w)
     return df.withColumn("__good", good).where("__good").drop("__good")
 
 
@@ -87,7 +93,7 @@ def conditional_logit(df: DataFrame, x: dict[str, Column], respondent: str, task
 
     The covariance that counts is clustered by respondent, with the correction G / (G - 1).
     """
-    rows = df.select(respondent, task, answer, *(c.alias(k) for k, c in x.items())).dropna()
+    rows = df.select(respondent, task, answer, *(c.alias(k) for k, c in x.items())).dropna(subset=[respondent, task])
     rows = stages(checked_tasks(rows, respondent, task, mode, answer), respondent, task, mode, answer).cache()
     names, k = list(x), len(x)
     cols = [F.col(f"`{n}`") for n in names]
@@ -95,10 +101,11 @@ def conditional_logit(df: DataFrame, x: dict[str, Column], respondent: str, task
     keys = [respondent, task, "__stage"]
 
     def sets(beta: np.ndarray) -> DataFrame:
-        """For each choice set: log-likelihood, score and information."""
-        u = F.exp(linear(beta, cols))
-        s = rows.withColumn("__u", u).groupBy(*keys).agg(
-            F.sum("__u").alias("d"), F.sum(F.col("__chosen") * F.log("__u")).alias("ll"),
+        """For each choice set: log-likelihood, score and information, with utilities taken from the set's largest."""
+        v = rows.withColumn("__v", linear(beta, cols))
+        v = v.withColumn("__v", F.col("__v") - F.max("__v").over(Window.partitionBy(*keys)))
+        s = v.withColumn("__u", F.exp("__v")).groupBy(*keys).agg(
+            F.sum("__u").alias("d"), F.sum(F.col("__chosen") * F.col("__v")).alias("ll"),
             *(F.sum(F.col("__u") * c).alias(f"m{i}") for i, c in enumerate(cols)),
             *(F.sum(F.col("__chosen") * c).alias(f"c{i}") for i, c in enumerate(cols)),
             *(F.sum(F.col("__u") * cols[i] * cols[j]).alias(f"q{i}_{j}") for i, j in pairs),

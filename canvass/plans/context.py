@@ -19,7 +19,10 @@ def scope_rows(df: DataFrame, ids: Sequence | DataFrame | None, key: str = "__ro
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(key).distinct(), key, "left_semi")
+        listed = ids.select(key).distinct()
+        if not listed.join(df.select(key), key, "left_anti").isEmpty():
+            raise CodebookError("the scope names rows that do not exist")
+        return df.join(listed, key, "left_semi")
     wanted = list(dict.fromkeys(ids))
     if len(wanted) <= SHORT_LIST:
         rows = df.where(F.col(key).isin(*wanted)) if wanted else df.where(F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -122,19 +123,24 @@ def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def group_moments(df: DataFrame, by: Sequence[str], x: str, weight: str | None = None) -> DataFrame:
-    """Count, weight sums, mean and (reliability-weighted) variance of x in each group."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
+    """Count, weight sums, mean and (reliability-weighted) variance of x in each group.
+
+    Squares are taken around the group's mean, so that large values with a small spread keep their variance.
+    """
     v = F.col(x)
+    if weight is None:
+        ok = df.where(v.isNotNull()).groupBy(*by)
+        n = F.count("*")
+        return ok.agg(n.alias("n"), n.cast("double").alias("w"), n.cast("double").alias("w2"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
+    w = F.col(weight)
     ok = df.where(v.isNotNull() & (w > 0))
-    sums = ok.groupBy(*by).agg(
+    means = ok.groupBy(*by).agg((F.sum(w * v) / F.sum(w)).alias("__mean")).select(*(F.col(c).alias(f"__by_{c}") for c in by), "__mean")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))
+    sums = ok.join(means, same).groupBy(*by).agg(
         F.count("*").alias("n"),
         F.sum(w).alias("w"),
         F.sum(w * w).alias("w2"),
-        F.sum(w * v).alias("wx"),
-        F.sum(w * v * v).alias("wxx"),
-    )
-    mean = F.col("wx") / F.col("w")
-    left = F.col("w") - F.col("w2") / F.col("w")
-    return sums.withColumn("mean", mean).withColumn(
-        "var", F.try_divide(F.greatest(F.col("wxx") - F.col("w") * mean * mean, F.lit(0.0)), left)
+        F.first("__mean").alias("mean"),
+        F.sum(w * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("wxx"),
     )
+    return sums.withColumn("var", F.try_divide("wxx", F.col("w") - F.col("w2") / F.col("w"))).drop("wxx")

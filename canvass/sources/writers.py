@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import time
+import math
+import uuid
 import zipfile
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
@@ -37,7 +38,7 @@ def write_xlsx(df: DataFrame, path: str, **how) -> None:
     out = for_export(df, **how)
 
     def cell(v: object) -> str:
-        if v is None:
+        if v is None or (isinstance(v, float) and not math.isfinite(v)):
             return "<c/>"
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"<c><v>{v!r}</v></c>"
@@ -76,6 +77,7 @@ class Operation:
     kind: str
     params: dict
     parent: int | None
+    folder: str
 
 
 class Store:
@@ -88,24 +90,27 @@ class Store:
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _read(self) -> dict:
-        p = self._path(f"{self.folder}/log.json")
-        if not self._fs.exists(p):
-            return {"operations": [], "cursor": None, "redo": []}
-        stream = self._fs.open(p)
+        logs = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.folder}/log-*.json")) or []]
+        if not logs:
+            return {"version": 0, "operations": [], "cursor": None, "redo": []}
+        stream = self._fs.open(max(logs, key=lambda p: p.getName()))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
     def _write(self, log: dict) -> None:
-        temporary = self._path(f"{self.folder}/log-{time.time_ns()}.tmp")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(log).encode()))
+        """The next version of the log as a file of its own, renamed when it is whole: no moment is without a log, and of
+        two writers one fails."""
+        version = log["version"] + 1
+        temporary = self._path(f"{self.folder}/_log-{uuid.uuid4().hex}")
+        out = self._fs.create(temporary, False)
+        out.write(bytearray(json.dumps(log | {"version": version}).encode()))
         out.close()
-        final = self._path(f"{self.folder}/log.json")
-        self._fs.delete(final, False)
-        if not self._fs.rename(temporary, final):
-            raise OSError("the log could not be replaced")
+        final = self._path(f"{self.folder}/log-{version:012d}.json")
+        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+            self._fs.delete(temporary, False)
+            raise CodebookError("the dataset has changed meanwhile")
 
     def commit(self, df: DataFrame, kind: str, expected: int | None = None, **params: object) -> int:
         """Write a new revision; expected is the one it was made from."""
@@ -113,16 +118,18 @@ class Store:
         if expected is not None and expected != log["cursor"]:
             raise CodebookError("the dataset has changed meanwhile")
         revision = len(log["operations"])
-        df.write.parquet(f"{self.folder}/rev={revision}")
-        log["operations"].append(asdict(Operation(revision, kind, params, log["cursor"])))
+        name = f"revision-{revision}-{uuid.uuid4().hex}"  # of this writer alone
+        df.write.parquet(f"{self.folder}/{name}")
+        log["operations"].append(asdict(Operation(revision, kind, params, log["cursor"], name)))
         self._write(log | {"cursor": revision, "redo": []})
         return revision
 
     def load(self, revision: int | None = None) -> DataFrame:
-        at = self._read()["cursor"] if revision is None else revision
+        log = self._read()
+        at = log["cursor"] if revision is None else revision
         if at is None:
             raise CodebookError("the dataset is empty")
-        return self.spark.read.parquet(f"{self.folder}/rev={at}")
+        return self.spark.read.parquet(f"{self.folder}/{log['operations'][at]['folder']}")
 
     def undo(self) -> int:
         log = self._read()

@@ -65,6 +65,35 @@ def test_welch_anova_golden():
     assert (r["f"], r["df1"], r["df2"], r["p"]) == pytest.approx((8.723254, 2, 9.152499, 0.00758064), rel=1e-6)
 
 
+def test_moments_keep_a_small_spread_of_large_values(spark):
+    rows = [("a", 1e9 + i % 2, 1.0 + i % 3) for i in range(40)] + [("b", float(i), 2.0) for i in range(9)] + [("c", 5.0, 1.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    plain, weighted = inference.moments_by(df, "g", "x"), inference.moments_by(df, "g", "x", "w")
+    for g in "ab":
+        x = np.array([r[1] for r in rows if r[0] == g])
+        w = np.array([r[2] for r in rows if r[0] == g])
+        assert abs(plain[g]["var"] - (x - x[0]).var(ddof=1)) < 1e-7
+        d = x - x[0]
+        mean = (w * d).sum() / w.sum()
+        assert abs(weighted[g]["var"] - (w * (d - mean) ** 2).sum() / (w.sum() - (w * w).sum() / w.sum())) < 1e-6
+    assert plain["c"]["n"] == 1 and plain["c"]["var"] is None
+
+
+def test_conditional_logit_of_large_utilities_and_broken_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(r, t, 1000.0 + a + rng.random() * 3, False) for r in range(30) for t in range(4) for a in range(3)]
+    rows = [(r, t, x, i % 3 == (r + t) % 3) for i, (r, t, x, _) in enumerate(rows)]
+    near = spark.createDataFrame([(r, t, x - 1000, c) for r, t, x, c in rows], "respondent int, task int, x double, chosen boolean")
+    far = spark.createDataFrame([(r, t, x * 1.0 + 1e5, c) for r, t, x, c in rows], "respondent int, task int, x double, chosen boolean")
+    how = ("respondent", "task", "choice", "chosen")
+    a, b = (conjoint.conditional_logit(df, {"x": F.col("x")}, *how) for df in (near, far))
+    assert np.allclose(a.beta, b.beta, atol=1e-6) and abs(a.nll - b.nll) < 1e-6 and a.n_sets == 120
+    holed = near.withColumn("x", F.when((F.col("respondent") == 3) & (F.col("task") == 1) & ~F.col("chosen") & (F.col("x") < 2), None).otherwise(F.col("x")))
+    gone = near.where("NOT (respondent = 3 AND task = 1)")
+    c, d = (conjoint.conditional_logit(df, {"x": F.col("x")}, *how) for df in (holed, gone))
+    assert c.n_sets == 119 and np.allclose(c.beta, d.beta)
+
+
 def test_conditional_logit_of_one_attribute(spark):
     rows = [(r, 1, a, int((a == "A") == (r != 4))) for r in (1, 2, 3, 4) for a in ("A", "B")]
     df = spark.createDataFrame(rows, "respondent int, task int, brand string, chosen int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sqlite3
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,53 @@ def test_store_undoes_and_redoes(spark, tmp_path):
         store.redo()
 
 
+def test_of_two_writers_of_a_store_one_fails(spark, tmp_path):
+    folder = f"file://{tmp_path}/d"
+    a, b = writers.Store(spark, folder), writers.Store(spark, folder)
+    a.commit(spark.range(3), "load")
+    seen = b._read()
+    a.commit(spark.range(5), "grow", expected=0)
+    with pytest.raises(CodebookError):
+        b._write(seen | {"cursor": 0})
+    with pytest.raises(CodebookError):
+        b.commit(spark.range(9), "other", expected=0)
+    assert b.load().count() == 5 and b.load(0).count() == 3 and [o["kind"] for o in b.history()] == ["load", "grow"]
+
+
+def test_workbooks_leave_cells_empty_that_are_not_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    writers.write_xlsx(df.coalesce(1), f"{tmp_path}/x.xlsx")
+    with zipfile.ZipFile(f"{tmp_path}/x.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<c/>") == 3 and "<v>1.5</v>" in sheet and "nan" not in sheet and "inf" not in sheet
+
+
+def test_a_scope_table_with_unknown_ids_is_refused(spark):
+    df = spark.range(5).withColumnRenamed("id", "__rowId__")
+    assert scope_rows(df, df.limit(2)).count() == 2
+    with pytest.raises(CodebookError):
+        scope_rows(df, df.select((F.col("__rowId__") + 3).alias("__rowId__")))
+
+
+def test_rows_out_of_the_fit_stay_in_the_survey_frame(spark):
+    rows = [(i, float(i % 7), float(i % 7) * 2 + (i % 3), 1.0 + i % 2, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double, psu int")
+    part = df.where("psu < 3")
+    book = Codebook(design=Design("w", psu="psu"))
+    fit = regression.linear_regression(part, "y", {"x": F.col("x")}, "w", "survey", covariance="classical", keep=["id", "w", "psu"])
+    whole, dof = regression.taylor_fit(fit, book, "id", df)
+    _, fewer = regression.taylor_fit(fit, book, "id")
+    assert dof == fewer + 2
+    w, x, e = (np.array([r[k] for r in part.orderBy("id").collect()]) for k in ("w", "x", "y"))
+    psu = np.array([r["psu"] for r in part.orderBy("id").collect()])
+    design = np.column_stack([np.ones(len(x)), x])
+    bread = np.linalg.inv(design.T @ (design * w[:, None]))
+    scores = design * (w * (e - design @ (bread @ design.T @ (w * e))))[:, None]
+    totals = np.array([scores[psu == p].sum(axis=0) for p in range(5)])
+    centred = totals - totals.mean(axis=0)
+    assert np.allclose(whole, bread @ (centred.T @ centred * 5 / 4) @ bread)
+
+
 def test_scopes_weights_and_exclusions(spark):
     df = spark.createDataFrame([(str(i), float(i % 3)) for i in range(9)], "__rowId__ string, w double")
     assert scope_rows(df, None).count() == 9 and scope_rows(df, []).count() == 0 and scope_rows(df, ["1", "1", "4"]).count() == 2

@@ -17,8 +17,8 @@ often than the two shorter ones in it, so a longer step explodes only those whos
 parts have ``MIN_COUNT``; no score can use another.
 
 Only on their way rows travel as arrays: those of one block whose hashes begin with the
-same 16 bits.  A block has so many arrays at most, whatever the corpus holds, and the
-volume grows in proportion to it.  One shuffle of the texts serves all steps.
+same ``BUCKET_BITS`` bits.  A block has so many arrays at most, whatever the corpus holds,
+and the volume grows in proportion to it.  One shuffle of the texts serves all steps.
 
 Defined results: words are runs of non-space characters, A-Z in lower case; a
 null or empty text has no words, score 0 and a null mean; n_backoff counts the words
@@ -28,6 +28,7 @@ often as they occur; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,8 +45,13 @@ MIN_COUNT, BACKOFF = 2, 0.4
 BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
 #: The order of ``op9_stupid_backoff_order3``.
 ORDER = 3
-#: A hash as it travels: 16 bits that its array shares (the bucket), and 16 and 32 bits of its own.
-_LISTS = "bucket int, block long, high array<smallint>, low array<int>, n array<int>"
+#: First bits of a hash that the n-grams of an array share; there are so many units of work at most for the count table.
+BUCKET_BITS = 14
+#: The rest of a hash travels as a byte that repeats along a sorted array, a short and an int.
+TOP_BITS = 64 - 48 - BUCKET_BITS
+#: Answers that a block looks at together.
+ANSWER_ROWS = 1024
+_LISTS = "bucket int, block long, top array<tinyint>, high array<smallint>, low array<int>, n array<int>"
 _SCORES = "doc_id long, n_words long, n_backoff long, n_single long, log_score double"
 
 
@@ -66,64 +72,92 @@ class _Block:
     def ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where n-grams end that a score can need, and their hashes."""
         at = np.flatnonzero(self.place >= n - 1).astype(np.int32)
-        hashes = wordhash.ngram_hashes(self.words, n)[at - (n - 1)] if n > 1 else self.words
+        if n == 1:
+            return at, self.words
         if n > 2:
             shorter = self.totals[n - 1] >= MIN_COUNT
-            some = shorter[at] & shorter[at - 1]
-            at, hashes = at[some], hashes[some]
+            at = at[shorter[at] & shorter[at - 1]]
+        hashes = np.empty(len(at), dtype=np.uint64)
+        for part in _slices(len(at)):
+            ends = at[part]
+            first = ends[0] - (n - 1)
+            hashes[part] = wordhash.ngram_hashes(self.words[first : ends[-1] + 1], n)[ends - (n - 1) - first]
         return at, hashes
 
-    def learn(self, n: int, grams: np.ndarray, totals: np.ndarray) -> None:
+    def learn(self, n: int, answers: pa.Table) -> None:
         """Totals of order n: those of the answers, and of n-grams without an answer the block's own counts."""
         at, hashes = self.ending(n)
         known = np.unique(hashes)
-        which = np.searchsorted(known, hashes).astype(np.int32)  # by search, not by sorting: half of the memory
+        which = np.empty(len(hashes), dtype=np.int32)
+        for part in _slices(len(hashes)):  # by search, not by sorting: half of the memory
+            which[part] = np.searchsorted(known, hashes[part])
+        del hashes
         own = np.bincount(which, minlength=len(known))
-        if len(known):
+        for batch in answers.to_batches(max_chunksize=ANSWER_ROWS) if len(known) else ():
+            grams, totals = _totals(batch)
             to = np.minimum(np.searchsorted(known, grams), len(known) - 1)
             mine = known[to] == grams
             own[to[mine]] = totals[mine]
         self.totals[n] = np.zeros(len(self.words), dtype=np.int64)
-        self.totals[n][at] = own[which]
+        for part in _slices(len(at)):
+            self.totals[n][at[part]] = own[which[part]]
 
     def learn_all(self, answers: pa.Table, last: int) -> None:
-        whole = lambda c, bits: _values(answers.column(c)).astype(np.int64) & ((1 << bits) - 1)
-        sizes = np.asarray(pc.list_value_length(answers.column("low")).combine_chunks(), dtype=np.int64)
-        grams = np.repeat(np.asarray(answers.column("bucket").combine_chunks()).astype(np.uint64), sizes) << np.uint64(48)
-        grams |= (whole("high", 16) << 32 | whole("low", 32)).view(np.uint64)
-        totals = whole("more", 32) << 15 | whole("total", 15)
         for n in range(1, last + 1):
-            self.learn(n, grams, totals)
+            self.learn(n, answers)
 
 
-def _values(lists: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(pc.list_flatten(lists).combine_chunks())
+def _slices(n: int, words: int = 1 << 18) -> Iterator[slice]:
+    """Pieces of a block's arrays, so that what is computed of them on the way stays small."""
+    return (slice(a, min(a + words, n)) for a in range(0, n, words))
+
+
+def _totals(answers: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some answers and their totals."""
+    whole = lambda c, bits: np.asarray(pc.list_flatten(answers.column(c))).astype(np.int64) & ((1 << bits) - 1)
+    sizes = np.asarray(pc.list_value_length(answers.column("low")), dtype=np.int64)
+    grams = np.repeat(np.asarray(answers.column("bucket")).astype(np.uint64), sizes) << np.uint64(48 + TOP_BITS)
+    grams |= (whole("top", TOP_BITS) << 48 | whole("high", 16) << 32 | whole("low", 32)).view(np.uint64)
+    return grams, whole("more", 32) << 15 | whole("total", 15)
 
 
 def _exploder(step: int):
-    """A block's distinct n-grams of a step with their counts, as arrays by the first 16 bits of their hashes."""
+    """A block's distinct n-grams of a step with their counts, as sorted arrays by the first bits of their hashes."""
 
     def explode(texts: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        found = []
-        if len(texts):
-            who = texts.column("block")[0].as_py()
-            block = _Block(texts)
-            if answers is not None:
-                block.learn_all(answers, step - 1)
-            for n in (1, 2) if step == 2 else (step,):
-                entries, times = np.unique(block.ending(n)[1], return_counts=True)
-                buckets, starts = np.unique(entries >> np.uint64(48), return_index=True)
-                at = pa.array(np.append(starts, len(entries)).astype(np.int32))
-                arrays = [(entries >> np.uint64(32)).astype(np.uint16).view(np.int16), entries.astype(np.uint32).view(np.int32), times.astype(np.int32)]
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in arrays]
-                found.append(pa.Table.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), who, dtype=np.int64)), *lists], schema=_LISTS_SCHEMA))
-        return pa.concat_tables(found) if found else _LISTS_SCHEMA.empty_table()
+        if not len(texts):
+            return _LISTS_SCHEMA.empty_table()
+        who = texts.column("block")[0].as_py()
+        block = _Block(texts)
+        if answers is not None:
+            block.learn_all(answers, step - 1)
+        counts = [np.unique(block.ending(n)[1], return_counts=True) for n in ((1, 2) if step == 2 else (step,))]
+        entries, times = (np.concatenate(c) for c in zip(*counts, strict=True))
+        order = np.argsort(entries, kind="stable")
+        entries, times = entries[order], times[order]
+        buckets, starts = np.unique(entries >> np.uint64(48 + TOP_BITS), return_index=True)
+        at = pa.array(np.append(starts, len(entries)).astype(np.int32))
+        arrays = [
+            (entries >> np.uint64(48) & np.uint64((1 << TOP_BITS) - 1)).astype(np.int8),
+            (entries >> np.uint64(32)).astype(np.uint16).view(np.int16),
+            entries.astype(np.uint32).view(np.int32),
+            times.astype(np.int32),
+        ]
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in arrays]
+        return pa.Table.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), who, dtype=np.int64)), *lists], schema=_LISTS_SCHEMA)
 
     return explode if step > 2 else lambda texts: explode(texts)
 
 
 _LISTS_SCHEMA = pa.schema(
-    [("bucket", pa.int32()), ("block", pa.int64()), ("high", pa.list_(pa.int16())), ("low", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
+    [
+        ("bucket", pa.int32()),
+        ("block", pa.int64()),
+        ("top", pa.list_(pa.int8())),
+        ("high", pa.list_(pa.int16())),
+        ("low", pa.list_(pa.int32())),
+        ("n", pa.list_(pa.int32())),
+    ]
 )
 
 
@@ -133,15 +167,20 @@ def _answers(lists: DataFrame, n_parts: int) -> DataFrame:
     The count table lies in n_parts hash partitions with the rows that it is the sum of, so that a window joins the two
     without another shuffle.  An n-gram has no more rows than there are blocks.
     """
-    rows = lists.repartition(n_parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("high", "low", "n")))
-    same = Window.partitionBy("low", "high", "bucket")
+    rows = lists.repartition(n_parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("top", "high", "low", "n")))
+    whole = lambda c, bits: F.col(c).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+    rest = F.shiftleft(whole("top", TOP_BITS), 48).bitwiseOR(F.shiftleft(whole("high", 16), 32)).bitwiseOR(whole("low", 32))
+    rows = rows.select("bucket", "block", rest.alias("rest"), "n")
+    signed = lambda v, bits: v.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(F.lit(1 << (bits - 1))) - F.lit(1 << (bits - 1))
+    same = Window.partitionBy("rest", "bucket")
     return (
         rows.withColumn("all", F.sum("n").over(same))
         .where(F.col("all") > F.col("n"))
         .groupBy("bucket", "block")
         .agg(
-            F.collect_list("high").alias("high"),
-            F.collect_list("low").alias("low"),
+            F.collect_list(F.shiftright("rest", 48).cast("tinyint")).alias("top"),
+            F.collect_list(signed(F.shiftright("rest", 32), 16).cast("smallint")).alias("high"),
+            F.collect_list(signed(F.col("rest"), 32).cast("int")).alias("low"),
             F.collect_list(F.col("all").bitwiseAND(F.lit(32767)).cast("smallint")).alias("total"),
             F.collect_list(F.shiftright("all", 15).cast("int")).alias("more"),
         )
@@ -152,25 +191,25 @@ def _scorer(order: int):
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(texts)
         block.learn_all(answers, order)
-        log = np.log(np.maximum(block.totals[1], 1))
-        backed = np.zeros(len(log), dtype=bool)
-        single = np.ones(len(log), dtype=bool)  # scored by the word alone: its count is yet to be divided by N
-        for n in range(2, order + 1):
-            later = np.flatnonzero(block.place >= n - 1)  # the others have no such context to back off from
-            total = block.totals[n][later]
-            hit = total >= MIN_COUNT
-            log[later[~hit]] += np.log(BACKOFF)
-            log[later[hit]] = np.log(total[hit]) - np.log(block.totals[n - 1][later[hit] - 1])
-            backed[later], single[later[hit]] = ~hit, False
-        owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        per_text = lambda x: np.bincount(owner, weights=x, minlength=len(block.sizes))
+        sums = np.zeros((3, len(block.sizes)))
+        for texts_at in _slices(len(block.sizes), 256):
+            words = slice(block.begin[texts_at.start], block.begin[texts_at.stop])
+            log = np.log(np.maximum(block.totals[1][words], 1))
+            backed = np.zeros(len(log), dtype=bool)
+            single = np.ones(len(log), dtype=bool)  # scored by the word alone: its count is yet to be divided by N
+            for n in range(2, order + 1):
+                later = np.flatnonzero(block.place[words] >= n - 1)  # the others have no such context to back off from
+                total = block.totals[n][words][later]
+                hit = total >= MIN_COUNT
+                log[later[~hit]] += np.log(BACKOFF)
+                log[later[hit]] = np.log(total[hit]) - np.log(block.totals[n - 1][words][later[hit] - 1])
+                backed[later], single[later[hit]] = ~hit, False
+            sizes = block.sizes[texts_at]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            for row, x in zip(sums, (backed, single, log), strict=True):
+                row[texts_at] = np.bincount(owner, weights=x, minlength=len(sizes))
         return pa.Table.from_arrays(
-            [
-                block.doc_id,
-                pa.array(block.sizes),
-                *(pa.array(per_text(x).astype(np.int64)) for x in (backed, single)),
-                pa.array(per_text(log), type=pa.float64()),
-            ],
+            [block.doc_id, pa.array(block.sizes), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2])],
             names=[x.split()[0] for x in _SCORES.split(", ")],
         )
 

@@ -121,6 +121,15 @@ def _totals(answers: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return grams, whole("more", 32) << 15 | whole("total", 15)
 
 
+def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and how often they occur; sorts the hashes where they are, to hold less."""
+    hashes.sort()
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    starts = np.flatnonzero(first).astype(np.int32)
+    return hashes[starts], np.diff(starts, append=np.int32(len(hashes)))
+
+
 def _exploder(step: int):
     """A block's distinct n-grams of a step with their counts, as sorted arrays by the first bits of their hashes."""
 
@@ -131,17 +140,21 @@ def _exploder(step: int):
         block = _Block(texts)
         if answers is not None:
             block.learn_all(answers, step - 1)
-        counts = [np.unique(block.ending(n)[1], return_counts=True) for n in ((1, 2) if step == 2 else (step,))]
+        grams = [block.ending(n)[1] for n in ((1, 2) if step == 2 else (step,))]
+        del block
+        counts = [_counted(grams.pop()) for _ in range(len(grams))]
         entries, times = (np.concatenate(c) for c in zip(*counts, strict=True))
-        order = np.argsort(entries, kind="stable")
+        del counts
+        order = np.argsort(entries)
         entries, times = entries[order], times[order]
+        del order
         buckets, starts = np.unique(entries >> np.uint64(48 + TOP_BITS), return_index=True)
         at = pa.array(np.append(starts, len(entries)).astype(np.int32))
         arrays = [
             (entries >> np.uint64(48) & np.uint64((1 << TOP_BITS) - 1)).astype(np.int8),
             (entries >> np.uint64(32)).astype(np.uint16).view(np.int16),
             entries.astype(np.uint32).view(np.int32),
-            times.astype(np.int32),
+            times,
         ]
         lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in arrays]
         return pa.Table.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), who, dtype=np.int64)), *lists], schema=_LISTS_SCHEMA)

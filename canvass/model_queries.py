@@ -305,10 +305,20 @@ def agglomerative(spark, sf_dir):
     return cluster.agglomerative(rows, x, "vec_id", 5)[0].select("vec_id", "cluster")
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))} FROM embeddings),
+m AS (SELECT {", ".join(f"avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(8))} FROM e),
+z AS (SELECT vec_id, label, {", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(8))} FROM e, m),
+t AS (SELECT a.vec_id, a.label AS c, b.label AS o, count(*) AS n,
+  sum(sqrt({" + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(8))})) AS s FROM z AS a, z AS b GROUP BY ALL),
+g AS (SELECT vec_id, c, max(CASE WHEN o = c THEN n END) AS own, max(CASE WHEN o = c AND n > 1 THEN s / (n - 1) END) AS a,
+  min(CASE WHEN o <> c THEN s / n END) AS b FROM t GROUP BY vec_id, c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster,
+  round(CASE WHEN own > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM g"""
+)
 def silhouette(spark, sf_dir):
     rows, x = _points(spark, sf_dir)
-    return cluster.silhouette(rows, x, "label", "vec_id")
+    return cluster.silhouette(rows, x, "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query()

@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
@@ -18,6 +20,8 @@ from canvass.functions.columns import finite
 #: Methods that need all pairs of rows take no more rows than this.
 MAX_PAIRWISE = 2000
 MEDOID_SAMPLE = 1000
+#: Rows of a block where all pairs meet block by block.
+PAIR_BLOCK = 4096
 
 
 def prepared(df: DataFrame, columns: Sequence[str], scaling: str = "none") -> tuple[DataFrame, list[str]]:
@@ -144,23 +148,50 @@ def agglomerative(df: DataFrame, x: Sequence[str], key: str, k: int, linkage: st
     return df.join(found, key), np.array(merges, dtype=float)
 
 
-def silhouette(df: DataFrame, x: Sequence[str], cluster: str, key: str) -> DataFrame:
-    """Exact silhouette of each of at most MAX_PAIRWISE rows; 0 for fewer than two clusters or single rows."""
-    ids, points = _bounded(df, [*x, cluster], key, MAX_PAIRWISE)
-    values, which = points[:, :-1], points[:, -1].astype(int)
-    names = np.unique(which)
-    d = distances(values, values)
-    own = which[:, None] == names[None]
-    sums, counts = d @ own, own.sum(axis=0)
-    at = np.searchsorted(names, which)
-    i = np.arange(len(ids))
-    a = sums[i, at] / np.maximum(counts[at] - 1, 1)
-    other = sums / counts
-    other[i, at] = np.inf
-    b = other.min(axis=1)
-    good = (counts[at] > 1) & (2 <= len(names)) & (len(names) < len(ids))
-    s = np.where(good, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return df.sparkSession.createDataFrame(list(zip(ids, which.tolist(), s.tolist(), strict=True)), [key, "cluster", "silhouette"])
+def _block_pairs(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Each row with one block of rows for every other, on both sides: what meets is two blocks of a bounded size."""
+    n = rows.count() // block + 1
+    own, each = F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return rows.withColumn("__q", own).withColumn("__d", each), rows.withColumn("__d", own).withColumn("__q", each)
+
+
+def silhouette(df: DataFrame, x: Sequence[str], cluster: str, key: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """Exact silhouette of every row: key, cluster, silhouette; 0 for fewer than two clusters or single rows.
+
+    Rows meet in pairs of blocks that give each row its sum of distances to each cluster; an aggregation adds these up.
+    The key is a row's own.  Rows without a cluster are left out; an empty table gives no rows.
+    """
+    names = [f"__x{i}" for i in range(len(x))]
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(key).alias("__key"), F.col(cluster).cast("int").alias("__c"), *(F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True)))
+
+    def sums(queries: pa.Table, others: pa.Table) -> pa.Table:
+        which, at = np.unique(others.column("__c").to_numpy(), return_inverse=True)
+        q, o = (np.column_stack([t.column(c).to_numpy() for c in names]) for t in (queries, others))
+        member = np.eye(len(which))[at] if len(which) else np.zeros((0, 0))
+        found = np.zeros((len(q), len(which)))
+        for a in range(0, len(q), 64):
+            d = np.zeros((len(q[a : a + 64]), len(o)))
+            for i in range(q.shape[1]):
+                d += (q[a : a + 64, i, None] - o[:, i]) ** 2
+            found[a : a + 64] = np.sqrt(d) @ member
+        who = pa.array(np.repeat(np.arange(len(q)), len(which)))
+        out = queries.select(["__key", "__c"]).take(who)
+        out = out.append_column("__other", pa.array(np.tile(which, len(q)).astype(np.int32))).append_column("__sum", pa.array(found.ravel()))
+        return out.append_column("__n", pa.array(np.tile(member.sum(axis=0).astype(np.int64), len(q))))
+
+    schema = T.StructType([*rows.select("__key", "__c").schema, *(T.StructField(n, t) for n, t in (("__other", T.IntegerType()), ("__sum", T.DoubleType()), ("__n", T.LongType())))])
+    queries, others = _block_pairs(rows, "__key", block)
+    met = queries.groupBy("__q", "__d").cogroup(others.groupBy("__q", "__d")).applyInArrow(sums, schema)
+    total = met.groupBy("__key", "__c", "__other").agg(F.sum("__sum").alias("s"), F.sum("__n").alias("n"))
+    own = F.col("__other") == F.col("__c")
+    each = total.groupBy("__key", "__c").agg(
+        F.max(F.when(own, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"),
+        F.max(F.when(own, F.col("n"))).alias("own"),
+    )
+    good = (F.col("own") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 0)
+    value = F.when(good, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return each.select(F.col("__key").alias(key), F.col("__c").alias("cluster"), value.alias("silhouette"))
 
 
 def same_partition(df: DataFrame, a: str, b: str) -> bool:

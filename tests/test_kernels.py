@@ -233,6 +233,26 @@ def test_agglomeration_and_medoids(spark):
     assert min(r["silhouette"] for r in cluster.silhouette(df, ["x", "y"], "true", "id").collect()) > 0.9
 
 
+def test_silhouettes_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(60, 2)).round(1)
+    which = [9 if i == 0 else i % 3 for i in range(60)]  # one cluster has a single row
+    df = spark.createDataFrame([(i, float(a), float(b), which[i]) for i, (a, b) in enumerate(points)] + [(60, 0.0, 0.0, None)], "id long, x double, y double, c int")
+    want = {}
+    for i in range(60):
+        far = {c: [float(np.hypot(*(points[i] - points[j]))) for j in range(60) if which[j] == c and j != i] for c in set(which)}
+        if not far[which[i]]:
+            want[i] = 0.0
+            continue
+        a, b = np.mean(far[which[i]]), min(np.mean(v) for c, v in far.items() if c != which[i])
+        want[i] = (b - a) / max(a, b)
+    for block in (7, 4096):
+        got = {r["id"]: r["silhouette"] for r in cluster.silhouette(df, ["x", "y"], "c", "id", block=block).collect()}
+        assert got == pytest.approx(want)
+    assert cluster.silhouette(df.limit(0), ["x", "y"], "c", "id").collect() == []
+    assert {r["silhouette"] for r in cluster.silhouette(df.where("c = 1"), ["x", "y"], "c", "id").collect()} == {0.0}
+
+
 # --- codebook, expressions, several answers
 
 

@@ -305,12 +305,17 @@ def agglomerative(spark, sf_dir):
     return cluster.agglomerative(rows, x, "vec_id", 5)[0].select("vec_id", "cluster")
 
 
-@query(
-    f"""WITH e AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))} FROM embeddings),
+#: Standardised points and their distances, as _points has them.
+_POINTS_SQL = f"""WITH e AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))} FROM embeddings),
 m AS (SELECT {", ".join(f"avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(8))} FROM e),
 z AS (SELECT vec_id, label, {", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(8))} FROM e, m),
-t AS (SELECT a.vec_id, a.label AS c, b.label AS o, count(*) AS n,
-  sum(sqrt({" + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(8))})) AS s FROM z AS a, z AS b GROUP BY ALL),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS c, b.label AS o,
+  sqrt({" + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(8))}) AS d FROM z AS a, z AS b)"""
+
+
+@query(
+    f"""{_POINTS_SQL},
+t AS (SELECT i AS vec_id, c, o, count(*) AS n, sum(d) AS s FROM d GROUP BY ALL),
 g AS (SELECT vec_id, c, max(CASE WHEN o = c THEN n END) AS own, max(CASE WHEN o = c AND n > 1 THEN s / (n - 1) END) AS a,
   min(CASE WHEN o <> c THEN s / n END) AS b FROM t GROUP BY vec_id, c)
 SELECT vec_id, CAST(c AS INTEGER) AS cluster,
@@ -327,10 +332,17 @@ def isolation_forest(spark, sf_dir):
     return cluster.isolation_scores(rows, x, "vec_id").select("vec_id", "isolation", "outlier")
 
 
-@query()
+@query(
+    f"""{_POINTS_SQL},
+n AS (SELECT i, j, d FROM d WHERE i <> j QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 20),
+k AS (SELECT i, max(d) AS reach FROM n GROUP BY i),
+p AS (SELECT n.i, 1 / (avg(greatest(n.d, k.reach)) + 1e-10) AS p FROM n JOIN k ON k.i = n.j GROUP BY n.i),
+f AS (SELECT n.i, avg(q.p) / any_value(p.p) AS lof FROM n JOIN p AS q ON q.i = n.j JOIN p ON p.i = n.i GROUP BY n.i)
+SELECT i AS vec_id, round(lof, 6) AS lof, lof > (SELECT quantile_cont(lof, 0.95) FROM f) AS outlier FROM f"""
+)
 def local_outlier_factor(spark, sf_dir):
     rows, x = _points(spark, sf_dir)
-    return cluster.local_outlier_factor(rows, x, "vec_id")
+    return cluster.local_outlier_factor(rows, x, "vec_id").withColumn("lof", F.round("lof", 6))
 
 
 @query()

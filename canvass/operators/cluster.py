@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
 
-#: Methods that need all pairs of rows take no more rows than this.
+#: Methods that hold all pairs of rows take no more rows than this.
 MAX_PAIRWISE = 2000
 MEDOID_SAMPLE = 1000
 #: Rows of a block where all pairs meet block by block.
@@ -272,18 +273,50 @@ def isolation_scores(df: DataFrame, x: Sequence[str], key: str, trees: int = 100
     return scored.withColumn("outlier", F.col("isolation") > F.lit(limit))
 
 
-def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20, contamination: float = 0.05) -> DataFrame:
-    """Exact factors of at most MAX_PAIRWISE rows."""
-    ids, p = _bounded(df, x, key, MAX_PAIRWISE)
-    d = distances(p, p)
-    np.fill_diagonal(d, np.inf)
-    k = min(k, len(p) - 1)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    reach = np.maximum(np.take_along_axis(d, near, 1), np.take_along_axis(d, near, 1)[:, -1][near])
-    density = 1 / (reach.mean(axis=1) + 1e-10)
-    lof = density[near].mean(axis=1) / density
-    cut = np.quantile(lof, 1 - contamination)
-    return df.sparkSession.createDataFrame([(i, float(v), bool(v > cut)) for i, v in zip(ids, lof, strict=True)], [key, "lof", "outlier"])
+def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20, contamination: float = 0.05, block: int = PAIR_BLOCK) -> DataFrame:
+    """Exact factors of every row: key, lof, outlier (above the quantile that leaves the top share).
+
+    Rows meet in pairs of blocks, each of which keeps a row's k nearest; one ranking merges them to the k nearest of
+    all (of equally near ones those with the smallest keys), and two joins by key look up distances and densities.
+    The key is a row's own and of an ordered type.  One row alone has factor 1; an empty table gives no rows.  The links
+    (k a row) are kept on executors' disks, and found again where an executor is lost.
+    """
+    names = [f"__x{i}" for i in range(len(x))]
+    rows = df.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True)))
+
+    def nearest(queries: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.sort_by("__key")  # stable orders then take the smallest keys of equally near rows
+        q, o = (np.column_stack([t.column(c).to_numpy() for c in names]) for t in (queries, others))
+        place = {v: i for i, v in enumerate(others.column("__key").to_pylist())}
+        who, near, far = [], [], []
+        for i, v in enumerate(queries.column("__key").to_pylist()):
+            d = np.sqrt(((q[i] - o) ** 2).sum(axis=1))
+            if v in place:
+                d[place[v]] = np.inf
+            some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
+            best = some[np.argsort(d[some], kind="stable")[:k]]
+            best = best[np.isfinite(d[best])]
+            who.append(np.full(len(best), i))
+            near.append(best)
+            far.append(d[best])
+        who, near = (np.concatenate([np.empty(0, dtype=np.int64), *v]) for v in (who, near))
+        found = queries.select(["__key"]).take(pa.array(who)).append_column("__near", others.column("__key").take(pa.array(near)))
+        return found.append_column("__dist", pa.array(np.concatenate([np.empty(0), *far])))
+
+    kind = rows.schema["__key"].dataType
+    schema = T.StructType([T.StructField("__key", kind), T.StructField("__near", kind), T.StructField("__dist", T.DoubleType())])
+    queries, others = _block_pairs(rows, "__key", block)
+    met = queries.groupBy("__q", "__d").cogroup(others.groupBy("__q", "__d")).applyInArrow(nearest, schema)
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__dist", "__near"))
+    links = met.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r").persist(StorageLevel.DISK_ONLY)
+    limit = links.groupBy("__key").agg(F.max("__dist").alias("__limit")).withColumnRenamed("__key", "__near")
+    reach = F.greatest("__dist", "__limit")
+    density = links.join(limit, "__near").groupBy("__key").agg((1 / (F.avg(reach) + 1e-10)).alias("__density"))
+    around = links.join(density.select(F.col("__key").alias("__near"), F.col("__density").alias("__other")), "__near").groupBy("__key").agg(F.avg("__other").alias("__around"))
+    factors = density.join(around, "__key").select("__key", (F.col("__around") / F.col("__density")).alias("__lof"))
+    scored = rows.select("__key").join(factors, "__key", "left").select(F.col("__key").alias(key), F.coalesce("__lof", F.lit(1.0)).alias("lof"))
+    cut = scored.agg(F.percentile("lof", 1 - contamination)).first()[0]
+    return scored.withColumn("outlier", F.col("lof") > F.lit(cut))
 
 
 # --- mixed and incremental clusterings

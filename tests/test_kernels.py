@@ -233,6 +233,26 @@ def test_agglomeration_and_medoids(spark):
     assert min(r["silhouette"] for r in cluster.silhouette(df, ["x", "y"], "true", "id").collect()) > 0.9
 
 
+@pytest.mark.parametrize("block", [9, 4096])
+def test_outlier_factors_do_not_depend_on_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    points = np.vstack([rng.normal(size=(45, 2)).round(1), [[9.0, 9.0]], np.zeros((4, 2))])  # one far away, four alike
+    n, k = len(points), 5
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    near = [sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k] for i in range(n)]
+    density = [1 / (np.mean([max(d[i, j], d[j, near[j][-1]]) for j in near[i]]) + 1e-10) for i in range(n)]
+    want = {i: np.mean([density[j] for j in near[i]]) / density[i] for i in range(n)}
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, x double, y double")
+    got = {r["id"]: r for r in cluster.local_outlier_factor(df, ["x", "y"], "id", k=k, block=block).collect()}
+    assert {i: r["lof"] for i, r in got.items()} == pytest.approx(want)
+    cut = np.quantile(list(want.values()), 0.95)
+    assert {i for i, r in got.items() if r["outlier"]} == {i for i, v in want.items() if v > cut}
+    assert 45 in {i for i, r in got.items() if r["outlier"]}
+    if block == 9:
+        assert [r["lof"] for r in cluster.local_outlier_factor(df.limit(1), ["x", "y"], "id").collect()] == [1.0]
+        assert cluster.local_outlier_factor(df.limit(0), ["x", "y"], "id").collect() == []
+
+
 def test_silhouettes_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(5)
     points = rng.normal(size=(60, 2)).round(1)

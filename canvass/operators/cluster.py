@@ -20,7 +20,6 @@ from canvass.functions.columns import finite
 
 #: Methods that hold all pairs of rows take no more rows than this.
 MAX_PAIRWISE = 2000
-MEDOID_SAMPLE = 1000
 #: Rows of a block where all pairs meet block by block.
 PAIR_BLOCK = 4096
 
@@ -89,37 +88,70 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def _pam(d: np.ndarray, k: int) -> list[int]:
-    """Medoids by greedy building and best swaps."""
-    medoids: list[int] = []
-    near = np.full(len(d), np.inf)
+def _swap_costs(rows: DataFrame, names: Sequence[str], medoids: np.ndarray, metric: str, candidates: int | None, block: int, building: bool):
+    """Cheapest of all candidate rows: its cost over all rows, the medoid that it replaces (or joins, when building), its values.
+
+    Candidates meet rows in pairs of blocks that give a sum for each medoid to be replaced; an aggregation adds these up.
+    """
+    k = 1 if building else len(medoids)
+    sums = [f"__s{i}" for i in range(k)]
+
+    def costs(queries: pa.Table, others: pa.Table) -> pa.Table:
+        q, o = (np.column_stack([t.column(c).to_numpy() for c in names]) for t in (queries, others))
+        to = distances(o, medoids, metric) if len(medoids) else np.zeros((len(o), 0))
+        kept = [to] if building else [np.delete(to, i, axis=1) for i in range(k)]
+        rest = [m.min(axis=1) if m.shape[1] else np.full(len(o), np.inf) for m in kept]
+        found = np.zeros((k, len(q)))
+        for a in range(0, len(q), 256):
+            d = distances(q[a : a + 256], o, metric)
+            for i in range(k):
+                found[i, a : a + 256] = np.minimum(rest[i], d).sum(axis=1)
+        out = queries.select(["__key", *names])
+        for c, v in zip(sums, found, strict=True):
+            out = out.append_column(c, pa.array(v))
+        return out
+
+    queries, others = _block_pairs(rows, "__key", block)
+    if candidates is not None:
+        order = F.struct(F.xxhash64("__key").alias("h"), F.col("__key").alias("k"))
+        last = rows.select(order.alias("o")).orderBy("o").limit(candidates).agg(F.max("o")).first()[0]
+        if last is not None:
+            h = F.xxhash64("__key")
+            queries = queries.where((h < last["h"]) | ((h == last["h"]) & (F.col("__key") <= F.lit(last["k"]))))
+    schema = T.StructType([rows.schema["__key"], *(T.StructField(c, T.DoubleType()) for c in (*names, *sums))])
+    met = queries.groupBy("__q", "__d").cogroup(others.groupBy("__q", "__d")).applyInArrow(costs, schema)
+    total = met.groupBy("__key").agg(*(F.first(c).alias(c) for c in names), *(F.sum(c).alias(c) for c in sums))
+    best = [F.min(F.struct(F.col(c).alias("cost"), F.col("__key").alias("key"), F.lit(i).alias("i"), F.array(*names).alias("at"))).alias(c) for i, c in enumerate(sums)]
+    found = [r for r in total.agg(*best).first() if r is not None]
+    return min(found, key=lambda r: (r["cost"], r["i"])) if found else None
+
+
+def kmedoids(
+    df: DataFrame, x: Sequence[str], k: int, key: str, metric: str = "euclidean", candidates: int | None = None, swaps: int = 100, block: int = PAIR_BLOCK
+) -> DataFrame:
+    """Partition around medoids: greedy building, then the best swap while there is one; adds cluster, the nearest medoid.
+
+    Costs are those of all rows.  Every row may become a medoid, which takes all pairs of rows block by block;
+    ``candidates`` bounds them to so many rows by the hash of their key, and the work is then in proportion to the table.
+    The key is a row's own, of an ordered type.  Values are not null.  With fewer rows than k some clusters are empty.
+    """
+    names = [f"__x{i}" for i in range(len(x))]
+    rows = df.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True))).persist(StorageLevel.DISK_ONLY)
+    medoids, cost = np.empty((0, len(x))), np.inf
     for _ in range(k):
-        gain = np.minimum(near[:, None], d).sum(axis=0)
-        gain[medoids] = np.inf
-        medoids.append(int(gain.argmin()))
-        near = np.minimum(near, d[:, medoids[-1]])
-    for _ in range(100):
-        cost, best = near.sum() - 1e-12, None
-        for i in range(k):
-            rest = d[:, [m for j, m in enumerate(medoids) if j != i]].min(axis=1) if k > 1 else np.full(len(d), np.inf)
-            totals = np.minimum(rest[:, None], d).sum(axis=0)
-            if totals.min() < cost:
-                cost, best = totals.min(), (i, int(totals.argmin()))
+        best = _swap_costs(rows, names, medoids, metric, candidates, block, True)
         if best is None:
             break
-        medoids[best[0]] = best[1]
-        near = d[:, medoids].min(axis=1)
-    return medoids
-
-
-def kmedoids(df: DataFrame, x: Sequence[str], k: int, key: str, metric: str = "euclidean", sample: int = MEDOID_SAMPLE) -> DataFrame:
-    """Medoids of a bounded sample (by the hash of the key), and every row's nearest one as an expression."""
-    rows = df.orderBy(F.xxhash64(key), key).limit(sample).select(*x).collect()
-    points = np.array([list(r) for r in rows], dtype=float)
-    medoids = points[_pam(distances(points, points, metric), k)]
+        medoids, cost = np.vstack([medoids, best["at"]]), best["cost"]
+    for _ in range(swaps if len(medoids) else 0):
+        best = _swap_costs(rows, names, medoids, metric, candidates, block, False)
+        if best["cost"] >= cost - 1e-9 * max(cost, 1.0):
+            break
+        medoids[best["i"]], cost = best["at"], best["cost"]
+    rows.unpersist()
     gap = lambda m, c: F.abs(F.col(c) - F.lit(float(m))) if metric == "cityblock" else F.pow(F.col(c) - F.lit(float(m)), 2)
     far = [F.struct(reduce(lambda a, b: a + b, (gap(v, c) for v, c in zip(m, x, strict=True))).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(medoids)]
-    return df.withColumn("cluster", F.least(*far)["i"] if k > 1 else F.lit(0))
+    return df.withColumn("cluster", F.least(*far)["i"] if len(far) > 1 else F.lit(0))
 
 
 def agglomerative(df: DataFrame, x: Sequence[str], key: str, k: int, linkage: str = "average") -> tuple[DataFrame, np.ndarray]:

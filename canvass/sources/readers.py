@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from canvass.codebook import CodebookError
 from canvass.functions.columns import finite
@@ -16,6 +21,10 @@ from canvass.functions.columns import finite
 HEAD_BYTES = 1 << 16
 MISSING_TOKENS = ("", "na", "n/a", "nan", "null", "none", "?")
 ENCODINGS = ("utf-8", "cp932", "shift_jis", "latin-1")
+#: Their names in Java where these differ; Spark itself knows the last only.
+CHARSETS = {"cp932": "windows-31j", "shift_jis": "Shift_JIS", "latin-1": "iso-8859-1"}
+#: Row numbers of a SQLite table in a task, and the most tasks that it is cut into.
+RANGE_ROWS, MAX_RANGES = 100_000, 4096
 
 
 def head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
@@ -46,20 +55,47 @@ def detect_format(name: str, start: bytes) -> str:
     return "tsv" if line.count(b"\t") > line.count(b",") else "csv"
 
 
-def detect_encoding(start: bytes) -> str:
-    """By byte order mark, or the first encoding that reads the head (a cut character at its end is forgiven)."""
+def marked_encoding(start: bytes) -> str | None:
+    """The encoding that a byte order mark tells."""
     if start.startswith(b"\xef\xbb\xbf"):
         return "utf-8"
-    if start.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "utf-16"
-    for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                start[: len(start) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return "latin-1"
+    return "utf-16" if start.startswith((b"\xff\xfe", b"\xfe\xff")) else None
+
+
+def decodes(text: bytes, encoding: str) -> bool:
+    try:
+        text.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def detect_encoding(text: bytes) -> str:
+    """By byte order mark, or the first encoding that reads the whole text."""
+    return marked_encoding(text) or next(e for e in ENCODINGS if decodes(text, e))
+
+
+def scan_lines(spark: SparkSession, path: str, quote: str = '"') -> tuple[str, bool]:
+    """The first encoding that reads every line, and whether a quoted field may run over a line's end; one pass in tasks.
+
+    No character of these encodings holds a line break, so lines are tried apart.  A field that runs on leaves an odd
+    number of quotes in its first line.  A file with a two-byte order mark is not looked through: its lines run on.
+    """
+    marked = marked_encoding(head(spark, path, 4))
+    if marked == "utf-16":
+        return marked, True
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(0)
+            text = b"\n".join(lines.to_pylist())
+            odd = pc.any(pc.equal(pc.bit_wise_and(pc.count_substring(lines, quote), 1), 1)).as_py() if quote else False
+            yield pa.RecordBatch.from_pylist([{"odd": bool(odd)} | {f"e{i}": decodes(text, e) for i, e in enumerate(ENCODINGS)}])
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    reads = [f"e{i}" for i in range(len(ENCODINGS))]
+    found = lines.mapInArrow(look, ", ".join(f"{c} boolean" for c in ("odd", *reads))).agg(F.bool_or("odd"), *(F.bool_and(c) for c in reads)).first()
+    return marked or next(e for e, ok in zip(ENCODINGS, found[1:], strict=True) if ok is not False), bool(found[0])
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
@@ -76,13 +112,18 @@ def unique_names(names: Sequence[str]) -> list[str]:
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', header: bool = True, encoding: str | None = None, infer: bool = True) -> DataFrame:
     """CSV or TSV: blank rows are skipped, a row of another length is an error, missing tokens are null.
 
-    Types come from one pass over all rows: long where every value is one (codes with leading zeros stay text), else
-    double, else string.
+    One pass over all lines settles the encoding and whether fields run over lines; where none does, a file is read in
+    splits.  Types come from one pass over all rows: long where every value is one (codes with leading zeros stay
+    text), else double, else string.  For Japanese encodings the session is set to take Java's names of character sets.
     """
-    start = head(spark, path)
-    delimiter = delimiter or ("\t" if detect_format(path, start) == "tsv" else ",")
-    encoding = encoding or detect_encoding(start)
-    reader = spark.read.option("sep", delimiter).option("quote", quote).option("encoding", encoding).option("multiLine", True).option("escape", quote)
+    delimiter = delimiter or ("\t" if detect_format(path, head(spark, path)) == "tsv" else ",")
+    told, run_on = scan_lines(spark, path, quote)
+    encoding = encoding or told
+    encoding = CHARSETS.get(encoding.lower(), encoding)
+    if encoding in (CHARSETS["cp932"], CHARSETS["shift_jis"]):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)
+    run_on = run_on or encoding.lower().startswith(("utf-16", "utf-32"))
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("encoding", encoding).option("multiLine", run_on).option("escape", quote)
     first = reader.csv(path).limit(1).collect()
     if not first:
         raise CodebookError("the file is empty")
@@ -111,9 +152,12 @@ def typed(rows: DataFrame) -> DataFrame:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF with dense or sparse rows: the header from the head of the file, the rows in parallel."""
+    """ARFF with dense or sparse rows: the header up to @data, however long, the rows in parallel."""
     names, kinds = [], []
-    for line in head(spark, path, 1 << 20).decode("utf-8", "replace").splitlines():
+    n = 1 << 20
+    while len(start := head(spark, path, n)) == n and not re.search(rb"(?im)^\s*@data", start):
+        n *= 4
+    for line in start.decode("utf-8", "replace").splitlines():
         words = line.strip()
         if words[:10].lower() == "@attribute":
             rest = words[10:].strip()
@@ -148,12 +192,28 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(f"`{n}`").try_cast(t).alias(n) for n, t in zip(names, kinds, strict=True)))
 
 
+def _arrow_file(path: str) -> pa.ipc.RecordBatchFileReader:
+    store, name = pa.fs.FileSystem.from_uri(path)
+    return pa.ipc.open_file(store.open_input_file(name))
+
+
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC or Feather file of local size."""
-    import pyarrow as pa
+    """An Arrow IPC or Feather file in a folder that all executors see: the driver reads its footer, tasks a record
+    batch each.  Dictionary columns come as their values."""
+    with _arrow_file(path) as f:
+        plain = pa.schema([pa.field(c.name, c.type.value_type if pa.types.is_dictionary(c.type) else c.type) for c in f.schema])
+        n = f.num_record_batches
+    schema = from_arrow_schema(plain, prefer_timestamp_ntz=True)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        with _arrow_file(path) as f:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    columns = f.get_batch(i).columns
+                    yield pa.RecordBatch.from_arrays([c.cast(k, safe=False) for c, k in zip(columns, kinds.types, strict=True)], names=kinds.names)
 
-    with pa.OSFile(path.removeprefix("file://"), "rb") as f:
-        return spark.createDataFrame(pa.ipc.open_file(f).read_all())
+    return spark.range(0, n, 1, max(n, 1)).mapInArrow(read, schema)
 
 
 def sqlite_tables(path: str) -> list[str]:
@@ -162,15 +222,47 @@ def sqlite_tables(path: str) -> list[str]:
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of a local database file; columns of numbers only are double."""
+    """A table of a database file in a folder that all executors see; columns of numbers only are double.
+
+    Tasks read ranges of its row numbers; a table without row numbers is one range.  One pass finds the types.
+    """
     if table not in sqlite_tables(path):
         raise CodebookError(f"no table {table}")
+    name = '"' + table.replace('"', '""') + '"'
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute(f'SELECT * FROM "{table}"')
-        names, rows = [d[0] for d in cursor.description], cursor.fetchall()
-    number = [all(v is None or isinstance(v, (int, float)) for v in col) for col in zip(*rows, strict=True)] or [False] * len(names)
-    cast = lambda v, n: None if v is None else float(v) if n else str(v)
-    return spark.createDataFrame([tuple(cast(v, n) for v, n in zip(r, number, strict=True)) for r in rows], ", ".join(f"`{c}` {'double' if n else 'string'}" for c, n in zip(names, number, strict=True)))
+        names = [d[0] for d in db.execute(f"SELECT * FROM {name} LIMIT 0").description]
+        try:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
+            part = "WHERE rowid BETWEEN ? AND ?"
+        except sqlite3.OperationalError:
+            low, high, part = 0, 0, "WHERE ? <= ?"
+    if low is None:
+        low, high = 0, 0
+    n = min(MAX_RANGES, (high - low) // RANGE_ROWS + 1)
+    cuts = [low + (high - low + 1) * i // n for i in range(n + 1)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    cursor = db.execute(f"SELECT * FROM {name} {part}", (cuts[i], cuts[i + 1] - 1) if "rowid" in part else (0, 0))
+                    while some := cursor.fetchmany(10_000):
+                        yield some
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([all(v is None or isinstance(v, (int, float)) for v in c)]) for c in zip(*some, strict=True)], names=[f"c{i}" for i in range(len(names))])
+
+    ranges = spark.range(0, n, 1, n)
+    found = ranges.mapInArrow(kinds, ", ".join(f"c{i} boolean" for i in range(len(names)))).agg(*(F.bool_and(f"c{i}") for i in range(len(names)))).first()
+    number = [bool(v) for v in found]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows(batches):
+            columns = zip(zip(*some, strict=True), number, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([None if v is None else float(v) if num else str(v) for v in c], pa.float64() if num else pa.string()) for c, num in columns], names=names)
+
+    return ranges.mapInArrow(read, ", ".join(f"`{c}` {'double' if num else 'string'}" for c, num in zip(names, number, strict=True)))
 
 
 def read_any(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:

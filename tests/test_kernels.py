@@ -233,6 +233,29 @@ def test_agglomeration_and_medoids(spark):
     assert min(r["silhouette"] for r in cluster.silhouette(df, ["x", "y"], "true", "id").collect()) > 0.9
 
 
+@pytest.mark.parametrize("metric, block", [("euclidean", 4096), ("cityblock", 23)])
+def test_medoids_are_those_of_all_rows(spark, metric, block):
+    rng = np.random.default_rng(5)
+    p, k = rng.normal(size=(70, 2)).round(3), 3
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id long, x double, y double")
+    d = np.abs(p[:, None] - p[None]).sum(axis=2) if metric == "cityblock" else np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    medoids: list[int] = []
+    for _ in range(k):
+        medoids.append(min(range(70), key=lambda c: d[:, [*medoids, c]].min(axis=1).sum()))
+    while True:
+        options = [[c if j == i else m for j, m in enumerate(medoids)] for i in range(k) for c in range(70)]
+        best = min(options, key=lambda o: d[:, o].min(axis=1).sum())
+        if d[:, best].min(axis=1).sum() >= d[:, medoids].min(axis=1).sum() - 1e-9:
+            break
+        medoids = best
+    got = {r["id"]: r["cluster"] for r in cluster.kmedoids(df, ["x", "y"], k, "id", metric, block=block).collect()}
+    assert got == dict(enumerate(d[:, medoids].argmin(axis=1).tolist()))
+    few = {r["id"]: r["cluster"] for r in cluster.kmedoids(df, ["x", "y"], k, "id", metric, candidates=10, block=block).collect()}
+    assert len(few) == 70 and set(few.values()) <= {0, 1, 2}
+    assert cluster.kmedoids(df.where("id < 2"), ["x", "y"], k, "id").count() == 2
+    assert cluster.kmedoids(df.limit(0), ["x", "y"], k, "id").count() == 0
+
+
 @pytest.mark.parametrize("block", [9, 4096])
 def test_outlier_factors_do_not_depend_on_blocks(spark, block):
     rng = np.random.default_rng(8)

@@ -55,6 +55,55 @@ def test_other_files(spark, tmp_path):
     assert sorted(map(tuple, readers.read_sqlite(spark, str(tmp_path / "x.db"), "t").collect()), key=str) == [(1.0, "a"), (None, "b")]
 
 
+def test_the_encoding_is_that_of_all_lines(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_bytes(b"id,name\n" + b"".join(b"%d,plain\n" % i for i in range(20_000)) + "20000,日本\n".encode("cp932"))
+    assert readers.scan_lines(spark, f"file://{path}") == ("cp932", False)
+    df = readers.read_delimited(spark, f"file://{path}")
+    assert df.count() == 20_001 and df.where("id = 20000").first()["name"] == "日本"
+    path.write_text('a,b\n1,"two\nlines"\n', encoding="utf-8")
+    assert readers.scan_lines(spark, f"file://{path}") == ("utf-8", True)
+    assert readers.read_delimited(spark, f"file://{path}").first()["b"] == "two\nlines"
+    path.write_text("a,b\n1,é\n", encoding="utf-16")
+    assert readers.read_delimited(spark, f"file://{path}").first()["b"] == "é"
+    path.write_bytes(b"")
+    with pytest.raises(CodebookError):
+        readers.read_delimited(spark, f"file://{path}")
+
+
+def test_a_header_may_be_long(spark, tmp_path):
+    path = tmp_path / "x.arff"
+    path.write_text("@relation r\n" + "% a comment line of the header\n" * 40_000 + "@attribute a numeric\n@data\n1\n2\n")
+    assert sorted(r["a"] for r in readers.read_arff(spark, f"file://{path}").collect()) == [1.0, 2.0]
+
+
+def test_tasks_read_parts_of_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "x.arrow")
+    table = pa.table({"n": pa.array(range(10)), "c": pa.array(list("ababababab")).dictionary_encode(), "t": pa.array(range(10), pa.timestamp("ns"))})
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        w.write_table(table, max_chunksize=3)
+    df = readers.read_arrow(spark, path)
+    assert df.rdd.getNumPartitions() == 4
+    assert [(r["n"], r["c"]) for r in df.orderBy("n").collect()] == [(i, "ab"[i % 2]) for i in range(10)]
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema):
+        pass
+    assert readers.read_arrow(spark, f"file://{path}").count() == 0
+
+    monkeypatch.setattr(readers, "RANGE_ROWS", 7)
+    base = str(tmp_path / "x.db")
+    with sqlite3.connect(base) as db:
+        db.execute('CREATE TABLE "my ""t" (n, s, e)')
+        db.executemany('INSERT INTO "my ""t" VALUES (?, ?, NULL)', [(i if i % 3 else float(i), "x" if i == 49 else i) for i in range(50)])
+        db.execute("CREATE TABLE none (a INTEGER)")
+        db.execute("CREATE TABLE keyed (a TEXT PRIMARY KEY, b REAL) WITHOUT ROWID")
+        db.executemany("INSERT INTO keyed VALUES (?, ?)", [("p", 1.5), ("q", None)])
+    df = readers.read_sqlite(spark, base, 'my "t')
+    assert df.rdd.getNumPartitions() > 5
+    assert [(r["n"], r["s"]) for r in df.orderBy("n").collect()] == [(float(i), "x" if i == 49 else str(i)) for i in range(50)]
+    assert readers.read_sqlite(spark, base, "none").count() == 0
+    assert sorted(map(tuple, readers.read_sqlite(spark, base, "keyed").collect())) == [("p", 1.5), ("q", None)]
+
+
 def test_row_ids_are_unique_and_stable(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k long, v string")
     assert [tuple(r)[:2] for r in readers.with_row_ids(df, order="k").orderBy("k").collect()] == [("ROW-000001", 1), ("ROW-000002", 2), ("ROW-000003", 3)]

@@ -30,6 +30,19 @@ def resolve(requested: str, weight_type: str | None) -> str:
     return requested
 
 
+def method_for(situation: str, scale: str) -> str:
+    """The method for two groups, more groups or a correlation of a variable of a scale."""
+    kind = "numeric" if scale in ("interval", "ratio") else scale
+    methods = {
+        "two": {"nominal": "table", "ordinal": "mann_whitney", "numeric": "welch_t"},
+        "multi": {"nominal": "table", "ordinal": "kruskal", "numeric": "welch_anova"},
+        "correlation": {"nominal": "cramers_v", "ordinal": "kendall_tau_b", "numeric": "pearson"},
+    }
+    if situation not in methods or kind not in methods[situation]:
+        raise CodebookError(f"no method for {situation} of a {scale} variable")
+    return methods[situation][kind]
+
+
 def table_test(found: DataFrame, method: str) -> dict[str, float | None]:
     """Pearson or frequency chi-square, or Fisher's test, of a cells table; unavailable values are None."""
     _, _, m = table(found, "n" if method in ("pearson", "fisher") else "w")

@@ -177,6 +177,12 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], weight: Column | No
     return df.agg(F.array(*out).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def focus_pair(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """Rows of a pair of columns that have both as finite numbers: key, x, y."""
+    pair = df.select(F.col(key).alias("key"), finite(x).alias("x"), finite(y).alias("y"))
+    return pair.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def covariance_suite(df: DataFrame, columns: Sequence[str]) -> dict[str, np.ndarray | float | int]:
     """Listwise covariance, correlation, precision and partial correlations; an error if singular (condition > 1e12)."""
     g: Gram = gram(complete(df, {c: F.col(c) for c in columns}), columns)

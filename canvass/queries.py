@@ -161,6 +161,11 @@ def correlation_matrix(spark, sf_dir):
     return summaries.correlation_pairs(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+@query("""SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL""")
+def focus_pair(spark, sf_dir):
+    return summaries.focus_pair(read(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey")
+
+
 @query("""
 WITH m AS (SELECT sum(l_quantity) AS w, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS a, sum(l_quantity * l_discount) / sum(l_quantity) AS b FROM lineitem)
 SELECT 'l_extendedprice' AS x, 'l_discount' AS y, count(*) AS n, round_even(sum(l_quantity * (l_extendedprice - a) * (l_discount - b)) /

@@ -52,6 +52,14 @@ def test_adjusted_p_values():
 # --- golden values
 
 
+def test_methods_follow_the_scale():
+    assert [inference.method_for("two", s) for s in ("nominal", "ordinal", "interval", "ratio")] == ["table", "mann_whitney", "welch_t", "welch_t"]
+    assert inference.method_for("correlation", "ordinal") == "kendall_tau_b"
+    for bad in (("three", "ordinal"), ("two", "text")):
+        with pytest.raises(CodebookError):
+            inference.method_for(*bad)
+
+
 def test_correspondence_of_a_two_by_two_table():
     found = factorial.correspondence(np.array([[30.0, 10.0], [10.0, 30.0]]))
     assert found["inertia"] == pytest.approx(0.25)

@@ -10,7 +10,7 @@ let through; only these rows are shuffled, pre-aggregated.  Then counts of both
 candidate, and a candidate gets the largest count of a longer one around it.
 
 The width follows the number of words (about ``LOAD`` n-grams of an order for each counter), between ``MIN_WIDTH`` and
-``MAX_WIDTH``.  Beyond ``LOAD * MAX_WIDTH`` words (some 500 million) the sketches let more of the rare n-grams through
+``MAX_WIDTH``.  Beyond ``LOAD * MAX_WIDTH`` words (some 270 million) the sketches let more of the rare n-grams through
 to the second pass, whose rows are then up to all distinct n-grams of each stretch of texts; results stay the same.
 
 Defined results: A-Z are lower-cased, pieces end at ``.,;:!?`` and line ends, words are runs without blanks and tabs;
@@ -33,11 +33,11 @@ from canvass.llm import wordhash
 from canvass.llm.storage import documents, stored
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
-DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 16, 1 << 16, 1 << 25
+DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 16, 1 << 16, 1 << 24
 #: Counters of a slice of a sketch, and the value at which they stop.
 SLICE, FULL = 1 << 16, 255
 #: Bytes of texts whose n-grams are counted together, before anything is shuffled.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _U = np.uint64
 #: What parts words: blanks, tabs and the ends of pieces.
@@ -54,17 +54,22 @@ class Words:
 
     def __init__(self, texts: pa.Array, langs: list[str]) -> None:
         data, offsets = wordhash.buffers(texts)
-        self.data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        self.hashes, at = wordhash.word_hashes(self.data, offsets, True, _BREAKS)
-        self.starts, self.ends, _ = wordhash.word_bounds(self.data, offsets, _BREAKS)
-        sizes = np.diff(at)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        self.piece = np.cumsum(_ENDS[self.data], dtype=np.int64)[self.starts] + text if len(self.starts) else text
+        self.low, offsets = _LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
         self.names = sorted(set(langs))
         number = {v: i for i, v in enumerate(self.names)}
-        of_text = np.array([number[v] for v in langs], dtype=np.int64)
-        self.lang = of_text[text]
-        self.salt = np.array([int.from_bytes(blake2b(v.encode(), digest_size=8).digest()) for v in self.names], dtype=np.uint64)[self.lang]
+        self.salts = np.array([int.from_bytes(blake2b(v.encode(), digest_size=8).digest()) for v in self.names], dtype=np.uint64)
+        of_text = np.array([number[v] for v in langs], dtype=np.int32)
+        found, pieces = [], 0
+        for a, b in wordhash.chunks(offsets):  # what is computed of a stretch is many times its size
+            some, ends = self.low[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            hashes, at = wordhash.word_hashes(some, ends, False, _BREAKS)
+            starts, stops, _ = wordhash.word_bounds(some, ends, _BREAKS)
+            text = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(at))
+            piece = (np.cumsum(_ENDS[some], dtype=np.int32)[starts] if len(starts) else text) + text + np.int32(pieces)
+            found.append((hashes, (starts + offsets[a]).astype(np.int32), (stops + offsets[a]).astype(np.int32), piece, of_text[a:b][text]))
+            pieces = int(piece[-1]) + 1 if len(piece) else pieces
+        kinds = (np.uint64, np.int32, np.int32, np.int32, np.int32)
+        self.hashes, self.starts, self.ends, self.piece, self.lang = (np.concatenate([np.empty(0, dtype=k), *c]) for k, c in zip(kinds, zip(*found, strict=True) if found else [()] * 5, strict=True))
         self.n_words = np.bincount(self.lang, minlength=len(self.names))
 
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +77,11 @@ class Words:
         grams = wordhash.ngram_hashes(self.hashes, n)
         at = np.flatnonzero(self.piece[: len(grams)] == self.piece[n - 1 :]) if len(grams) else np.empty(0, dtype=np.int64)
         with np.errstate(over="ignore"):
-            return at, wordhash.mix(grams[at] + self.salt[at] * _U(2 * n + 1))
+            return at, wordhash.mix(grams[at] + self.salts[self.lang[at]] * _U(2 * n + 1))
 
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join(self.low[self.starts[i] : self.ends[i]].tobytes() for i in range(at, at + n))
 
-    @property
-    def low(self) -> np.ndarray:
-        if not hasattr(self, "_low"):
-            self._low = _LOWER[self.data]
-        return self._low
-
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words of the rows of batches, about limit bytes of texts at a time; longer texts come alone."""
@@ -142,9 +141,9 @@ def _merged(width: int, least: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, sums = min(SLICE, width), {}
         for batch in batches:
-            for row, part, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "slice", "counts")), strict=True):
-                own = sums.setdefault((row, part), np.zeros(size, dtype=np.uint16))
-                own += np.frombuffer(pa.decompress(packed, size, codec="zstd"), dtype=np.uint8)
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "slice")), strict=True)):
+                own = sums.setdefault(key, np.zeros(size, dtype=np.uint16))
+                own += np.frombuffer(pa.decompress(batch.column("counts")[i].as_buffer(), size, codec="zstd"), dtype=np.uint8)
                 np.minimum(own, FULL, out=own)
         if sums:
             bits = [np.packbits(v >= least, bitorder="little").tobytes() for v in sums.values()]

@@ -1,12 +1,13 @@
 """Licence notices in whole texts: a positional index of the rarest licence words.
 
 Templates are short public notices.  Their words are counted over all documents (how many hold each), which gives every
-licence word its inverse document frequency.  The index has postings (template, position) of the words that are rare
-enough: at least the ``RAREST`` rarest ones of each template are.  A text looks up its own licence words of that rank;
-each place of a posting votes for a beginning of its template, the votes of one template within ``SHIFT`` words are
-taken together, and beginnings with enough votes are read: the share of the template's words (by weight of rarity) that
-stand where they should, up to ``SHIFT`` words off, must reach ``SHARE``, and its mandatory phrases must stand word for
-word within.  Three phrases that are looked for everywhere (``BASE``) come first.
+licence word its inverse document frequency and every place of a template a weight.  A notice is confirmed where places
+of at least ``SHARE`` of its template's weight hold their words, up to ``SHIFT`` words off, and its mandatory phrases
+stand word for word within.  So of the rarest places that weigh more than the rest of the share together, one must
+be there, and two of those that weigh more than that and the heaviest place.  The index has postings (template, position)
+of these places alone; a text looks up its words among them, each place of a posting votes for a beginning of its
+template, and beginnings with enough votes within ``SHIFT`` words are compared whole.  Nothing that comparing everything
+would confirm is lost.  Three phrases that are looked for everywhere (``BASE``) come first.
 
 Work on texts is one narrow map; only the count of licence words is shuffled (one row of bounded length a task),
 and only the index is sent out (some hundred postings, whatever the corpus holds).  Nothing is capped: every place of an
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from canvass.llm import wordhash
 from canvass.llm.storage import documents
 
-RAREST, SHIFT, SHARE = 6, 3, 0.75
+SHIFT, SHARE = 3, 0.75
 #: Beginnings whose template words are compared at once.
 SLICE = 2048
 
@@ -111,20 +112,25 @@ def build_index(frequencies: np.ndarray, n_docs: int, notices=NOTICES) -> Index:
     vocab, templates = vocabulary(notices), hashed([n[1] for n in notices])
     idf = np.log((n_docs + 1) / (frequencies + 0.5)) + 1e-9  # never 0, as a document holds a word once
     weights = [idf[np.searchsorted(vocab, t)] for t in templates]
-    # the rank that leaves each template as many words as it needs; one that no document holds finds nothing
-    floor = min((np.sort(np.unique(w))[-min(RAREST, len(np.unique(w)))] for w in weights), default=0.0)
-    found = sorted((int(h), i, j) for i, (t, w) in enumerate(zip(templates, weights, strict=True)) for j, h in enumerate(t) if w[j] >= floor)
+    found, needed = [], []
+    for i, (t, w) in enumerate(zip(templates, weights, strict=True)):
+        order = np.argsort(-w, kind="stable")
+        total, rest = np.cumsum(w[order]), (1 - SHARE) * w.sum() * (1 + 1e-9)
+        two = np.flatnonzero(total > rest + w.max())
+        upto = int(two[0] if len(two) else np.flatnonzero(total > rest)[0]) + 1
+        needed.append(2 if len(two) else 1)
+        found += [(int(t[j]), i, int(j)) for j in order[:upto]]
+    found.sort()
     words = np.array([f[0] for f in found], dtype=np.uint64)
     rare, begin = np.unique(words, return_index=True)
-    votes = [sum(w >= floor) for w in weights]
     return Index(
-        [n[0] for n in notices], templates, weights, [hashed(list(n[2])) for n in notices], np.array([2 if v > 3 else 1 for v in votes]),
+        [n[0] for n in notices], templates, weights, [hashed(list(n[2])) for n in notices], np.array(needed),
         rare, np.append(begin, len(words)), np.array([f[1] for f in found], dtype=np.int64), np.array([f[2] for f in found], dtype=np.int64),
     )
 
 
 def beginnings(words: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray]]:
-    """By template: where it may begin, in order, each run of votes within SHIFT words as its most voted one."""
+    """By template: where it may begin, in order."""
     if not len(index.rare) or not len(words):
         return
     to = np.minimum(np.searchsorted(index.rare, words), len(index.rare) - 1)
@@ -136,9 +142,10 @@ def beginnings(words: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarra
     template, start = index.template[posting], np.repeat(at, sizes) - index.position[posting]
     for t in np.unique(template).tolist():
         value, votes = np.unique(start[template == t], return_counts=True)
-        near = np.searchsorted(value, value + SHIFT, side="right"), np.searchsorted(value, value - SHIFT)
+        some = np.unique(value[:, None] + np.arange(-SHIFT, SHIFT + 1)) if index.needed[t] == 1 or votes.sum() > 1 else value[:0]
         total = np.concatenate(([0], np.cumsum(votes)))
-        yield t, value[total[near[0]] - total[near[1]] >= index.needed[t]]
+        near = total[np.searchsorted(value, some + SHIFT, side="right")] - total[np.searchsorted(value, some - SHIFT)]
+        yield t, some[near >= index.needed[t]]
 
 
 def notices_in(words: np.ndarray, index: Index) -> list[tuple[int, int, int, float]]:

@@ -10,12 +10,15 @@ from canvass.codebook import Design, Variable
 from canvass.functions.columns import wilson
 from canvass.operators import (
     cluster,
+    concepts,
     conjoint,
     discriminant,
     efa,
     factorial,
+    hierarchy,
     inference,
     mining,
+    ranking,
     regression,
     selection,
     survey,
@@ -299,18 +302,32 @@ def kmedoids(spark, sf_dir):
     return cluster.kmedoids(rows, x, 5, "vec_id").select("vec_id", "cluster")
 
 
+def _points_sql(k: int) -> str:
+    """Standardised points and their distances, as _points has them."""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(k))} FROM embeddings),
+m AS (SELECT {", ".join(f"avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(k))} FROM e),
+z AS (SELECT vec_id, label, {", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(k))} FROM e, m),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS c, b.label AS o,
+  sqrt({" + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(k))}) AS d FROM z AS a, z AS b)"""
+
+
+_POINTS_SQL = _points_sql(8)
+
+
 @query()
 def agglomerative(spark, sf_dir):
-    rows, x = _points(spark, sf_dir)
-    return cluster.agglomerative(rows, x, "vec_id", 5)[0].select("vec_id", "cluster")
+    rows, x = _points(spark, sf_dir, 64)
+    return hierarchy.agglomerative(rows, x, "vec_id", 5)[0].select("vec_id", "cluster")
 
 
-#: Standardised points and their distances, as _points has them.
-_POINTS_SQL = f"""WITH e AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))} FROM embeddings),
-m AS (SELECT {", ".join(f"avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(8))} FROM e),
-z AS (SELECT vec_id, label, {", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(8))} FROM e, m),
-d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS c, b.label AS o,
-  sqrt({" + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(8))}) AS d FROM z AS a, z AS b)"""
+@query(
+    f"""{_points_sql(64)},
+r AS (SELECT i, i AS j FROM d WHERE i = j UNION SELECT r.i, d.j FROM r JOIN d ON d.i = r.j WHERE d.d <= 9.2)
+SELECT i AS vec_id, CAST(dense_rank() OVER (ORDER BY min(j)) - 1 AS INTEGER) AS cluster FROM r GROUP BY i"""
+)
+def single_linkage_cut(spark, sf_dir):
+    rows, x = _points(spark, sf_dir, 64)
+    return hierarchy.agglomerative(rows, x, "vec_id", linkage="single", height=9.2)[0].select("vec_id", "cluster")
 
 
 @query(
@@ -352,8 +369,16 @@ def disc_clusters(spark, sf_dir):
 
 @query()
 def cobweb_clusters(spark, sf_dir):
-    rows, x = _points(spark, sf_dir, 3)
-    return cluster.cobweb(rows, x, "vec_id")
+    rows, x = _points(spark, sf_dir, 64)
+    return concepts.concept_tree(rows, x, "vec_id", 3, acuity=0.5)[0]
+
+
+@query("SELECT count(*) AS n FROM customer")
+def concept_tree_root(spark, sf_dir):
+    """The root concept of numbers and categories has every row."""
+    c, x = cluster.prepared(read(spark, sf_dir, "customer"), ["c_acctbal"], "zscore")
+    _, tree = concepts.concept_tree(c, x, "c_custkey", 3, ["c_mktsegment"])
+    return tree.table(c).where("parent IS NULL").select("n")
 
 
 # --- regression
@@ -465,8 +490,27 @@ def random_forest(spark, sf_dir):
 
 @query()
 def feature_ranking(spark, sf_dir):
-    e, x = _points(spark, sf_dir)
-    return selection.borda(mining.feature_scores(e, x, "label"), "feature", "method", "value")
+    e, x = _points(spark, sf_dir, 64)
+    return ranking.rank_features(e.withColumn("label", F.col("label").cast("string")), x, "vec_id", "label", repeats=1).table(spark)
+
+
+@query(
+    """
+WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM customer),
+m AS (SELECT avg(c_acctbal) AS m, count(*) AS n, count(DISTINCT c_mktsegment) AS k FROM c),
+g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS a, sum((c_acctbal - (SELECT avg(i.c_acctbal) FROM c AS i WHERE i.c_mktsegment = c.c_mktsegment)) ** 2) AS w FROM c GROUP BY ALL)
+SELECT 'c_acctbal' AS feature, 'f' AS method, round(sum(g.n * (g.a - m.m) ** 2) / any_value(m.k - 1) / (sum(g.w) / any_value(m.n - m.k)), 6) AS score FROM g CROSS JOIN m
+"""
+)
+def feature_f_ratio(spark, sf_dir):
+    found = ranking.rank_features(read(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey", "c_mktsegment", ["f"])
+    return rounded(found.detail(spark).where("feature = 'c_acctbal'").select("feature", "method", "score"), 6, "score")
+
+
+@query()
+def feature_ranking_regression(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    return ranking.rank_features(part, [c for c in part.columns if c not in ("p_partkey", "p_name", "p_comment")], "p_partkey", "p_retailprice").detail(spark)
 
 
 # --- factorial methods

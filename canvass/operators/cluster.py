@@ -18,8 +18,6 @@ from pyspark.sql import types as T
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
 
-#: Methods that hold all pairs of rows take no more rows than this.
-MAX_PAIRWISE = 2000
 #: Rows of a block where all pairs meet block by block.
 PAIR_BLOCK = 4096
 
@@ -75,13 +73,6 @@ def class_variable(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("__c", c).join(F.broadcast(levels), "__c", "left").drop("__c")
 
 
-def _bounded(df: DataFrame, x: Sequence[str], key: str, most: int) -> tuple[list, np.ndarray]:
-    rows = df.select(key, *x).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise CodebookError(f"this method compares all pairs and takes at most {most} rows")
-    return [r[0] for r in rows], np.array([list(r)[1:] for r in rows], dtype=float).reshape(len(rows), len(x))
-
-
 def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     if metric == "cityblock":
         return np.abs(a[:, None] - b[None]).sum(axis=2)
@@ -154,33 +145,6 @@ def kmedoids(
     return df.withColumn("cluster", F.least(*far)["i"] if len(far) > 1 else F.lit(0))
 
 
-def agglomerative(df: DataFrame, x: Sequence[str], key: str, k: int, linkage: str = "average") -> tuple[DataFrame, np.ndarray]:
-    """Single, complete or average linkage of at most MAX_PAIRWISE rows; clusters and the merge table (a, b, height, size)."""
-    ids, points = _bounded(df, x, key, MAX_PAIRWISE)
-    n = len(points)
-    d = distances(points, points)
-    np.fill_diagonal(d, np.inf)
-    size, name, merges = np.ones(n), np.arange(n), []
-    label = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    for step in range(n - 1):
-        i, j = divmod(int(np.where(alive[:, None] & alive[None], d, np.inf).argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merges.append((name[i], name[j], d[i, j], size[i] + size[j]))
-        new = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])}[linkage]
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        alive[j] = False
-        size[i] += size[j]
-        name[i] = n + step
-        if n - step - 1 >= k:
-            label[label == j] = i
-    numbers = {r: c for c, r in enumerate(dict.fromkeys(label.tolist()))}
-    spark = df.sparkSession
-    found = spark.createDataFrame([(i, numbers[r]) for i, r in zip(ids, label.tolist(), strict=True)], [key, "cluster"])
-    return df.join(found, key), np.array(merges, dtype=float)
-
-
 def _block_pairs(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
     """Each row with one block of rows for every other, on both sides: what meets is two blocks of a bounded size."""
     n = rows.count() // block + 1
@@ -389,35 +353,3 @@ def disc(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str], k: int,
         best = F.greatest(*(F.struct(log_share(i).alias("s"), F.lit(-i).alias("i")) for i in range(k)))
         rows = rows.withColumn("cluster", -best["i"]).cache()
     return rows.select(key, "cluster")
-
-
-def cobweb(df: DataFrame, numeric: Sequence[str], key: str, k: int = 3, acuity: float = 0.1) -> DataFrame:
-    """One level of concept formation over at most MAX_PAIRWISE rows in key order: a row joins the concept, or opens a
-    new one (at most k), by which category utility is largest."""
-    ids, p = _bounded(df, numeric, key, MAX_PAIRWISE)
-    n, s, q = np.zeros(0), np.zeros((0, p.shape[1])), np.zeros((0, p.shape[1]))
-    out = []
-
-    def utility(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> float:
-        sd = np.maximum(np.sqrt(np.maximum(q / n[:, None] - (s / n[:, None]) ** 2, 0)), acuity)
-        whole = np.maximum(np.sqrt(np.maximum(q.sum(0) / n.sum() - (s.sum(0) / n.sum()) ** 2, 0)), acuity)
-        return float((n / n.sum() * (1 / sd - 1 / whole).sum(axis=1)).sum() / len(n))
-
-    for x in p:
-        options = []
-        for i in range(len(n)):
-            m = np.eye(len(n))[i]
-            options.append(utility(n + m, s + m[:, None] * x, q + m[:, None] * x * x))
-        if len(n) < k:
-            options.append(utility(np.append(n, 1), np.vstack([s, x]), np.vstack([q, x * x])))
-        i = int(np.argmax(options))
-        if i == len(n):
-            n, s, q = np.append(n, 1.0), np.vstack([s, x]), np.vstack([q, x * x])
-        else:
-            n[i] += 1
-            s[i] += x
-            q[i] += x * x
-        out.append(i)
-    return df.sparkSession.createDataFrame(list(zip(ids, out, strict=True)), [key, "cluster"])
-
-

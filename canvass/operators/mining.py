@@ -225,48 +225,6 @@ def surprise(df: DataFrame, columns: Sequence[str], bins: int = 5, cap: float =
     return s.where((F.col("t") >= min_n) & (least > 0)).select("x", "y", F.col("t").alias("n"), v.alias("cramers_v"), strength.alias("strength"), odd.alias("unexpectedness"), ((strength + odd) / 2).alias("surprise"))
 
 
-# --- feature ranking
-
-
-def feature_scores(df: DataFrame, features: Sequence[str], target: str, seed: int = 42) -> DataFrame:
-    """Scores of numeric features for a class by several methods: F ratio, mutual information of quintiles, forest
-    importance, and redundancy (1 - mean |r| with the others); nulls count as the median."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    from canvass.operators.summaries import correlation_pairs
-    from canvass.operators.transform import bin_edges, bin_index, fill
-
-    full = fill(df.where(F.col(target).isNotNull()), features, "median")
-    y = codes(full, target)
-    out = []
-    long = full.select(y.alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), finite(f).alias("v")) for f in features))).alias("p")).select("y", "p.*")
-    moments: dict[str, list] = {}
-    for r in long.groupBy("f", "y").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("var")).collect():
-        moments.setdefault(r["f"], []).append(r)
-    for f, g in moments.items():
-        n = sum(r["n"] for r in g)
-        grand = sum(r["n"] * r["m"] for r in g) / n
-        between = sum(r["n"] * (r["m"] - grand) ** 2 for r in g) / max(len(g) - 1, 1)
-        inner = sum((r["n"] - 1) * r["var"] for r in g) / max(n - len(g), 1)
-        out.append((f, "f", between / inner if inner else 0.0))
-    edges = {f: bin_edges(full, f, "quantile", 5) for f in features}
-    for f in features:
-        cells = full.groupBy(bin_index(finite(f), edges[f]).alias("b"), y.alias("y")).agg(F.count("*").alias("n"))
-        over = lambda *by: F.sum("n").over(Window.partitionBy(*by))
-        mi = cells.select("n", over("b").alias("a"), over("y").alias("c"), over().alias("t")).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("c"))))).first()[0]
-        out.append((f, "mutual_information", float(mi or 0.0)))
-    r = correlation_pairs(full, features).collect()
-    for f in features:
-        near = [abs(x["r"] or 0.0) for x in r if f in (x["x"], x["y"])]
-        out.append((f, "redundancy", 1 - sum(near) / max(len(near), 1)))
-    v = VectorAssembler(inputCols=list(features), outputCol="__v").transform(full)
-    v = StringIndexer(inputCol="__y", outputCol="__l").fit(v.withColumn("__y", y)).transform(v.withColumn("__y", y))
-    forest = RandomForestClassifier(featuresCol="__v", labelCol="__l", numTrees=30, maxDepth=5, seed=seed).fit(v)
-    out += [(f, "forest", float(s)) for f, s in zip(features, forest.featureImportances.toArray(), strict=True)]
-    return df.sparkSession.createDataFrame(out, "feature string, method string, value double")
-
-
 # --- robustness
 
 

@@ -10,7 +10,7 @@ let through; only these rows are shuffled, pre-aggregated.  Then counts of both
 candidate, and a candidate gets the largest count of a longer one around it.
 
 The width follows the number of words (about ``LOAD`` n-grams of an order for each counter), between ``MIN_WIDTH`` and
-``MAX_WIDTH``.  Beyond ``LOAD * MAX_WIDTH`` words (some 270 million) the sketches let more of the rare n-grams through
+``MAX_WIDTH``.  Beyond ``LOAD * MAX_WIDTH`` words (some 540 million) the sketches let more of the rare n-grams through
 to the second pass, whose rows are then up to all distinct n-grams of each stretch of texts; results stay the same.
 
 Defined results: A-Z are lower-cased, pieces end at ``.,;:!?`` and line ends, words are runs without blanks and tabs;
@@ -33,7 +33,7 @@ from canvass.llm import wordhash
 from canvass.llm.storage import documents, stored
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
-DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 16, 1 << 16, 1 << 24
+DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 32, 1 << 16, 1 << 24
 #: Counters of a slice of a sketch, and the value at which they stop.
 SLICE, FULL = 1 << 16, 255
 #: Bytes of texts whose n-grams are counted together, before anything is shuffled.
@@ -95,13 +95,14 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             if size >= limit:
                 yield _words(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield _words(held)
 
 
 def _words(held: list[pa.RecordBatch]) -> Words:
-    table = pa.Table.from_batches(held)
-    return Words(table.column("text"), table.column("lang").to_pylist())
+    texts, langs = (pa.chunked_array([b.column(c) for b in held]) for c in ("text", "lang"))
+    return Words(texts, langs.to_pylist())
 
 
 def places(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -191,10 +192,9 @@ def _counted(shared, width: int, longest: int):
                 langs += [words.names[i] for i in words.lang[starts].tolist()]
                 sizes += [n] * len(starts)
                 times += counts.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, type=pa.string()), pa.array([None if p is None else p.decode("utf-8", "replace") for p in phrases], type=pa.string()), pa.array(sizes, type=pa.int32()), pa.array(times, type=pa.int64())],
-                names=["lang", "phrase", "n", "f"],
-            )
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            found = (langs, (p if p is None else p.decode("utf-8", "replace") for p in phrases), sizes, times)
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(found, kinds, strict=True)], names=["lang", "phrase", "n", "f"])
 
     return count
 

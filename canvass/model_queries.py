@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from canvass.codebook import Design, Variable
 from canvass.functions.columns import wilson
 from canvass.operators import (
+    categories,
     cluster,
     concepts,
     conjoint,
     discriminant,
+    draws,
     efa,
     factorial,
     hierarchy,
@@ -21,6 +23,7 @@ from canvass.operators import (
     ranking,
     regression,
     selection,
+    smoothing,
     survey,
 )
 
@@ -364,7 +367,23 @@ def local_outlier_factor(spark, sf_dir):
 
 @query()
 def disc_clusters(spark, sf_dir):
-    return cluster.disc(read(spark, sf_dir, "customer"), ["c_acctbal"], ["c_mktsegment", "c_nationkey"], 3, "c_custkey")
+    return categories.disc(read(spark, sf_dir, "customer"), ["c_acctbal"], ["c_mktsegment", "c_nationkey"], 3, "c_custkey")[0]
+
+
+@query(
+    """
+WITH r AS (SELECT o_orderstatus AS a, o_orderpriority AS b FROM orders),
+p AS (SELECT a, b, count(*) / sum(count(*)) OVER (PARTITION BY a) AS s FROM r GROUP BY ALL),
+g AS (SELECT x.a, y.a AS b, z.b AS c FROM (SELECT DISTINCT a FROM r) AS x, (SELECT DISTINCT a FROM r) AS y, (SELECT DISTINCT b FROM r) AS z)
+SELECT g.a, g.b, round(0.5 * sum(abs(coalesce(p.s, 0) - coalesce(q.s, 0))), 9) AS distance
+FROM g LEFT JOIN p ON p.a = g.a AND p.b = g.c LEFT JOIN p AS q ON q.a = g.b AND q.b = g.c GROUP BY g.a, g.b
+"""
+)
+def disc_level_distances(spark, sf_dir):
+    """Learned distances of categories before any cluster has rows of its own."""
+    orders = read(spark, sf_dir, "orders")
+    _, model = categories.disc(orders, [], ["o_orderstatus", "o_orderpriority"], 1, "o_orderkey", rounds=0)
+    return rounded(model.table(orders).where("column = 'o_orderstatus'").select("a", "b", "distance"), 9, "distance")
 
 
 @query()
@@ -471,9 +490,35 @@ def penalty_reward(spark, sf_dir):
     return small(spark, [(r["attribute"], round(r["penalty"], 6), round(r["reward"], 6))], "attribute string, penalty double, reward double")
 
 
-@query()
+@query(
+    """
+WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part),
+e AS (SELECT min(x) AS a, max(x) AS b, CAST(greatest(3, ceil(0.5 * count(*))) AS BIGINT) AS k FROM p),
+g AS (SELECT i, a + (b - a) * i / 19 AS g FROM e, range(20) AS t(i)),
+d AS (SELECT i, g, x, y, x - g AS d, row_number() OVER (PARTITION BY i ORDER BY abs(x - g)) AS r FROM g, p),
+h AS (SELECT i, max(abs(d)) AS h FROM d, e WHERE r <= k GROUP BY i),
+w AS (SELECT i, g, d, y, (1 - abs(d / h) ** 3) ** 3 AS w FROM d JOIN h USING (i) WHERE abs(d) < h),
+s AS (SELECT i, any_value(g) AS x, count(*) AS n, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM w GROUP BY i)
+SELECT round(x, 6) AS x, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 4) AS fit, n FROM s
+"""
+)
 def loess(spark, sf_dir):
-    return regression.loess(read(spark, sf_dir, "part"), "p_size", "p_retailprice", points=20)
+    part = read(spark, sf_dir, "part")
+    curve = smoothing.loess(part, "p_size", "p_retailprice", points=20).curve(part)
+    return curve.select(F.round("x", 6).alias("x"), F.round("fit", 4).alias("fit"), "n")
+
+
+@query()
+def loess_points(spark, sf_dir):
+    return smoothing.loess(read(spark, sf_dir, "part"), "p_size", "p_retailprice", points=20, keep=["p_partkey"]).points()
+
+
+@query()
+def impute_draws(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    gone = lambda c, k: F.when(F.pmod(F.xxhash64("o_orderkey", F.lit(k)), F.lit(10)) > 0, F.col(c))
+    holed = orders.withColumns({"o_orderpriority": gone("o_orderpriority", 1), "o_totalprice": gone("o_totalprice", 2)})
+    return draws.fill_draws(holed, ["o_totalprice", "o_orderpriority"], "o_orderkey", ["o_orderstatus"], steps=2)
 
 
 @query()

@@ -326,32 +326,6 @@ def penalty_reward(df: DataFrame, outcome: str, attributes: dict[str, tuple[floa
     return out
 
 
-def loess(df: DataFrame, x: str, y: str, span: float = 0.5, degree: int = 1, points: int = 100) -> DataFrame:
-    """Local polynomial fits on an even grid with tricube weights.
-
-    Each grid point's bandwidth is the distance of its span * n-th nearest row, found from quantiles of the distances;
-    weighted moments of all points come from one aggregation over rows times the (fixed) grid.
-    """
-    base = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    low, high = base.agg(F.min("x"), F.max("x")).first()
-    grid = [low + (high - low) * i / (points - 1) for i in range(points)]
-    reach = wide_agg(base, [F.percentile_approx(F.abs(F.col("x") - F.lit(g)), span, 10_000) for g in grid])
-    table = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(max(h, 1e-12)).alias("h")) for g, h in zip(grid, reach, strict=True)))
-    near = F.filter(table, lambda t: F.abs(F.col("x") - t["g"]) < t["h"])
-    rows = base.select("x", "y", F.explode(near).alias("t"))
-    u = F.abs(F.col("x") - F.col("t.g")) / F.col("t.h")
-    rows = rows.select(F.col("t.g").alias("g"), (F.col("x") - F.col("t.g")).alias("d"), "y", F.pow(1 - u * u * u, 3).alias("w"))
-    powers = [F.sum(F.col("w") * F.pow("d", F.lit(float(k)))).alias(f"s{k}") for k in range(2 * degree + 1)]
-    cross = [F.sum(F.col("w") * F.pow("d", F.lit(float(k))) * F.col("y")).alias(f"t{k}") for k in range(degree + 1)]
-    found = rows.groupBy("g").agg(*powers, *cross, F.count("*").alias("n")).collect()  # one row a grid point
-    out = []
-    for r in sorted(found, key=lambda r: r["g"]):
-        a = np.array([[r[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
-        b = np.array([r[f"t{i}"] for i in range(degree + 1)])
-        out.append((float(r["g"]), float(np.linalg.lstsq(a, b, rcond=None)[0][0]), int(r["n"])))
-    return df.sparkSession.createDataFrame(out, "x double, fit double, n long")
-
-
 def within(df: DataFrame, column: str, by: str) -> Column:
     """Deviation from the group's mean, for fixed effects."""
     return finite(column) - F.avg(finite(column)).over(Window.partitionBy(by))

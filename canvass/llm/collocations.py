@@ -1,17 +1,18 @@
 """Collocations: phrases of two to ``LONGEST`` words whose parts keep each other company, for each language.
 
-The first pass over the texts counts every n-gram of 1 to ``LONGEST`` words in a count-min sketch of its order,
-``DEPTH`` rows of one-byte counters that stop at 255.  Each task fills its own sketches; slices of them are shuffled
-and added up, and what remains of a counter is one bit: whether it reaches ``least``.  Sketches never count too little,
-so an n-gram one of whose bits is missing is certainly rare.  The second pass looks at the bits (of a size that the
-width bounds: ``DEPTH * LONGEST * width / 8`` bytes) and counts exactly, as words and not as hashes, what survives:
-n-grams whose bits are all set, as are those of the shorter n-grams in them.  The sums are exact whatever the sketches
-let through; only these rows are shuffled, pre-aggregated.  Then counts of both parts are joined to each cut of a
-candidate, and a candidate gets the largest count of a longer one around it.
-
-The width follows the number of words (about ``LOAD`` n-grams of an order for each counter), between ``MIN_WIDTH`` and
-``MAX_WIDTH``.  Beyond ``LOAD * MAX_WIDTH`` words (some 540 million) the sketches let more of the rare n-grams through
-to the second pass, whose rows are then up to all distinct n-grams of each stretch of texts; results stay the same.
+N-grams are first counted in count-min sketches, ``DEPTH`` rows of counters that stop at 255 for each order.  A task
+sends its sketch as sorted places with their counts, in compressed slices, so that what is shuffled grows with the texts
+and hardly with the width; slices are added up one after the other, and what remains of a counter is one bit: whether it
+reaches ``least``.  Sketches never count too little, so an n-gram one of whose bits is missing is certainly rare, and
+so is every longer one around it: orders 1 and 2 are sketched first, longer ones in a second pass and only where all
+the shorter n-grams in them may be frequent.  A last pass counts exactly, as words and not as hashes, what survives.
+Its sums are exact whatever the sketches let through; only these rows are shuffled, pre-aggregated.  Then counts
+of both parts are joined to each cut of a candidate, and a candidate gets the largest count of a longer one around it.
+
+The width follows the number of words (one counter for ``LOAD`` pairs, a quarter of that for the other orders), up to
+``MAX_WIDTH``; the bits that are sent out have 0.44 bytes for each counter of that, 117 MB at most.  Beyond
+``LOAD * MAX_WIDTH`` words (some 8 billion) the sketches let more of the rare n-grams through to the last pass, whose rows
+are then up to all distinct n-grams of each stretch of texts; results stay the same.
 
 Defined results: A-Z are lower-cased, pieces end at ``.,;:!?`` and line ends, words are runs without blanks and tabs;
 a null or empty text has no words, a null language is ``und``; repeated rows count as often as they occur; ties in the
@@ -33,9 +34,9 @@ from canvass.llm import wordhash
 from canvass.llm.storage import documents, stored
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
-DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 32, 1 << 16, 1 << 24
-#: Counters of a slice of a sketch, and the value at which they stop.
-SLICE, FULL = 1 << 16, 255
+DEPTH, LOAD, MIN_WIDTH, MAX_WIDTH = 2, 32, 1 << 16, 1 << 28
+#: Slices of a row of a sketch, the value at which counters stop, and places that are sent together.
+SLICES, FULL, FLUSH = 64, 255, 4_000_000
 #: Bytes of texts whose n-grams are counted together, before anything is shuffled.
 CHUNK_BYTES = 4 << 20
 
@@ -105,33 +106,67 @@ def _words(held: list[pa.RecordBatch]) -> Words:
     return Words(texts, langs.to_pylist())
 
 
+def width_of(n: int, width: int) -> int:
+    """Counters of a row of the sketch of n-grams of n words."""
+    return width if n == 2 else width // 4
+
+
 def places(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     """The counter of each hash in a row of a sketch."""
-    return (hashes >> _U(32 * row) & _U(width - 1)).astype(np.int64)
+    return (hashes >> _U(32 * row) & _U(width - 1)).astype(np.uint32)
+
+
+def packed(places_: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted places and their counts: gaps by bytes of the same rank, as the higher ones are nearly all 0."""
+    gaps = np.diff(places_, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return pa.compress(gaps.T.tobytes() + counts.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
 
 
-def _sketches(width: int, longest: int):
-    """A task's sketches, in compressed slices."""
+def unpacked(data: pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, 5 * n, codec="zstd"), dtype=np.uint8)
+    gaps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.int64), raw[4 * n :]
+
+
+def candidates(words: Words, bits: dict[int, np.ndarray], width: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By order: starts and hashes of the n-grams that may be frequent by what is known, as may be all n-grams in them."""
+    alive = np.ones(len(words.hashes) + 1, dtype=bool)
+    for n in range(1, longest + 1):
+        at, hashes = words.ngrams(n)
+        ok = alive[at] & alive[at + 1] if n > 1 else alive[at]
+        for row in range(DEPTH if n in bits else 0):
+            p = places(hashes, row, width_of(n, width))
+            ok &= (bits[n][row][p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        at, hashes = at[ok], hashes[ok]
+        alive = np.zeros(len(alive), dtype=bool)
+        alive[at] = True
+        yield n, at, hashes
+
+
+def _sketches(known, width: int, orders: tuple[int, ...]):
+    """Sketches of the orders, in slices, of FLUSH places at a time."""
+
+    def sent(waiting: dict[tuple[int, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (n, row), some in waiting.items():
+            found, counts = np.unique(np.concatenate(some), return_counts=True)
+            size = width_of(n, width) // SLICES
+            cuts = np.searchsorted(found, np.arange(SLICES + 1) * size)
+            whole = [s for s in range(SLICES) if cuts[s] < cuts[s + 1]]
+            data = [packed(found[cuts[s] : cuts[s + 1]] - np.uint32(s * size), np.minimum(counts[cuts[s] : cuts[s + 1]], FULL)) for s in whole]
+            columns = [[n] * len(whole), [row] * len(whole), whole, [int(cuts[s + 1] - cuts[s]) for s in whole], data]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [*[pa.int32()] * 4, pa.binary()], strict=True)], names=["n", "row", "slice", "size", "counts"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((longest * DEPTH, width), dtype=np.uint8)
+        bits, waiting, held = known.value if known else {}, {}, 0
         for words in chunks(batches):
-            for n in range(1, longest + 1):
-                _, hashes = words.ngrams(n)
-                for row in range(DEPTH):
-                    at = np.sort(places(hashes, row, width).astype(np.uint32))
-                    first = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint32(1)))
-                    times = np.diff(first, append=len(at))
-                    mine, to = counts[(n - 1) * DEPTH + row], at[first]
-                    mine[to] = np.minimum(mine[to] + times, FULL)
-        for row in range(len(counts)):
-            parts = [(s, p) for s, p in enumerate(counts[row].reshape(-1, min(SLICE, width))) if p.any()]
-            if parts:
-                packed = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for _, p in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(parts), type=pa.int32()), pa.array([s for s, _ in parts], type=pa.int32()), pa.array(packed, type=pa.binary())],
-                    names=["row", "slice", "counts"],
-                )
+            for n, _, hashes in candidates(words, bits, width, max(orders)):
+                for row in range(DEPTH if n in orders and len(hashes) else 0):
+                    waiting.setdefault((n, row), []).append(places(hashes, row, width_of(n, width)))
+                    held += len(hashes)
+            if held >= FLUSH:
+                yield from sent(waiting)
+                waiting, held = {}, 0
+        yield from sent(waiting)
 
     return fill
 
@@ -140,52 +175,42 @@ def _merged(width: int, least: int):
     """Slices of all tasks added up one after the other; whether each counter reaches least, as bits."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, sums = min(SLICE, width), {}
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "slice")), strict=True)):
-                own = sums.setdefault(key, np.zeros(size, dtype=np.uint16))
-                own += np.frombuffer(pa.decompress(batch.column("counts")[i].as_buffer(), size, codec="zstd"), dtype=np.uint8)
-                np.minimum(own, FULL, out=own)
-        if sums:
-            bits = [np.packbits(v >= least, bitorder="little").tobytes() for v in sums.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in sums], type=pa.int32()) for i in range(2)] + [pa.array(bits, type=pa.binary())], names=["row", "slice", "bits"]
-            )
+            keys = zip(*(batch.column(c).to_pylist() for c in ("n", "row", "slice", "size")), strict=True)
+            for i, (n, row, part, size) in enumerate(keys):
+                own = sums.setdefault((n, row, part), np.zeros(width_of(n, width) // SLICES, dtype=np.uint8))
+                at, counts = unpacked(batch.column("counts")[i].as_buffer(), size)
+                own[at] = np.minimum(own[at].astype(np.uint16) + counts, FULL)
+        for key, own in sums.items():
+            bits = np.packbits(own >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], type=pa.int32()) for v in key), pa.array([bits], type=pa.binary())], names=["n", "row", "slice", "bits"])
 
     return merge
 
 
-def frequent_bits(texts: DataFrame, width: int, least: int, longest: int) -> np.ndarray:
-    """For each order and row of its sketch, width bits: whether the merged counter reaches least."""
-    slices = texts.mapInArrow(_sketches(width, longest), "row int, slice int, counts binary")
-    size = max(1, min(SLICE, width) // 8)
-    out = np.zeros((longest * DEPTH, width // 8), dtype=np.uint8)
-    for r in slices.repartition("row", "slice").mapInArrow(_merged(width, least), "row int, slice int, bits binary").toLocalIterator():
-        out[r["row"], r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
+def frequent_bits(texts: DataFrame, width: int, least: int, longest: int) -> dict[int, np.ndarray]:
+    """For each order the bits of its rows: whether the merged counter reaches least."""
+    out: dict[int, np.ndarray] = {}
+    for orders in ((1, 2), tuple(range(3, longest + 1))):
+        if not orders:
+            continue
+        known = texts.sparkSession.sparkContext.broadcast(out) if out else None
+        slices = texts.mapInArrow(_sketches(known, width, orders), "n int, row int, slice int, size int, counts binary")
+        found = {n: np.zeros((DEPTH, width_of(n, width) // 8), dtype=np.uint8) for n in orders}
+        for r in slices.repartition("n", "row", "slice").mapInArrow(_merged(width, least), "n int, row int, slice int, bits binary").toLocalIterator():
+            size = len(r["bits"])
+            found[r["n"]][r["row"], r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
+        out = out | found
     return out
 
 
-def survivors(words: Words, bits: np.ndarray, width: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By order: starts and hashes of the n-grams that may be frequent, as may be all n-grams in them."""
-    alive = np.ones(len(words.hashes) + 1, dtype=bool)
-    for n in range(1, longest + 1):
-        at, hashes = words.ngrams(n)
-        ok = alive[at] & alive[at + 1] if n > 1 else alive[at]
-        for row in range(DEPTH):
-            p = places(hashes, row, width)
-            ok &= (bits[(n - 1) * DEPTH + row][p >> 3] >> (p & 7) & 1).astype(bool)
-        at, hashes = at[ok], hashes[ok]
-        alive = np.zeros(len(alive), dtype=bool)
-        alive[at] = True
-        yield n, at, hashes
-
-
 def _counted(shared, width: int, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for words in chunks(batches):
             langs, phrases, sizes, times = list(words.names), [None] * len(words.names), [0] * len(words.names), words.n_words.tolist()
-            for n, at, hashes in survivors(words, bits, width, longest):
+            for n, at, hashes in candidates(words, bits, width, longest):
                 _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
                 starts = at[first]
                 phrases += [words.phrase(i, n) for i in starts.tolist()]
@@ -212,6 +237,8 @@ def ngram_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, wi
     if not 1 <= least <= FULL:
         raise ValueError(f"least is 1 to {FULL}")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    if width is not None and (width < 2048 or width & (width - 1)):
+        raise ValueError("width is a power of 2 from 2048 on")
     if width is None:  # the width needs no exact number: a word has about six bytes
         width = sketch_width((texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 6)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_bits(texts, width, least, longest))

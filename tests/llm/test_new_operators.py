@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def plain_collocations(docs, least, longest, covered, top):
 ROW = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-@pytest.mark.parametrize("width", [64, 1 << 12, None])
+@pytest.mark.parametrize("width", [2048, 1 << 14, None])
 def test_collocations_are_those_of_plain_counts(spark, width, monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 3000)
     rng = random.Random(5)
@@ -185,15 +186,22 @@ def test_collocations_of_nothing(spark):
 def test_sketch_bits_never_miss_a_frequent_ngram(spark):
     df = spark.createDataFrame([("en", "a b c d " * 20)] * 3 + [("en", f"u{i} v{i}") for i in range(300)], "lang string, text string").repartition(4)
     texts = df.select("lang", F.col("text").cast("binary").alias("text"))
-    bits = collocations.frequent_bits(texts, 1 << 10, 30, 4)
-    import pyarrow as pa
-
+    bits = collocations.frequent_bits(texts, 1 << 12, 30, 4)
     words = collocations.Words(pa.array([b"a b c d a b c d u1 v1"], type=pa.binary()), ["en"])
-    found = {n: {words.phrase(i, n) for i in at.tolist()} for n, at, _ in collocations.survivors(words, bits, 1 << 10, 4)}
+    found = {n: {words.phrase(i, n) for i in at.tolist()} for n, at, _ in collocations.candidates(words, bits, 1 << 12, 4)}
     assert {b"a", b"b", b"c", b"d"} <= found[1] and {b"a b", b"d a"} <= found[2] and {b"a b c d", b"b c d a"} <= found[4]
     assert not any(b"u1" in p for p in found[2])
 
 
+def test_slices_are_unpacked_as_they_were():
+    rng = np.random.default_rng(8)
+    at = np.unique(rng.integers(0, 1 << 22, 5000)).astype(np.uint32)
+    counts = rng.integers(1, 256, len(at))
+    data = collocations.packed(at, counts)
+    got = collocations.unpacked(pa.py_buffer(data), len(at))
+    assert got[0].tolist() == at.tolist() and got[1].tolist() == counts.tolist() and len(data) < 3 * len(at)
+
+
 # --- licence notices
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -373,7 +373,8 @@ def disc_clusters(spark, sf_dir):
 @query(
     """
 WITH r AS (SELECT o_orderstatus AS a, o_orderpriority AS b FROM orders),
-p AS (SELECT a, b, count(*) / sum(count(*)) OVER (PARTITION BY a) AS s FROM r GROUP BY ALL),
+n AS (SELECT a, b, count(*) AS n FROM r GROUP BY a, b),
+p AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS s FROM n),
 g AS (SELECT x.a, y.a AS b, z.b AS c FROM (SELECT DISTINCT a FROM r) AS x, (SELECT DISTINCT a FROM r) AS y, (SELECT DISTINCT b FROM r) AS z)
 SELECT g.a, g.b, round(0.5 * sum(abs(coalesce(p.s, 0) - coalesce(q.s, 0))), 9) AS distance
 FROM g LEFT JOIN p ON p.a = g.a AND p.b = g.c LEFT JOIN p AS q ON q.a = g.b AND q.b = g.c GROUP BY g.a, g.b

@@ -4,8 +4,10 @@ Three plain patterns give the base spans (``assign``, ``access``, ``hex``).  A
 second layer looks at encoded candidates and reports one only after its inside
 has been read: the header and payload of a signed token must be JSON objects
 with an algorithm, the nested lengths of a DER value must add up to its end, and
-the fields of an OpenSSH key must fill it.  Longer base64 or hex runs are decoded and
-looked into for all of these, up to ``LAYERS`` encodings deep (``encoded``).  Every row is looked at on its own, so
+the fields of an OpenSSH key must fill it; an encrypted token needs a header that names both of its algorithms.
+Longer base64 or hex runs are decoded and looked into for all of these, up to ``LAYERS`` encodings deep (``encoded``):
+runs of the standard and of the URL alphabet apart, from each of the four places that an encoding can be in step with
+(what stands before it may be of the same letters), and wrapped lines joined.  Every row is looked at on its own, so
 the job is one narrow map: no shuffle, and any lost task is simply run again.
 
 Defined results: a null or empty text has no spans; a row is never dropped or
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from canvass.llm.storage import documents
 
 #: In the order in which spans with one start are listed; the first three are the base kinds.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexder", "encoded")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexder", "encoded", "jwe")
 N_BASE = 3
 LAYERS = 3
 #: What a redacted span becomes.
@@ -39,15 +41,25 @@ _ASSIGN = re.compile(
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Letters of tokens with their dots; the parts are read one by one.
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 _DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
 _OPENSSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+={0,2}")
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 
-_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
+#: Runs of either alphabet, and lines of them that a mail or a configuration has wrapped.
+_RUNS = (re.compile(r"[A-Za-z0-9+/]{48,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{48,}={0,2}"))
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/_-]{40,}+)*+"
+    r"(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/_-]++={0,2}(?=[ \t]*+(?:\r?\n|\Z)))?+={0,2}"
+)
+_BETWEEN = re.compile(r"[\s>]+")
+_SEPARATOR = re.compile(r"[+/_-]")
 _HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})+")
 
+_JSON = json.JSONDecoder()
+
 Span = tuple[int, int, int]  # start, kind's number, end
 
 
@@ -121,14 +133,44 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data)
 
 
+def _header(part: str) -> tuple[int, dict]:
+    """Where a JSON object begins that fills the rest of the part, and the object; it may stand behind other letters."""
+    starts = [m.start() for m in re.finditer("eyJ", part)]
+    for step in sorted({i % 4 for i in starts}):
+        text = _in_step(part[step:]).decode("latin-1")
+        for i in starts:
+            if i % 4 == step:
+                try:
+                    found, end = _JSON.raw_decode(text, (i - step) // 4 * 3)
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(found, dict) and end == len(text):
+                    return i, found
+    return 0, {}
+
+
+def _tokens(run: str, start: int) -> list[Span]:
+    """Signed and encrypted tokens among the dotted parts of a run."""
+    spans, parts, at = [], run.split("."), start
+    for i, part in enumerate(parts):
+        if "eyJ" in part and i + 2 < len(parts):
+            first, header = _header(part)
+            if isinstance(header.get("alg"), str):
+                if parts[i + 1].startswith("eyJ") and _json_object(_decoded(parts[i + 1], urlsafe=True)):
+                    spans.append((at + first, 3, at + sum(map(len, parts[i : i + 3])) + 2))
+                elif isinstance(header.get("enc"), str) and i + 4 < len(parts) and all(parts[i + 2 : i + 5]):
+                    spans.append((at + first, 9, at + sum(map(len, parts[i : i + 5])) + 4))
+        at += len(part) + 1
+    return spans
+
+
 def _confirmed(text: str) -> list[Span]:
     """Spans of encoded secrets whose inside has been read."""
     spans: list[Span] = []
     if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            header = _json_object(_decoded(m[1], urlsafe=True))
-            if isinstance(header.get("alg"), str) and _json_object(_decoded(m[2], urlsafe=True)):
-                spans.append((m.start(), 3, m.end()))
+        for m in _DOTTED.finditer(text):
+            if "eyJ" in m[0]:
+                spans += _tokens(m[0], m.start())
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             body = _decoded(m[2])
@@ -143,14 +185,61 @@ def _confirmed(text: str) -> list[Span]:
     return spans
 
 
-def _holds_secret(run: str, layers: int) -> bool:
-    """Whether a base64 or hex run hides a confirmed secret."""
-    is_hex = _HEX_RUN.fullmatch(run) is not None
-    data = bytes.fromhex(run) if is_hex else _decoded(run, urlsafe="-" in run or "_" in run)
-    if is_openssh_key(data) and (is_hex or layers < LAYERS):  # else it is an openssh span itself
-        return True
+def _bytes_hold(data: bytes, layers: int) -> bool:
+    """Whether decoded bytes are or hold a confirmed secret."""
     inside = data.decode("latin-1")
-    return bool(_confirmed(inside)) or (layers > 1 and any(_holds_secret(m[0], layers - 1) for m in _ENCODED.finditer(inside)))
+    return bool(_confirmed(inside)) or (layers > 1 and bool(_encoded(inside, layers - 1)))
+
+
+def _in_step(run: str) -> bytes:
+    """What a run decodes to, without a last letter that belongs to no byte."""
+    run = run.rstrip("=")
+    return _decoded(run[:-1] if len(run) % 4 == 1 else run, urlsafe="-" in run or "_" in run)
+
+
+def _begins_key(run: str, at: int) -> bool:
+    """Whether a DER sequence over the rest of the run, or an OpenSSH key, may begin here."""
+    if run.startswith("b3BlbnNzaC1rZXktdjEA", at):
+        return True
+    head = _decoded(run[at : at + 8], urlsafe=True) or _decoded(run[at : at + 8])
+    if len(head) < 6 or head[0] != 0x30:
+        return False
+    extra = head[1] & 0x7F if head[1] >= 0x80 else 0
+    size = int.from_bytes(head[2 : 2 + extra], "big") if extra else head[1]
+    return extra <= 4 and 2 + extra + size == len(run[at:].rstrip("=")) * 3 // 4
+
+
+def _holds_secret(run: str, layers: int) -> int | None:
+    """From where on a base64 or hex run hides a confirmed secret."""
+    if _HEX_RUN.fullmatch(run):
+        data = bytes.fromhex(run)
+        if is_openssh_key(data) or _bytes_hold(data, layers):
+            return 0
+    for step in range(4):
+        data = _in_step(run[step:])
+        if step == 0 and layers < LAYERS and is_openssh_key(data) or _bytes_hold(data, layers):
+            after = next((m.end() for m in _SEPARATOR.finditer(run) if m.end() % 4 == step), None) if step else None
+            return after if after is not None and _bytes_hold(_in_step(run[after:]), layers) else step
+    for m in _SEPARATOR.finditer(run):
+        if _begins_key(run, m.end()):
+            data = _in_step(run[m.end() :])
+            if is_key_sequence(data) or is_openssh_key(data):
+                return m.end()
+    return None
+
+
+def _encoded(text: str, layers: int) -> list[Span]:
+    """Spans of runs, and of wrapped lines, that hide a confirmed secret."""
+    spans = set()
+    for pattern in _RUNS:
+        for m in pattern.finditer(text):
+            at = _holds_secret(m[0], layers)
+            if at is not None:
+                spans.add((m.start() + at, 8, m.end()))
+    for m in _WRAPPED.finditer(text):
+        if "\n" in m[0] and _holds_secret(_BETWEEN.sub("", m[0]), layers) is not None:
+            spans.add((m.start(), 8, m.end()))
+    return sorted(spans)
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -165,7 +254,7 @@ def find_spans(text: str | None) -> list[Span]:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     spans += _confirmed(text)
-    spans += [(m.start(), 8, m.end()) for m in _ENCODED.finditer(text) if _holds_secret(m[0], LAYERS)]
+    spans += _encoded(text, LAYERS)
     return sorted(spans)
 
 

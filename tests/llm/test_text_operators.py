@@ -333,6 +333,61 @@ def test_secrets_inside_encodings_are_found():
             assert not [s for s in secret_scan.find_spans(f"see {run} there") if s[1] >= secret_scan.N_BASE]
 
 
+def _token(**header) -> str:
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    return f"{part({'alg': 'HS256', 'typ': 'JWT'} | header)}.{part({'sub': '1234567890', 'name': 'someone'})}.c2lnbmF0dXJlc2lnbmF0dXJl"
+
+
+def _twin_holds(text: str) -> bool:
+    """From every letter on, to the end of its run of either alphabet or of its wrapped lines: whether a token is inside."""
+    for letters in ("A-Za-z0-9+/", "A-Za-z0-9_-"):
+        for wrapped in (text, re.sub(r"[ \t]*\r?\n[ \t>]*", "", text)):
+            for m in re.finditer(f"[{letters}]{{48,}}", wrapped):
+                for at in range(len(m[0])):
+                    run = m[0][at:]
+                    try:
+                        inside = base64.b64decode(run[: len(run) // 4 * 4], altchars=b"-_" if "_" in letters else None).decode("latin-1")
+                    except ValueError:
+                        continue
+                    if any(secret_scan.KINDS[k] in ("jwt", "jwe") for _, k, _ in secret_scan._confirmed(inside)):
+                        return True
+    return False
+
+
+def test_encodings_are_found_out_of_step_and_wrapped():
+    rng, encoded = random.Random(6), secret_scan.KINDS.index("encoded")
+    for around in range(3):
+        secret = " " * around + _token(kid=str(around)) + " end"
+        for code in (base64.b64encode(secret.encode()).decode(), base64.urlsafe_b64encode(secret.encode()).decode()):
+            for before in ("", "key_", "https://host.example/p/", "blob/", "id-", "abc", "x/y/z-", "\u00e9"):
+                text = f"see {before}{code} there"
+                spans = [s for s in secret_scan.find_spans(text) if s[1] == encoded]
+                assert spans and spans[0][0] <= 4 + len(before) + 3 and spans[0][2] == len(text) - 6, text
+                assert _twin_holds(text)
+            for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n> ")):
+                text = "mail:\n\n" + end.join(code[i : i + width] for i in range(0, len(code), width)) + "\n\nbye"
+                spans = [s for s in secret_scan.find_spans(text) if s[1] == encoded]
+                assert spans and spans[0][0] <= 7 and spans[0][2] >= len(text) - 5, text
+                assert _twin_holds(text)
+    for _ in range(60):
+        junk = base64.b64encode(rng.randbytes(rng.randint(40, 200))).decode()
+        text = f"{rng.choice(['', 'p/', 'id-', 'q'])}{junk}\n{junk[:70]}"
+        assert bool([s for s in secret_scan.find_spans(text) if s[1] == encoded]) == _twin_holds(text) == False  # noqa: E712
+
+
+def test_keys_after_a_separator_and_encrypted_tokens_are_found():
+    body = base64.b64encode(KEY).decode()
+    for before in ("backup/", "k-", "a/b_c/"):
+        at = len(before) + 2
+        assert any(s[0] == at and s[2] == at + len(body) for s in secret_scan.find_spans(f"x {before}{body} y"))
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwe = ".".join([part(json.dumps({"alg": "RSA-OAEP", "enc": "A256GCM"}).encode()), part(b"key" * 9), part(b"iv" * 6), part(b"text" * 9), part(b"tag" * 5)])
+    assert kinds(f"see {jwe} there") == ["jwe"] and kinds(f"id-{jwe}") == ["jwe"]
+    assert kinds(".".join([part(json.dumps({"alg": "RSA-OAEP"}).encode()), *jwe.split(".")[1:]])) == []
+    for long in ("/M" * 200_000, "eyJ-" * 200_000, "eyJ." * 50_000, "ab+/" * 100_000, ("x" * 64 + "\n") * 5_000):
+        assert kinds(long + " password=hunter22") == ["assign"]
+
+
 def test_digests_are_sha256_of_the_listing(spark):
     df = spark.createDataFrame([(1, "token=abcdef1 x")], "doc_id long, text string")
     (r,) = df.select(F.sha2(secret_scan._listed(secret_scan.secret_spans(F.col("text"))), 256).alias("h")).collect()

@@ -212,9 +212,9 @@ def fit(
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that base rules and forest keep, with the columns of docs."""
-    ruled = docs.withColumn("rules", rule_statistics(F.col("text")))
-    judge = fit(stored(ruled.select("doc_id", "rules"), "rules"), labels)
-    return judge(ruled).where("kept").select(*docs.columns)
+    ruled = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", rule_statistics(F.col("text")).alias("rules"))
+    ruled = stored(ruled, "rules")  # once: the forest reads its numbers, the verdict all of it
+    return fit(ruled, labels)(ruled).where("kept").select("doc.*")
 
 
 def op3_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,10 +246,24 @@ def wilson_interval(spark, sf_dir):
     return inference.proportion_difference(c, "c_mktsegment", "hit").select("c_mktsegment", "n", "hits", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+@query("""
+WITH g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, count(*) / var_samp(c_acctbal) AS w FROM customer GROUP BY 1),
+t AS (SELECT *, sum(w) OVER () AS s, sum(w * m) OVER () / sum(w) OVER () AS u, count(*) OVER () AS k FROM g),
+a AS (SELECT max(k) AS k, sum(w * (m - u) ** 2) / (max(k) - 1) AS f, sum((1 - w / s) ** 2 / (n - 1)) AS l FROM t)
+SELECT 'welch_anova' AS method, CAST(k AS INTEGER) AS groups, round(f / (1 + 2 * (k - 2) / (k * k - 1) * l), 6) AS statistic FROM a
+UNION ALL SELECT 'pearson', 2, round(corr(c_acctbal, c_nationkey), 6) FROM customer
+""")
+def chosen_tests(spark, sf_dir):
+    """The tests that fit the scales and the number of groups, and what they find."""
+    c = read(spark, sf_dir, "customer")
+    a, b = inference.run_test(c, "c_mktsegment", "c_acctbal", "ratio"), inference.run_test(c, "c_acctbal", "c_nationkey", "ratio", "pair")
+    return small(spark, [(a["method"], a["groups"], round(a["f"], 6)), (b["method"], b["groups"], round(b["r"], 6))], "method string, groups int, statistic double")
+
+
 @query()
 def tau_permutation(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").withColumn("mask", F.col("doc_id") < 200)
-    r = inference.tau_permutation(labels, "quality", "toxic", "mask", "doc_id")
+    r = inference.tau_permutation(labels, "quality", "toxic", "mask")
     return small(spark, [(r["difference"], r["p"])], "difference double, p double")
 
 
@@ -641,6 +655,18 @@ def polychoric(spark, sf_dir):
     return small(spark, [(float(r[0, 1]),)], "rho double")
 
 
+@query()
+def factor_sensitivity(spark, sf_dir):
+    """Pearson against polychoric solutions of ordinal items."""
+    items = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = read(spark, sf_dir, "lineitem").select(*(F.least(F.greatest(F.round(F.col(c) * k), F.lit(0)), F.lit(4)).cast("int").cast("string").alias(c) for c, k in zip(items, (0.08, 40, 40, 0.6), strict=True)))
+    order = tuple(map(str, range(5)))
+    pearson, n = efa.pearson_matrix(rows.select(*(F.col(c).cast("double").alias(c) for c in items)), items)
+    poly, _ = efa.polychoric_matrix(rows, [Variable(c, scale="ordinal", order=order) for c in items])
+    found = efa.sensitivity(pearson, efa.extract(pearson, 1, "uls", n), poly, efa.extract(poly, 1, "uls", n))
+    return small(spark, [(k, float(v)) for k, v in found.items() if k.endswith(("_max", "_median"))], "measure string, value double")
+
+
 # --- mining and robustness
 
 

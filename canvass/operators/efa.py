@@ -283,12 +283,132 @@ def parallel(df: DataFrame, columns: Sequence[str], key: str, replicates: int =
     return observed, reference, int(len(above) if above.all() else above.argmin())
 
 
+def assigned(gain: np.ndarray) -> list[int]:
+    """The column of each row in the one-to-one assignment of a square table with the largest sum.
+
+    Rows enter one after the other along shortest augmenting paths over reduced costs, q ** 3 steps in all."""
+    q = len(gain)
+    cost = gain.max(initial=0.0) - gain
+    row_price, column_price, row_of = np.zeros(q), np.zeros(q), np.full(q, -1)
+    for start in range(q):
+        reach, came, done, row, last = np.full(q, np.inf), np.full(q, -1), np.zeros(q, dtype=bool), start, -1
+        while True:
+            slack = cost[row] - row_price[row] - column_price
+            base = 0.0 if last < 0 else reach[last]
+            shorter = ~done & (base + slack < reach)
+            reach[shorter], came[shorter] = base + slack[shorter], last
+            last = int(np.where(done, np.inf, reach).argmin())
+            done[last] = True
+            if row_of[last] < 0:
+                break
+            row = row_of[last]
+        end = reach[last]
+        for c in np.flatnonzero(done):
+            if c != last:
+                row_price[row_of[c]] += end - reach[c]
+                column_price[c] -= end - reach[c]
+        row_price[start] += end
+        while last >= 0:
+            before = came[last]
+            row_of[last] = start if before < 0 else row_of[before]
+            last = before
+    out = [0] * q
+    for c, r in enumerate(row_of.tolist()):
+        out[r] = c
+    return out
+
+
+@dataclass
+class Alignment:
+    """Factors of one solution in the order and with the signs of another's."""
+
+    order: list[int]
+    signs: np.ndarray
+    congruence: list[float]
+    gap: float | None  # to the second best assignment; None with one factor
+    clear: bool
+    loadings: np.ndarray
+    phi: np.ndarray
+
+
+def congruences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of all pairs of factors; 0 for factors without loadings."""
+    norms = np.outer(np.sqrt((a**2).sum(axis=0)), np.sqrt((b**2).sum(axis=0)))
+    return np.where(norms > 0, a.T @ b / np.where(norms > 0, norms, 1), 0.0)
+
+
 def congruence(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[float]]:
     """The matching of factors of two solutions with the largest congruence, and its coefficients (b may be turned)."""
-    c = a.T @ b / np.sqrt(np.outer((a**2).sum(axis=0), (b**2).sum(axis=0)))
-    q = c.shape[0]
-    best = max(itertools.permutations(range(q)), key=lambda p: sum(abs(c[i, j]) for i, j in enumerate(p)))
-    return list(best), [float(abs(c[i, j])) for i, j in enumerate(best)]
+    c = np.abs(congruences(a, b))
+    best = assigned(c)
+    return best, [float(c[i, j]) for i, j in enumerate(best)]
+
+
+def align(a: Factors, b: Factors, least: float = 0.85, tie: float = 1e-6) -> Alignment:
+    """b in a's order; not clear where a factor is empty, another assignment is as good, or a congruence is below least."""
+    c = congruences(a.loadings, b.loadings)
+    size, q = np.abs(c), len(c)
+    order = assigned(size)
+    total = sum(size[i, j] for i, j in enumerate(order))
+    others = []
+    for i, j in enumerate(order):  # the best assignment without this pair
+        barred = size.copy()
+        barred[i, j] = -float(q)
+        other = assigned(barred)
+        others.append(sum(size[r, k] for r, k in enumerate(other)))
+    signs = np.array([1.0 if c[i, j] >= 0 else -1.0 for i, j in enumerate(order)])
+    values, gap = [float(size[i, j]) for i, j in enumerate(order)], float(total - max(others)) if q > 1 else None
+    full = bool((np.abs(a.loadings).sum(axis=0) > 0).all()) and np.linalg.matrix_rank(b.loadings) == q
+    clear = full and min(values) >= least and (gap is None or gap > tie)
+    return Alignment(order, signs, values, gap, clear, b.loadings[:, order] * signs, b.phi[np.ix_(order, order)] * np.outer(signs, signs))
+
+
+def definite(loadings: np.ndarray, least: float = 0.4, margin: float = 0.1) -> list[int | None]:
+    """The factor that each item belongs to: a loading of least, and margin above its second."""
+    out: list[int | None] = []
+    for row in np.abs(loadings):
+        top = int(row.argmax())
+        second = float(np.delete(row, top).max(initial=0.0))
+        out.append(top if row[top] >= least and (len(row) == 1 or row[top] - second >= margin) else None)
+    return out
+
+
+def sensitivity(
+    r_a: np.ndarray, a: Factors, r_b: np.ndarray, b: Factors, kept: tuple[int | None, int | None] = (None, None), guides: dict[str, float] | None = None
+) -> dict[str, object]:
+    """How far two solutions (of Pearson and of polychoric correlations) differ, and a verdict.
+
+    ``kept`` are the numbers of factors that parallel analyses keep.  The verdict is indeterminate where a solution is not
+    admissible or factors cannot be aligned, method_sensitive where kept numbers differ, a largest difference is beyond
+    its guide or an item changes its factor, indeterminate again where an item is close to two factors, else small.
+    """
+    guides = {"correlation": 0.1, "loading": 0.1, "communality": 0.1, "factor_correlation": 0.1} | (guides or {})
+    out: dict[str, object] = {"same_count": a.loadings.shape[1] == b.loadings.shape[1]}
+    upper = np.triu_indices(len(r_a), 1)
+    gaps = {"correlation": np.abs(r_a[upper] - r_b[upper])}
+    aligned, changed, close = None, [], []
+    if out["same_count"]:
+        aligned = align(a, b)
+        pairs = np.triu_indices(len(a.phi), 1)
+        gaps |= {
+            "loading": np.abs(a.loadings - aligned.loadings).ravel(),
+            "communality": np.abs(a.uniqueness - b.uniqueness),
+            "factor_correlation": np.abs(a.phi[pairs] - aligned.phi[pairs]),
+        }
+        one, other = definite(a.loadings), definite(aligned.loadings)
+        changed = [i for i, (x, y) in enumerate(zip(one, other, strict=True)) if x is not None and y is not None and x != y]
+        strong = lambda m, i: np.abs(m[i]).max() >= 0.4
+        close = [i for i in range(len(one)) if (one[i] is None and strong(a.loadings, i)) or (other[i] is None and strong(aligned.loadings, i))]
+    out |= {f"{k}_{name}": float(f(v)) if len(v) else 0.0 for k, v in gaps.items() for name, f in (("max", np.max), ("median", np.median))}
+    out |= {"alignment": aligned, "changed": changed, "close": close}
+    beyond = any(len(v) and v.max() > guides[k] for k, v in gaps.items())
+    if a.status != "admissible" or b.status != "admissible" or (aligned is not None and not aligned.clear):
+        verdict = "indeterminate"
+    elif not out["same_count"] or kept[0] != kept[1] or beyond or changed:
+        verdict = "method_sensitive"
+    else:
+        verdict = "indeterminate" if close else "small"
+    return out | {"verdict": verdict}
 
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> float:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from canvass.codebook import CodebookError
 from canvass.functions import dist
 from canvass.functions.columns import ratio
-from canvass.operators.crosstab import pearson, table
+from canvass.operators.crosstab import association, pearson, table
+from canvass.operators.summaries import correlation_pairs
 from canvass.plans.primitives import group_moments, value_ranks
 
 METHODS = ("auto", "pearson", "fisher", "frequency", "rao_scott", "none")
@@ -30,17 +32,48 @@ def resolve(requested: str, weight_type: str | None) -> str:
     return requested
 
 
-def method_for(situation: str, scale: str) -> str:
-    """The method for two groups, more groups or a correlation of a variable of a scale."""
-    kind = "numeric" if scale in ("interval", "ratio") else scale
-    methods = {
-        "two": {"nominal": "table", "ordinal": "mann_whitney", "numeric": "welch_t"},
-        "multi": {"nominal": "table", "ordinal": "kruskal", "numeric": "welch_anova"},
-        "correlation": {"nominal": "cramers_v", "ordinal": "kendall_tau_b", "numeric": "pearson"},
-    }
-    if situation not in methods or kind not in methods[situation]:
-        raise CodebookError(f"no method for {situation} of a {scale} variable")
-    return methods[situation][kind]
+@dataclass(frozen=True)
+class Test:
+    """A test, what it compares and on which scales: each test below declares itself with ``serves``."""
+
+    name: str
+    compares: str  # groups, or a pair of variables
+    least: int  # groups it needs
+    most: float
+    scales: frozenset[str]
+    run: Callable[[DataFrame, str, str], dict]
+
+
+_TESTS: list[Test] = []
+
+
+def serves(compares: str, *scales: str, least: int = 2, most: float = math.inf):
+    """Declare what a function of (df, group or first variable, second variable) is a test for."""
+
+    def declare(run: Callable[[DataFrame, str, str], dict]):
+        _TESTS.append(Test(run.__name__.removeprefix("run_"), compares, least, most, frozenset(scales), run))
+        return run
+
+    return declare
+
+
+def test_for(compares: str, scale: str, groups: int = 2) -> Test:
+    """The declared test of a variable of a scale between so many groups, or of a pair of variables."""
+    fits = [t for t in _TESTS if t.compares == compares and scale in t.scales and (compares == "pair" or t.least <= groups <= t.most)]
+    if not fits:
+        raise CodebookError(f"no test of a {scale} variable for {compares}")
+    return fits[0]
+
+
+def run_test(df: DataFrame, x: str, y: str, scale: str, compares: str = "groups", most: int = 1000) -> dict:
+    """Run the test that fits: of y between the groups of x, or of x with y; the result has its name as ``method``."""
+    groups = 2
+    if compares == "groups":
+        groups = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x).distinct().limit(most + 1).count()
+        if groups > most:
+            raise CodebookError(f"{x} has more than {most} groups")
+    test = test_for(compares, scale, groups)
+    return {"method": test.name, "groups": groups} | test.run(df, x, y)
 
 
 def table_test(found: DataFrame, method: str) -> dict[str, float | None]:
@@ -160,24 +193,54 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
     return stepped.withColumn("q", F.least(q, F.lit(1.0))).drop("__s")
 
 
-def tau_permutation(df: DataFrame, x: str, y: str, mask: str, key: str, permutations: int = 200, seed: int = 42) -> dict[str, float]:
+def _pair_tables(df: DataFrame, x: str, y: str, mask: str, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (x, y) inside and outside a mask; ordinal variables have few values."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y"))
+    inside = F.coalesce(F.col(mask), F.lit(False))
+    cells = rows.agg(F.count_if(inside).alias("a"), F.count_if(~inside).alias("b")).limit(most + 1).collect()
+    if len(cells) > most:
+        raise CodebookError(f"{x} and {y} have more than {most} pairs of values")
+    xs, ys = ({v: i for i, v in enumerate(sorted({c[k] for c in cells}))} for k in ("x", "y"))
+    out = np.zeros((2, len(xs), len(ys)), dtype=np.int64)
+    for c in cells:
+        out[:, xs[c["x"]], ys[c["y"]]] = c["a"], c["b"]
+    return out[0], out[1]
+
+
+def drawn_without_return(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of n rows drawn without return are in each cell, one conditional draw a cell after the other.
+
+    That is the table of permuted labels, without touching the rows.  Counts from a billion on, beyond the generator's
+    range, are drawn from the normal distribution of the same mean and variance."""
+    out, left = np.zeros(len(counts), dtype=np.int64), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        rest = left - c
+        if n == 0 or left == 0:
+            break
+        if left < 1_000_000_000:
+            k = int(rng.hypergeometric(c, rest, n)) if c else 0
+        else:
+            share = c / left
+            sd = math.sqrt(max(n * share * (1 - share) * (left - n) / max(left - 1, 1), 0.0))
+            k = int(min(max(round(rng.normal(n * share, sd)), n - rest, 0), c, n))
+        out[i], n, left = k, n - k, rest
+    return out
+
+
+def tau_permutation(df: DataFrame, x: str, y: str, mask: str, permutations: int = 200, seed: int = 42) -> dict[str, float]:
     """Difference of tau-b inside and outside a mask, with a permutation p-value.
 
-    Labels are redrawn for each replicate by hashes; what is gathered is the x by y table of each replicate, whose size
-    does not depend on the number of rows.
+    Permuting the mask over the rows draws, without return, the rows inside from the table of (x, y): each replicate is
+    such a draw, so the numbers of rows inside and outside stay and the work does not grow with the table.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, F.coalesce(F.col(mask), F.lit(False)).alias("m"), key)
-    share = rows.agg(F.avg(F.col("m").cast("int"))).first()[0]
-    unit = lambda r: F.pmod(F.xxhash64(key, F.lit(seed), r), F.lit(1 << 30)) / float(1 << 30)
-    redrawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).withColumn("inside", F.when(F.col("r") == 0, F.col("m")).otherwise(unit(F.col("r")) < share))
-    cells = redrawn.groupBy("r", "inside", x, y).agg(F.count("*").alias("n")).collect()
-    xs, ys = sorted({c[x] for c in cells}), sorted({c[y] for c in cells})
-    tables = np.zeros((permutations + 1, 2, len(xs), len(ys)))
-    for c in cells:
-        tables[c["r"], int(c["inside"]), xs.index(c[x]), ys.index(c[y])] = c["n"]
-    taus = np.array([[tau_of_table(t) for t in pair] for pair in tables])
-    d = taus[:, 1] - taus[:, 0]
-    return {"difference": float(d[0]), "p": float(((np.abs(d[1:]) >= abs(d[0])).sum() + 1) / (permutations + 1))}
+    inside, outside = _pair_tables(df, x, y, mask)
+    both, n, rng = inside + outside, int(inside.sum()), np.random.default_rng(seed)
+    observed = tau_of_table(inside) - tau_of_table(outside)
+    beyond = 0
+    for _ in range(permutations):
+        drawn = drawn_without_return(both.ravel(), n, rng).reshape(both.shape)
+        beyond += abs(tau_of_table(drawn) - tau_of_table(both - drawn)) >= abs(observed)
+    return {"difference": float(observed), "p": (int(beyond) + 1) / (permutations + 1)}
 
 
 def tau_of_table(t: np.ndarray) -> float:
@@ -194,3 +257,49 @@ def tau_of_table(t: np.ndarray) -> float:
 def proportion_difference(df: DataFrame, group: str, hit: str) -> DataFrame:
     """Rows and hits of each group."""
     return df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(hit)).alias("hits")).withColumn("share", ratio(F.col("hits"), F.col("n")))
+
+
+# --- what each test is for
+
+
+@serves("groups", "interval", "ratio", most=2)
+def run_welch_t(df: DataFrame, group: str, value: str) -> dict:
+    a, b = moments_by(df, group, value).values()
+    return welch_t(a, b) | {"cohens_d": cohens_d(a, b)}
+
+
+@serves("groups", "interval", "ratio", least=3)
+def run_welch_anova(df: DataFrame, group: str, value: str) -> dict:
+    return welch_anova(list(moments_by(df, group, value).values()))
+
+
+@serves("groups", "ordinal", most=2)
+def run_mann_whitney(df: DataFrame, group: str, value: str) -> dict:
+    first, second = sorted(r[0] for r in df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group).distinct().limit(3).collect())
+    return mann_whitney(df, group, value, first, second)
+
+
+@serves("groups", "ordinal", least=3)
+def run_kruskal(df: DataFrame, group: str, value: str) -> dict:
+    r = kruskal(df, group, value).first().asDict()
+    return r | {"p": dist.chi2_sf(r["h"], r["df"])}
+
+
+@serves("groups", "nominal")
+@serves("pair", "nominal")
+def run_chi_square(df: DataFrame, x: str, y: str) -> dict:
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    found = rows.groupBy(F.col(x).alias("r"), F.col(y).alias("c")).agg(F.count("*").cast("double").alias("w"))
+    r = association(found).first().asDict()
+    return r
+
+
+@serves("pair", "ordinal")
+def run_kendall_tau_b(df: DataFrame, x: str, y: str) -> dict:
+    return kendall_tau_b(df, x, y).first().asDict()
+
+
+@serves("pair", "interval", "ratio")
+def run_pearson(df: DataFrame, x: str, y: str) -> dict:
+    r = correlation_pairs(df, [x, y], digits=12).first()
+    return {"r": r["r"], "n": r["n"]}

@@ -331,18 +331,17 @@ def within(df: DataFrame, column: str, by: str) -> Column:
     return finite(column) - F.avg(finite(column)).over(Window.partitionBy(by))
 
 
-def taylor_fit(fit: LinearFit, book: Codebook, row_id: str, data: DataFrame | None = None):
+def taylor_fit(fit: LinearFit, book: Codebook, row_id: str, data: DataFrame):
     """Survey covariance of a weighted fit under the design of the codebook.
 
-    The frame is all rows of data, of which those that were not fitted (missing values, a scope) score 0; without data
-    it is the fitted rows.
+    The frame is all rows of data, of which those that were not fitted (missing values, a scope) score 0.
     """
     from canvass.operators.survey import design_frame, model_covariance
 
     names = [f"__s{i}" for i in range(len(fit.names))]
     fitted = fit.rows.withColumn("__e", F.col("__y") - fit.fitted())
     scores = fitted.select(row_id, *((F.col("__e") * c).alias(n) for n, c in zip(names, fit._x(), strict=True)))
-    whole = (fit.rows.drop("__w") if data is None else data).join(scores, row_id, "left")
+    whole = data.join(scores, row_id, "left")
     frame = design_frame(whole, book.design, row_id)
     scored = frame.rows.withColumns({n: F.col("__w") * F.coalesce(n, F.lit(0.0)) for n in names})
     covariance = model_covariance(type(frame)(scored, frame.df, frame.lonely, frame.n), names, fit.bread)

@@ -52,12 +52,36 @@ def test_adjusted_p_values():
 # --- golden values
 
 
-def test_methods_follow_the_scale():
-    assert [inference.method_for("two", s) for s in ("nominal", "ordinal", "interval", "ratio")] == ["table", "mann_whitney", "welch_t", "welch_t"]
-    assert inference.method_for("correlation", "ordinal") == "kendall_tau_b"
-    for bad in (("three", "ordinal"), ("two", "text")):
+def test_tests_are_found_by_what_they_declare(spark):
+    named = lambda *a: inference.test_for(*a).name
+    assert [named("groups", s) for s in ("nominal", "ordinal", "interval", "ratio")] == ["chi_square", "mann_whitney", "welch_t", "welch_t"]
+    assert [named("groups", s, 4) for s in ("nominal", "ordinal", "ratio")] == ["chi_square", "kruskal", "welch_anova"]
+    assert [named("pair", s) for s in ("nominal", "ordinal", "interval")] == ["chi_square", "kendall_tau_b", "pearson"]
+    for bad in (("trio", "ordinal"), ("groups", "text"), ("groups", "ordinal", 1)):
         with pytest.raises(CodebookError):
-            inference.method_for(*bad)
+            inference.test_for(*bad)
+    rows = [(i, "abc"[i % 3], "uv"[i % 2], float(i * 7 % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, h string, v double")
+    two, more = inference.run_test(df, "h", "v", "ordinal"), inference.run_test(df, "g", "v", "ordinal")
+    assert (two["method"], more["method"], more["groups"]) == ("mann_whitney", "kruskal", 3)
+    assert two["u"] == inference.mann_whitney(df, "h", "v", "u", "v")["u"] and more["df"] == 2
+    for x, y, scale, compares in (("h", "v", "ratio", "groups"), ("g", "v", "ratio", "groups"), ("g", "h", "nominal", "groups"), ("id", "v", "ordinal", "pair"), ("id", "v", "ratio", "pair")):
+        found = inference.run_test(df, x, y, scale, compares)
+        assert found["method"] == inference.test_for(compares, scale, found["groups"]).name and len(found) > 2
+
+
+def test_permuted_labels_keep_their_numbers(spark):
+    rng = np.random.default_rng(3)
+    counts = np.array([5, 0, 30, 65])
+    drawn = np.array([inference.drawn_without_return(counts, 40, rng) for _ in range(4000)])
+    assert (drawn.sum(axis=1) == 40).all() and (drawn <= counts).all()
+    assert drawn.mean(axis=0) == pytest.approx(counts * 0.4, abs=0.15)
+    assert drawn[:, 3].var() == pytest.approx(40 * 0.65 * 0.35 * 60 / 99, rel=0.1)
+    many = inference.drawn_without_return(counts * 10**9, 40 * 10**9, rng)
+    assert many.sum() == 40 * 10**9 and many / 10**9 == pytest.approx(counts * 0.4, rel=1e-3)
+    rows = [(i % 3, (i % 3) if i < 60 else (i * 5 % 3), i < 60) for i in range(120)]
+    found = inference.tau_permutation(spark.createDataFrame(rows, "x int, y int, m boolean"), "x", "y", "m")
+    assert found["difference"] > 0.5 and found["p"] < 0.05
 
 
 def test_correspondence_of_a_two_by_two_table():
@@ -214,6 +238,39 @@ def test_factor_model_is_recovered():
     assert p.loadings @ p.phi @ p.loadings.T + np.diag(p.uniqueness) == pytest.approx(r, abs=1e-4)
 
 
+def test_assignments_are_the_best_of_all():
+    rng = np.random.default_rng(11)
+    for q in range(1, 7):
+        for _ in range(20):
+            gain = rng.random((q, q)).round(1)
+            best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(q)))
+            found = efa.assigned(gain)
+            assert sorted(found) == list(range(q)) and sum(gain[i, j] for i, j in enumerate(found)) == pytest.approx(best)
+    assert sorted(efa.assigned(rng.random((60, 60)))) == list(range(60))
+
+
+def test_solutions_are_aligned_and_judged():
+    loadings = np.array([[0.8, 0.05], [0.7, 0.0], [0.65, 0.1], [0.0, 0.8], [0.1, 0.7], [0.05, 0.6]])
+    r = loadings @ loadings.T
+    np.fill_diagonal(r, 1.0)
+    a = efa.Factors(loadings, np.array([[1.0, 0.2], [0.2, 1.0]]), 1 - (loadings**2).sum(axis=1), 0.0, "admissible")
+    turned = efa.Factors(loadings[:, ::-1] * [-1, 1], np.array([[1.0, -0.2], [-0.2, 1.0]]), a.uniqueness, 0.0, "admissible")
+    found = efa.align(a, turned)
+    assert found.order == [1, 0] and found.signs.tolist() == [1.0, -1.0] and found.clear
+    assert found.loadings == pytest.approx(loadings) and found.phi == pytest.approx(a.phi) and found.gap > 1
+    assert efa.sensitivity(r, a, r, turned, (2, 2))["verdict"] == "small"
+    assert efa.sensitivity(r, a, r, turned, (2, 3))["verdict"] == "method_sensitive"
+    moved = loadings.copy()
+    moved[2] = [0.1, 0.65]
+    other = efa.Factors(moved, a.phi, a.uniqueness, 0.0, "admissible")
+    assert efa.sensitivity(r, a, r, other)["changed"] == [2] and efa.sensitivity(r, a, r, other)["verdict"] == "method_sensitive"
+    near = efa.Factors(np.array([[0.6, 0.55]] * 6), np.eye(2), a.uniqueness, 0.0, "admissible")
+    assert not efa.align(a, near).clear and efa.sensitivity(r, a, r, near)["verdict"] == "indeterminate"
+    single = efa.Factors(loadings[:, :1], np.eye(1), a.uniqueness, 0.0, "admissible")
+    assert efa.sensitivity(r, a, r, single)["verdict"] == "method_sensitive" and efa.align(single, single).gap is None
+    assert efa.definite(np.array([[0.5, 0.45], [0.5, 0.2], [0.3, 0.1]])) == [None, 0, None]
+
+
 def test_polychoric_of_a_normal_table():
     rho, cuts = 0.5, [-math.inf, -0.3, 0.8, math.inf]
     c = np.array([[dist.bvn_cdf(a, b, rho) for b in cuts] for a in cuts])

@@ -173,7 +173,7 @@ def test_rows_out_of_the_fit_stay_in_the_survey_frame(spark):
     book = Codebook(design=Design("w", psu="psu"))
     fit = regression.linear_regression(part, "y", {"x": F.col("x")}, "w", "survey", covariance="classical", keep=["id", "w", "psu"])
     whole, dof = regression.taylor_fit(fit, book, "id", df)
-    _, fewer = regression.taylor_fit(fit, book, "id")
+    _, fewer = regression.taylor_fit(fit, book, "id", part)
     assert dof == fewer + 2
     w, x, e = (np.array([r[k] for r in part.orderBy("id").collect()]) for k in ("w", "x", "y"))
     psu = np.array([r["psu"] for r in part.orderBy("id").collect()])
@@ -217,7 +217,7 @@ def test_taylor_fit_of_one_row_a_psu_is_the_sandwich(spark):
     y = 1 + 2 * x + rng.normal(size=80)
     df = spark.createDataFrame([(i, float(x[i]), float(y[i]), float(w[i])) for i in range(80)], "id long, x double, y double, w double")
     fit = regression.linear_regression(df, "y", {"x": F.col("x")}, "w", "survey", covariance="classical", keep=["id", "w"])
-    v, dof = regression.taylor_fit(fit, Codebook(design=Design("w")), "id")
+    v, dof = regression.taylor_fit(fit, Codebook(design=Design("w")), "id", df)
     m = np.column_stack([np.ones(80), x])
     b = np.linalg.inv(m.T * w @ m)
     s = m * (w * (y - m @ (b @ (m.T * w @ y))))[:, None]

@@ -22,9 +22,11 @@ from canvass.operators import (
     mining,
     ranking,
     regression,
+    relations,
     selection,
     smoothing,
     survey,
+    trees,
 )
 
 from canvass.queries import _RESPONDENTS, BOOK, query, read, respondents, rounded
@@ -538,14 +540,29 @@ def impute_draws(spark, sf_dir):
 
 @query()
 def decision_tree(spark, sf_dir):
-    e, x = _points(spark, sf_dir)
-    return discriminant.tree(e, "label", x)[1].select("vec_id", "label", "predicted", "leaf")
+    e, x = _points(spark, sf_dir, 64)
+    return trees.fit_trees(e, "label", x).predictions().select("vec_id", "label", "predicted", "leaf")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def tree_leaves(spark, sf_dir):
+    """A regression of a nominal column's code on its indicators has each code in a leaf of its own."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), F.col("c_nationkey").cast("double").alias("number"))
+    nodes = trees.fit_trees(c, "number", [], ["nation"], "regression", depth=25).nodes()
+    return nodes.where("leaf IS NOT NULL AND n > 0").select(F.col("mean").cast("long").alias("c_nationkey"), "n")
+
+
+@query()
+def representative_tree(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    forest = trees.fit_trees(part, "p_retailprice", ["p_size"], ["p_brand"], trees=10, depth=4)
+    return forest.nodes(forest.representative()).select("node", "parent", "depth", "feature", "threshold", "leaf", "prediction", "n", "mean")
 
 
 @query()
 def random_forest(spark, sf_dir):
     e, x = _points(spark, sf_dir)
-    return discriminant.tree(e, "label", x, trees=20)[1].select("vec_id", "label", "predicted")
+    return trees.fit_trees(e, "label", x, trees=20).predictions().select("vec_id", "label", "predicted")
 
 
 @query()
@@ -680,6 +697,30 @@ def subgroup_numeric(spark, sf_dir):
     return rounded(out, 2, "mean", "rest_mean").select("attribute", "level", "question", "n", "mean", "rest_mean")
 
 
+@query(
+    """
+WITH c AS (SELECT c_acctbal AS x, c_nationkey AS y FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b, x, y FROM c),
+k AS (SELECT sum(sign(p.x - q.x) * sign(p.y - q.y)) AS s, sum(abs(sign(p.x - q.x))) AS u, sum(abs(sign(p.y - q.y))) AS v FROM c AS p, c AS q)
+SELECT 'c_acctbal' AS x, 'c_nationkey' AS y, round(corr(a, b), 6) AS spearman, round(any_value(s / sqrt(u * v)), 6) AS tau_b, round(corr(x, y), 6) AS pearson FROM r, k
+"""
+)
+def rank_relations(spark, sf_dir):
+    found, _ = relations.relations(read(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"])
+    return rounded(found.where("pearson IS NOT NULL").select("x", "y", "spearman", "tau_b", "pearson"), 6, "spearman", "tau_b", "pearson")
+
+
+@query(
+    """
+WITH g AS (SELECT c_mktsegment AS s, count(*) AS n, avg(c_acctbal) AS m FROM customer GROUP BY 1), t AS (SELECT avg(c_acctbal) AS m, var_pop(c_acctbal) * count(*) AS v FROM customer)
+SELECT 'c_mktsegment' AS y, round(sqrt(sum(g.n * (g.m - t.m) ** 2) / any_value(t.v)), 6) AS eta FROM g, t
+"""
+)
+def eta_relation(spark, sf_dir):
+    found, _ = relations.relations(read(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"])
+    return rounded(found.select("y", "eta"), 6, "eta")
+
+
 @query(f"""
 WITH g AS (SELECT c_mktsegment AS level, o_orderpriority AS value, count(*) AS n FROM {_RESPONDENTS} GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY level) AS a, sum(n) OVER (PARTITION BY value) AS b, sum(n) OVER () AS t FROM g)
 SELECT 'c_mktsegment' AS attribute, level, 'o_orderpriority' AS question, value, n, round((n - a * b / t) / sqrt(a * b / t * (1 - a / t) * (1 - b / t)), 6) AS residual FROM t

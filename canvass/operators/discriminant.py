@@ -1,4 +1,4 @@
-"""Discriminant analysis, trees and forests."""
+"""Discriminant analysis."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,17 +119,3 @@ def posterior(df: DataFrame, m: ClassMoments, quadratic_form: bool = False, equa
     out = e.withColumns({f"p_{c}": F.col(f"__s{i}") / total for i, c in enumerate(m.classes)}).drop(*(f"__s{i}" for i in range(g)))
     top = F.greatest(*(F.struct(F.col(f"p_{c}").alias("p"), F.lit(c).alias("c")) for c in m.classes))
     return out.withColumn("predicted", top["c"])
-
-
-def tree(df: DataFrame, target: str, columns: Sequence[str], depth: int = 5, trees: int = 1, seed: int = 42):
-    """A decision tree, or a forest of several: the model, rows with prediction (and leaf for a tree), importances."""
-    rows = df.withColumn("__y", codes(df, target)).dropna(subset=["__y", *columns])
-    rows = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(rows)
-    index = StringIndexer(inputCol="__y", outputCol="__l", stringOrderType="alphabetAsc").fit(rows)
-    rows = index.transform(rows)
-    common = {"featuresCol": "__v", "labelCol": "__l", "predictionCol": "predicted", "maxDepth": depth, "seed": seed}
-    estimator = DecisionTreeClassifier(**common, leafCol="leaf") if trees == 1 else RandomForestClassifier(**common, numTrees=trees)
-    model = estimator.fit(rows)
-    out = model.transform(rows).drop("__v", "__l", "__y", "rawPrediction", "probability")
-    label = F.array(*map(F.lit, index.labels))
-    return model, out.withColumn("predicted", label[F.col("predicted").cast("int")]), dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True))

@@ -7,12 +7,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.codebook import CodebookError
 from canvass.functions import dist
-from canvass.functions.columns import ratio
+from canvass.functions.columns import finite, ratio
 from canvass.operators.crosstab import association, pearson, table
 from canvass.operators.summaries import correlation_pairs
 from canvass.plans.primitives import group_moments, value_ranks
@@ -165,23 +165,21 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of two ordered columns from the table of their values, in one pass over its cells.
+    """Concordant and discordant pairs of rows of two ordered columns and tau-b, as one row, whatever their values."""
+    from canvass.operators.relations import pair_cells, rank_correlations
 
-    Concordant pairs are counted by running sums over the table's rows; both columns must have few values (ordinal
-    items), the table is joined with itself row by row and not with the data.
-    """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("m"))
-    pairs = cells.join(other, F.col("x") < F.col("x2"))
-    cd = pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("y") < F.col("y2"), F.col("n") * F.col("m"))), F.lit(0)).alias("c"),
-        F.coalesce(F.sum(F.when(F.col("y") > F.col("y2"), F.col("n") * F.col("m"))), F.lit(0)).alias("d"),
-    )
-    pair_count = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    tie = lambda by, to: cells.groupBy(by).agg(F.sum("n").alias("t")).agg(pair_count("t").alias(to))
-    both = cells.agg(pair_count("n").alias("txy"), (F.sum("n") * (F.sum("n") - 1) / 2).alias("all"))
-    s = cd.join(tie("x", "tx")).join(tie("y", "ty")).join(both)  # four tables of one row
-    return s.select("c", "d", F.try_divide((F.col("c") - F.col("d")).cast("double"), F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty")))).alias("tau_b"))
+    found = rank_correlations(pair_cells(df, [(x, y)], {c: _ordered(df, c) for c in (x, y)})).get(0, {"c": 0.0, "d": 0.0, "tau_b": None})
+    return df.sparkSession.createDataFrame([(int(round(found["c"])), int(round(found["d"])), found["tau_b"])], "c long, d long, tau_b double")
+
+
+def _ordered(df: DataFrame, c: str) -> Column:
+    """A number as it is, a text by its place among the (few) codes of the column."""
+    if df.schema[c].dataType.typeName() not in ("string", "boolean"):
+        return finite(c)
+    levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(1001).collect()]
+    if len(levels) > 1000:
+        raise CodebookError(f"{c}: an ordinal column has at most 1000 codes")
+    return F.array_position(F.array(*map(F.lit, levels)), F.col(c)).cast("double") if levels else F.lit(None).cast("double")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
+from canvass.plans.quantiles import exact_quantiles
+from canvass.plans.storage import stored
 
 #: Rows of a block where all pairs meet block by block.
 PAIR_BLOCK = 4096
@@ -203,17 +205,20 @@ def same_partition(df: DataFrame, a: str, b: str) -> bool:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Add outlier: outside the fences of any column."""
-    q = df.agg(*(F.percentile(finite(c), F.array(F.lit(0.25), F.lit(0.75))) for c in columns)).first()
+    q = exact_quantiles(df, {c: finite(c) for c in columns}, [0.25, 0.75])
     out = F.lit(False)
-    for c, (a, b) in zip(columns, q, strict=True):
+    for c, (a, b) in q.items():
+        if a is None:
+            continue
         out = out | F.coalesce((finite(c) < a - factor * (b - a)) | (finite(c) > b + factor * (b - a)), F.lit(False))
     return df.withColumn("outlier", out)
 
 
 def robust_z_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """Add robust_z, the largest |x - median| / (1.4826 MAD) (deviation where MAD is 0), and outlier."""
-    centre = df.agg(*(F.median(finite(c)) for c in columns)).first()
-    spread = df.agg(*(F.median(F.abs(finite(c) - F.lit(m))) for c, m in zip(columns, centre, strict=True)), *(F.stddev_samp(finite(c)) for c in columns)).first()
+    centre = [q[0] for q in exact_quantiles(df, {c: finite(c) for c in columns}, [0.5]).values()]
+    spread = [q[0] or 0.0 for q in exact_quantiles(df, {c: F.abs(finite(c) - F.lit(m)) for c, m in zip(columns, centre, strict=True)}, [0.5]).values()]
+    spread += list(df.agg(*(F.stddev_samp(finite(c)) for c in columns)).first())
     k = len(columns)
     z = [
         F.abs(finite(c) - F.lit(centre[i])) / F.lit(1.4826 * spread[i] or spread[k + i] or 1.0)
@@ -264,7 +269,7 @@ def isolation_scores(df: DataFrame, x: Sequence[str], key: str, trees: int = 100
             lengths(tree, p, np.arange(len(p)), out)
         return pd.Series(2.0 ** (-out / trees / max(norm(size), 1e-9)))
 
-    scored = df.withColumn("isolation", isolation(*x)).cache()
+    scored = stored(df.withColumn("isolation", isolation(*x)), "isolation")
     limit = scored.agg(F.percentile_approx("isolation", 1 - contamination, 10_000)).first()[0]
     return scored.withColumn("outlier", F.col("isolation") > F.lit(limit))
 
@@ -275,7 +280,7 @@ def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20,
     Rows meet in pairs of blocks, each of which keeps a row's k nearest; one ranking merges them to the k nearest of
     all (of equally near ones those with the smallest keys), and two joins by key look up distances and densities.
     The key is a row's own and of an ordered type.  One row alone has factor 1; an empty table gives no rows.  The links
-    (k a row) are kept on executors' disks, and found again where an executor is lost.
+    (k a row) are written to the shared folder.
     """
     names = [f"__x{i}" for i in range(len(x))]
     rows = df.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True)))
@@ -304,12 +309,14 @@ def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20,
     queries, others = _block_pairs(rows, "__key", block)
     met = queries.groupBy("__q", "__d").cogroup(others.groupBy("__q", "__d")).applyInArrow(nearest, schema)
     rank = F.row_number().over(Window.partitionBy("__key").orderBy("__dist", "__near"))
-    links = met.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r").persist(StorageLevel.DISK_ONLY)
+    links = met.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+    links = stored(links, "links")
     limit = links.groupBy("__key").agg(F.max("__dist").alias("__limit")).withColumnRenamed("__key", "__near")
     reach = F.greatest("__dist", "__limit")
     density = links.join(limit, "__near").groupBy("__key").agg((1 / (F.avg(reach) + 1e-10)).alias("__density"))
     around = links.join(density.select(F.col("__key").alias("__near"), F.col("__density").alias("__other")), "__near").groupBy("__key").agg(F.avg("__other").alias("__around"))
     factors = density.join(around, "__key").select("__key", (F.col("__around") / F.col("__density")).alias("__lof"))
     scored = rows.select("__key").join(factors, "__key", "left").select(F.col("__key").alias(key), F.coalesce("__lof", F.lit(1.0)).alias("lof"))
-    cut = scored.agg(F.percentile("lof", 1 - contamination)).first()[0]
+    scored = stored(scored, "lof")
+    cut = exact_quantiles(scored, {"lof": F.col("lof")}, [1 - contamination])["lof"][0]
     return scored.withColumn("outlier", F.col("lof") > F.lit(cut))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions import dist
 from canvass.functions.columns import finite
+from canvass.plans.quantiles import exact_quantiles
 from canvass.plans.primitives import value_ranks
 
 SHAPIRO_ROWS = 5000
@@ -27,19 +28,19 @@ def folded_edf(df: DataFrame, column: str) -> DataFrame:
 def quantile_curve(df: DataFrame, column: str, grid: int = 100) -> DataFrame:
     """The quantile function at grid + 1 even points."""
     at = [i / grid for i in range(grid + 1)]
-    q = F.percentile(finite(column), F.array(*map(F.lit, at)))
-    return df.agg(q.alias("q")).select(F.posexplode("q").alias("i", "value")).select((F.col("i") / grid).alias("p"), "value")
+    found = exact_quantiles(df, {column: finite(column)}, at)[column]
+    return df.sparkSession.createDataFrame([(p, v) for p, v in zip(at, found, strict=True) if v is not None], "p double, value double")
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, population deviation, median, skewness and excess kurtosis (population moments) of each column."""
-    rows = []
+    rows, middle = [], exact_quantiles(df, {c: finite(c) for c in columns}, [0.5])
     for c in columns:
         v = finite(c)
         rows.append(
             F.struct(
                 F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-                F.median(v).alias("median"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
+                F.lit(middle[c][0]).cast("double").alias("median"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
             )
         )
     return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
@@ -62,8 +63,7 @@ def qq_points(df: DataFrame, column: str, position: str = "blom") -> DataFrame:
 
 def qq_line(df: DataFrame, column: str) -> tuple[float, float]:
     """Slope and intercept of the line through the quartiles."""
-    v = finite(column)
-    q1, q3 = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    q1, q3 = exact_quantiles(df, {column: finite(column)}, [0.25, 0.75])[column]
     z = dist.norm_ppf(0.75)
     slope = (q3 - q1) / (2 * z)
     return slope, (q1 + q3) / 2

@@ -18,6 +18,7 @@ from canvass.functions import dist
 from canvass.functions.columns import finite
 from canvass.operators.inference import tau_of_table, welch_anova
 from canvass.plans.primitives import wide_agg
+from canvass.plans.quantiles import exact_quantiles
 
 MAX_LEVELS, MIN_GROUP = 8, 30
 
@@ -103,10 +104,10 @@ def descriptors(df: DataFrame, attributes: Sequence[str], max_levels: int = MAX_
     out: dict[Rule, Column] = {}
     counts = df.agg(*(F.approx_count_distinct(codes(df, a)).alias(a) for a in attributes)).first()
     wide = [a for a in attributes if counts[a] > max_levels]
-    quartiles = df.agg(*(F.percentile(finite(F.col(a).try_cast("double")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(a) for a in wide)).first() if wide else {}
+    quartiles = exact_quantiles(df, {a: finite(F.col(a).try_cast("double")) for a in wide}, [0.25, 0.5, 0.75]) if wide else {}
     for a in attributes:
         if a in wide:
-            if quartiles[a] is None:
+            if quartiles[a][0] is None:
                 continue
             v = finite(F.col(a).try_cast("double"))
             q1, q2, q3 = quartiles[a]

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from canvass.codebook import Codebook, CodebookError, Variable, codes, label, position, score, state
 from canvass.functions.columns import finite, half_even, ratio
 from canvass.plans.primitives import Gram, complete, gram
+from canvass.plans.quantiles import exact_quantiles
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: count, missing, min, max, mean, median, std (0 for one value), q1, q3, iqr; one pass."""
-    aggs = []
+    """One row a column: count, missing, min, max, mean, median, std (0 for one value), q1, q3, iqr."""
+    aggs, found = [], exact_quantiles(df, {c: finite(c) for c in columns}, [0.25, 0.5, 0.75])
     for c in columns:
         v = finite(c)
-        quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        quartiles = [F.lit(q).cast("double") for q in found[c]]
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -115,7 +116,7 @@ def question_scores(df: DataFrame, v: Variable, weight: Column | None = None) ->
     x = score(df, v)
     w = F.lit(1.0) if weight is None else F.when(finite(weight) > 0, finite(weight))
     k = len(v.domain)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = [F.lit(v).cast("double") for v in exact_quantiles(df, {"x": x.cast("double")}, [0.25, 0.5, 0.75])["x"]]
     has = F.when(x.isNotNull(), w)
     box = lambda cond: half_even(100 * ratio(F.sum(F.when(cond, w)), F.sum(has)), 1)
     return df.agg(

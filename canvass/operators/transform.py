@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from canvass.codebook import Codebook, CodebookError, codes
 from canvass.functions.columns import finite
+from canvass.plans.quantiles import exact_quantiles
 from canvass.plans.primitives import complete, gram
 
 MAX_CATEGORIES = 30
@@ -45,8 +46,7 @@ def bin_edges(df: DataFrame, column: str, method: str = "equal_width", bins: int
     """Edges of bins: equal_width, quantile (equal ones once) or custom cuts within the column's ends."""
     v = finite(column)
     if method == "quantile":
-        found = df.agg(F.percentile(v, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
-        edges = sorted(set(found or []))
+        edges = sorted({q for q in exact_quantiles(df, {column: v}, [i / bins for i in range(bins + 1)])[column] if q is not None})
     else:
         low, high = df.agg(F.min(v), F.max(v)).first()
         if low is None:
@@ -83,10 +83,13 @@ def fill(df: DataFrame, columns: Sequence[str], strategy: str, constant: float |
     """Nulls replaced by the column's mean, median, mode (ties: smallest) or a constant."""
     if strategy == "constant":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(constant)) for c in columns})
-    of = {"mean": lambda c: F.avg(finite(c)), "median": lambda c: F.median(finite(c)), "mode": lambda c: F.mode(F.col(c), True)}
-    if strategy not in of:
+    of = {"mean": lambda c: F.avg(finite(c)), "mode": lambda c: F.mode(F.col(c), True)}
+    if strategy == "median":
+        found = {c: q[0] for c, q in exact_quantiles(df, {c: finite(c) for c in columns}, [0.5]).items()}
+    elif strategy in of:
+        found = df.agg(*(of[strategy](c).alias(c) for c in columns)).first()
+    else:
         raise CodebookError(f"unknown strategy {strategy}")
-    found = df.agg(*(of[strategy](c).alias(c) for c in columns)).first()
     if any(found[c] is None for c in columns):
         raise CodebookError("a column has no value to fill in")
     clean = lambda c: F.col(c) if strategy == "mode" else finite(c)

@@ -1,8 +1,8 @@
 """Exact quantiles of whole columns, whatever their number of values.
 
-A sketch brackets each wanted rank, the rows of the bracket are counted value by value, and a bracket with more than
-``VALUES`` values is narrowed by another sketch of what lies in it.  No task and no driver holds more than a sketch
-and ``VALUES`` values a bracket.
+A sketch brackets each wanted rank, the rows of the bracket are counted value by value, and where those are more than
+``VALUES`` another sketch narrows what lies in it.  No task and no driver holds more than a sketch and ``VALUES``
+values a bracket; columns with no more rows than that need no sketch.
 """
 
 from __future__ import annotations
@@ -21,56 +21,60 @@ ACCURACY, VALUES = 5_000, 20_000
 def _values_at(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]], sizes: dict[str, int], values: int, accuracy: int) -> dict[tuple[str, int], float]:
     """The value at each wanted rank (from 0) of each column."""
     out: dict[tuple[str, int], float] = {}
-    # a bracket: column, ranks wanted, bounds (None: open), rows below the lower bound, rows within
+    # a bracket: column, ranks wanted, bounds (None: open) that are not in it, rows below it, rows within
     open_ = [(c, rs, None, None, 0, sizes[c]) for c, rs in ranks.items() if rs]
     while open_:
-        lower = lambda v, lo: F.lit(True) if lo is None else v > lo
-        upper = lambda v, hi: F.lit(True) if hi is None else v <= hi
-        inside = [F.when(lower(columns[c], lo) & upper(columns[c], hi), columns[c]) for c, _, lo, hi, _, _ in open_]
-        asked, slack = [], 2.0 / accuracy
-        for (_, rs, _, _, below, n), v in zip(open_, inside, strict=True):
-            shares = sorted({min(max((r - below) / max(n - 1, 1) + s, 0.0), 1.0) for r in rs for s in (-slack, slack)})
-            asked.append(F.percentile_approx(v, F.array(*map(F.lit, shares)), accuracy))
-        cuts = [sorted(set(found or ())) for found in wide_agg(df, asked)]
-        # which of the stretches between cuts a value is in, and itself if the stretch may hold a wanted rank
+        inside = []
+        for c, _, lo, hi, _, _ in open_:
+            fits = F.lit(True) if lo is None else columns[c] > lo
+            inside.append(F.when(fits if hi is None else fits & (columns[c] < hi), columns[c]))
+        large = [i for i, b in enumerate(open_) if b[5] > values]
+        asked = []
+        for i in large:
+            _, rs, _, _, below, n = open_[i]
+            shares = [min(max((r - below) / (n - 1) + s, 0.0), 1.0) for r in rs for s in (-2.0 / accuracy, 2.0 / accuracy)]
+            asked.append(F.percentile_approx(inside[i], F.array(*map(F.lit, shares)), accuracy))
+        pairs: list[list[float]] = [[] for _ in open_]
+        for i, found in zip(large, wide_agg(df, asked) if asked else [], strict=True):
+            pairs[i] = found
+        cuts = [sorted(set(p)) for p in pairs]
+        # 2 k + 1 is the k-th cut itself, 2 k what lies before it; values count one by one between the cuts of a wanted rank
+        within = [{0} if i not in large else {2 * k for lo, hi in zip(p[::2], p[1::2], strict=True) for k in range(cut.index(lo) + 1, cut.index(hi) + 1)} for i, (p, cut) in enumerate(zip(pairs, cuts, strict=True))]
         parts = F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v"), _stretch(v, cut).alias("s")) for i, (v, cut) in enumerate(zip(inside, cuts, strict=True))))
         rows = df.select(F.explode(parts).alias("p")).select("p.*").where("v IS NOT NULL")
-        counts: dict[int, dict[int, int]] = {}
-        for r in rows.groupBy("i", "s").agg(F.count("*").alias("n")).collect():
-            counts.setdefault(r["i"], {})[r["s"]] = r["n"]
-        again, wanted = [], []
+        listed = F.lit(False)
+        for i, some in enumerate(within):
+            if some:
+                listed = listed | ((F.col("i") == i) & F.col("s").isin(*some))
+        most = sum(values + 2 * len(c) + 1 for c in cuts)
+        found = rows.groupBy("i", "s", F.when(listed, F.col("v")).alias("v")).agg(F.count("*").alias("n")).limit(most + 1).collect()
+        whole = len(found) <= most
+        if not whole:  # too many values: stretches alone, and another round within them
+            found = rows.groupBy("i", "s").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("v")).collect()
+        groups: dict[int, list] = {}
+        for r in found:
+            groups.setdefault(r["i"], []).append(r)
+        again = []
         for i, (c, rs, lo, hi, below, _) in enumerate(open_):
             at = below
-            for s in range(len(cuts[i]) + 1):
-                n = counts.get(i, {}).get(s, 0)
-                mine = [r for r in rs if at <= r < at + n]
-                if mine:
-                    bounds = cuts[i][s - 1] if s else lo, cuts[i][s] if s < len(cuts[i]) else hi
-                    wanted.append((i, s))
-                    again.append((c, mine, *bounds, at, n))
-                at += n
-        kept = rows.where(F.struct("i", "s").isin([F.struct(F.lit(i), F.lit(s)) for i, s in wanted])).groupBy("i", "s", "v").agg(F.count("*").alias("n"))
-        found = kept.orderBy("i", "s", "v").limit(values * len(wanted) + 1).collect()
-        listed: dict[tuple[int, int], list] = {}
-        for r in found:
-            listed.setdefault((r["i"], r["s"]), []).append(r)
-        open_ = []
-        for key, bracket in zip(wanted, again, strict=True):
-            c, mine, *_, at, n = bracket
-            mass = np.cumsum([r["n"] for r in listed.get(key, [])])
-            if len(mass) and mass[-1] == n:
-                for r in mine:
-                    out[c, r] = float(listed[key][int(np.searchsorted(mass, r - at, side="right"))]["v"])
-            else:
-                open_.append(bracket)
+            for r in sorted(groups.get(i, []), key=lambda r: (r["s"], -np.inf if r["v"] is None else r["v"])):
+                mine, k = [x for x in rs if at <= x < at + r["n"]], r["s"] // 2
+                if mine and r["s"] % 2:
+                    out |= {(c, x): float(cuts[i][k]) for x in mine}
+                elif mine and r["v"] is not None:
+                    out |= {(c, x): float(r["v"]) for x in mine}
+                elif mine:
+                    again.append((c, mine, cuts[i][k - 1] if k else lo, cuts[i][k] if k < len(cuts[i]) else hi, at, r["n"]))
+                at += r["n"]
+        open_ = again
     return out
 
 
 def _stretch(v: Column, cuts: Sequence[float]) -> Column:
-    """How many cuts are below v."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < v))
+    table = F.array(*map(F.lit, cuts))
+    return F.size(F.filter(table, lambda c: c < v)) * 2 + F.array_contains(table, v).cast("int")
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: Sequence[float], values: int = VALUES, accuracy: int = ACCURACY) -> dict[str, list[float | None]]:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,13 +45,81 @@ def _vectors(df: DataFrame, x: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(x), outputCol="__v").transform(df)
 
 
-def kmeans(df: DataFrame, x: Sequence[str], k: int, seed: int = 42, starts: int = 3) -> tuple[DataFrame, float]:
-    """Rows with cluster, and the inertia of the best of several starts."""
-    v = _vectors(df, x).cache()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster", maxIter=300, tol=1e-4).fit(v) for i in range(starts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    v.unpersist()
-    return best.transform(v).drop("__v"), best.summary.trainingCost
+#: Rows that first centres are drawn from.
+SEED_ROWS = 4000
+
+
+def _first_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Points drawn one after the other by their squared distance from those drawn before."""
+    chosen = [int(rng.integers(len(points)))]
+    least = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = least.sum()
+        chosen.append(int(rng.choice(len(points), p=least / total)) if total > 0 else int(rng.integers(len(points))))
+        least = np.minimum(least, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def _assigned_sums(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """By start and cluster: rows, sums of coordinates, and squared distances."""
+    starts, k, d = centres.shape
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((starts, k, d + 2))
+        for batch in batches:
+            x = np.asarray(batch.column("v").flatten(), dtype=float).reshape(batch.num_rows, d)
+            for s in range(starts):
+                gap = distances(x, centres[s]) ** 2
+                to = gap.argmin(axis=1)
+                member = np.eye(k)[to]
+                out[s, :, 0] += member.sum(axis=0)
+                out[s, :, 1:-1] += member.T @ x
+                out[s, :, -1] += np.bincount(to, weights=gap[np.arange(len(to)), to], minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["cell", "v"])
+
+    found = rows.mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(centres.size + 2 * starts * k)
+    for r in found:
+        out[r["cell"]] = r["v"]
+    return out.reshape(starts, k, d + 2)
+
+
+def kmeans(df: DataFrame, x: Sequence[str], k: int, seed: int = 42, starts: int = 10, rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, float]:
+    """Rows with cluster, and the inertia of the best of several starts.
+
+    All starts that still move go through the rows together: a round is one pass and one small aggregation.  First
+    centres come from SEED_ROWS rows (those of the smallest hashes); a cluster without rows keeps its centre.
+    """
+    rows = df.select(F.array(*(F.col(c).cast("double") for c in x)).alias("v")).cache()
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SEED_ROWS).collect()]).reshape(-1, len(x))
+    if not len(sample):
+        rows.unpersist()
+        return df.withColumn("cluster", F.lit(0)), 0.0
+    centres = np.stack([_first_centres(sample, k, np.random.default_rng(seed + s)) for s in range(starts)])
+    limit = tol * float(sample.var(axis=0).mean())
+    moving, inertia = list(range(starts)), np.full(starts, np.inf)
+    for _ in range(rounds):
+        sums = _assigned_sums(rows, centres[moving])
+        still = []
+        for s, found in zip(moving, sums, strict=True):
+            inertia[s] = found[:, -1].sum()
+            new = np.where(found[:, :1] > 0, found[:, 1:-1] / np.maximum(found[:, :1], 1), centres[s])
+            if ((new - centres[s]) ** 2).sum() > limit:
+                still.append(s)
+            centres[s] = new
+        moving = still
+        if not moving:
+            break
+    inertia = _assigned_sums(rows, centres)[:, :, -1].sum(axis=1)
+    best = int(inertia.argmin())
+    rows.unpersist()
+    return df.withColumn("cluster", _nearest_of(centres[best], [F.col(c).cast("double") for c in x])), float(inertia[best])
+
+
+def _nearest_of(centres: np.ndarray, x: Sequence[Column]) -> Column:
+    """The place of the nearest centre, the first of equals."""
+    far = [F.struct(reduce(lambda a, b: a + b, (F.pow(v - F.lit(float(m)), 2) for v, m in zip(x, centre, strict=True))).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(centres)]
+    return F.least(*far)["i"] if len(far) > 1 else F.lit(0)
 
 
 def divisive(df: DataFrame, x: Sequence[str], k: int, seed: int = 42) -> DataFrame:

@@ -254,9 +254,9 @@ def permutation_importance(model, rows: DataFrame, p: int, task: str, repeats: i
     for r in range(repeats):
         other = base.select("key", F.col("x").alias("o")).join(shuffled_positions(rows.select("key"), "key", seed + 1 + r).select("key", "position"), "key").select("position", "o")
         met = one.join(other, "position")
-        swap = lambda j: F.transform("x", lambda v, i: F.when(i == j, F.col("o")[j]).otherwise(v))
-        variants = F.array(F.struct(F.lit(-1).alias("j"), F.col("x").alias("v")), *(F.struct(F.lit(j).alias("j"), swap(j).alias("v")) for j in range(p)))
-        scored = model.transform(met.select("y", F.explode(variants).alias("s")).select("y", "s.j", array_to_vector("s.v").alias("v")))
+        taken = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.element_at("o", i + 1)).otherwise(v))
+        variants = met.select("y", "x", "o", F.explode(F.sequence(F.lit(-1), F.lit(p - 1))).alias("j"))  # -1: as it is
+        scored = model.transform(variants.select("y", "j", array_to_vector(taken).alias("v")))
         score = F.avg((F.col("prediction") == F.col("y")).cast("double")) if task == "classification" else 1 - F.avg((F.col("y") - F.col("prediction")) ** 2) / F.lit(spread or 1.0)
         got = {s["j"]: s["score"] for s in scored.groupBy("j").agg(score.alias("score")).collect()}
         losses.append([got[-1] - got[j] for j in range(p)])

@@ -91,6 +91,18 @@ def test_large_graphs_and_small_ones_have_the_same_components(spark):
     assert one == other and one
 
 
+def test_k_means_is_the_best_of_its_starts(spark):
+    rng = np.random.default_rng(6)
+    points = np.vstack([rng.normal(c, 0.4, (30, 2)) for c in ([0, 0], [6, 0], [0, 6], [6, 6])])
+    df = spark.createDataFrame([(i, *map(float, p), i // 30) for i, p in enumerate(points)], "id long, x double, y double, true int").repartition(3)
+    found, inertia = cluster.kmeans(df, ["x", "y"], 4)
+    assert cluster.same_partition(found, "cluster", "true")
+    assert inertia == pytest.approx(sum(((points[i : i + 30] - points[i : i + 30].mean(axis=0)) ** 2).sum() for i in range(0, 120, 30)))
+    again, _ = cluster.kmeans(df.repartition(1), ["x", "y"], 4)
+    assert {(r["id"], r["cluster"]) for r in again.collect()} == {(r["id"], r["cluster"]) for r in found.collect()}
+    assert cluster.kmeans(df.limit(0), ["x"], 3)[0].collect() == [] and cluster.kmeans(df.limit(2), ["x"], 5)[1] == pytest.approx(0)
+
+
 # --- concepts
 
 

@@ -1,60 +1,12 @@
-"""Where the operators keep what they must write between jobs.
-
-A cluster names a folder that the driver and all executors share in
-``spark.checkpoint.dir``.  Intermediate tables go there, so a lost executor
-costs the tasks it ran and never the data.  Only where the setting is absent
-and the master is local (tests) a temporary folder takes its place.  What a
-session has written stays until ``clear`` is called, as results are read lazily.
-"""
+"""The library's shared folder for intermediate tables, and the table of documents."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-_MADE: dict[str, list[str]] = {}
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared one, as a URI."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = _LOCAL.get(app)
-        if base is None:
-            base = _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="canvass-")
-    path = f"{base.rstrip('/')}/canvass-{label}-{uuid.uuid4().hex}"
-    _MADE.setdefault(app, []).append(path)
-    return path
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what this session's operators have written; call it when their results are read."""
-    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from canvass.plans.storage import clear, dropped, shared_folder, stored
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that ``stored`` has written and that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clear", "documents", "dropped", "shared_folder", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

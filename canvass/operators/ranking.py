@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
 from canvass.operators.selection import shuffled_positions
-from canvass.plans.primitives import complete, gram, group_moments, wide_agg
+from canvass.plans.primitives import group_moments, wide_agg
 from canvass.plans.quantiles import exact_quantiles
 
 METHODS = ("relief", "mutual_information", "forest", "f", "pca")
@@ -282,12 +283,14 @@ def rank_features(
     if task == "classification" and len(classes) < 2 or task == "regression" and rows.agg(F.min("y") == F.max("y")).first()[0]:
         task = "unsupervised"
     names = [f"x{i}" for i in range(p)]
-    moments = gram(complete(rows, {c: F.col(c) for c in [*names, "y"]}), [*names, "y"])
-    correlation = np.nan_to_num(moments.correlation())
+    every = [*names, "y"]
+    moments = wide_agg(rows, [f(c) for c in every for f in (F.avg, F.var_pop)])
+    centred = array_to_vector(F.array(*(F.col(c) - F.lit(m) for c, m in zip(every, moments[::2], strict=True))))  # so that nothing cancels
+    correlation = np.nan_to_num(Correlation.corr(rows.select(centred.alias("v")), "v").head()[0].toArray())
     redundancy = np.abs(correlation[:p, :p])
     supervised, scores, importance = task != "unsupervised", {}, None
     if "relief" in methods:
-        scores["relief"] = relief(rows, p, task, k, sample, seed) if supervised else [float(v) / n for v in np.diag(moments.cross)[:p]]
+        scores["relief"] = relief(rows, p, task, k, sample, seed) if supervised else [float(v) for v in moments[1 : 2 * p : 2]]
     if "mutual_information" in methods and (supervised or p > 1):
         others = np.where(np.eye(p, dtype=bool), 0.0, redundancy).sum(axis=1) / p
         scores["mutual_information"] = mutual_information(rows, p, numeric, task) if supervised else [float(v) for v in others]

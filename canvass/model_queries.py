@@ -855,6 +855,61 @@ def conjoint_simulation(spark, sf_dir):
     return small(spark, list(zip(code, conjoint.simulate(beta, profiles), strict=True)), "profile string, share double")
 
 
+def _offers(spark, sf_dir) -> DataFrame:
+    """Tasks with what surveys hold: lines not offered, lines that opt out, missing discounts and customers' weights."""
+    t = _tasks(spark, sf_dir).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return t.select(
+        "o_custkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "chosen", "c_nationkey", "c_mktsegment",
+        (F.col("l_suppkey") % 6 != 0).alias("offered"), (F.col("l_partkey") % 5 == 0).alias("none"),
+        F.when(F.col("l_discount") != 0.07, F.col("l_discount")).alias("discount"),
+        F.when(F.col("c_nationkey") != 3, F.col("c_nationkey") % 5).cast("double").alias("weight"),
+    )
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, o_custkey, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1 THEN 1 ELSE 0 END AS chosen,
+  l_suppkey % 6 <> 0 AS offered, l_partkey % 5 = 0 AS none, CASE WHEN l_discount <> 0.07 THEN l_discount END AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT i.*, CASE WHEN c_nationkey <> 3 THEN c_nationkey % 5 END AS weight FROM i JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT *, count(*) FILTER (WHERE offered) OVER w AS n, count(*) FILTER (WHERE NOT offered AND chosen = 1) OVER w AS hidden, count(*) FILTER (WHERE offered AND none) OVER w AS outs,
+  count(*) FILTER (WHERE offered AND discount IS NULL AND NOT none) OVER w AS holes FROM r WINDOW w AS (PARTITION BY o_custkey, l_orderkey))
+SELECT CASE WHEN weight IS NULL THEN 'missing_weight' WHEN weight = 0 THEN 'zero_weight' WHEN NOT offered THEN 'unavailable' WHEN hidden > 0 THEN 'unavailable_answered'
+  WHEN outs > 1 THEN 'several_opt_outs' WHEN n < 2 THEN 'too_few_alternatives' WHEN holes > 0 THEN 'missing' ELSE 'used' END AS reason, count(*) AS n FROM t GROUP BY 1
+""")
+def conjoint_task_reasons(spark, sf_dir):
+    found = conjoint.task_reasons(_offers(spark, sf_dir), "o_custkey", "l_orderkey", "choice", "chosen", ["discount"], "offered", "none", "weight")
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 7)")
+def conjoint_whole_tasks(spark, sf_dir):
+    t = _tasks(spark, sf_dir)
+    return conjoint.whole_tasks(t, t.where("l_quantity = 7"), "o_custkey", "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query()
+def conjoint_survey_choice(spark, sf_dir):
+    """Offered lines with a constant for opting out; customers are respondents, in strata by market segment."""
+    t = _offers(spark, sf_dir)
+    x = conjoint.effect_columns(t, _FLAG, ["l_quantity"])
+    f = conjoint.conditional_logit(
+        t, x, "o_custkey", "l_orderkey", "choice", "chosen", available="offered", opt_out="none", design=Design(weight="weight", strata="c_mktsegment")
+    )
+    return small(spark, [(r["term"], r["beta"], r["se"], r["p_t"]) for r in f.table()], "term string, beta double, se double, p double")
+
+
+@query()
+def conjoint_worth(spark, sf_dir):
+    """Utilities of levels, the importance of their attribute and what a level is worth in units of quantity."""
+    t = _tasks(spark, sf_dir)
+    f = conjoint.conditional_logit(t, conjoint.effect_columns(t, _FLAG, ["l_quantity"]), "o_custkey", "l_orderkey", "choice", "chosen")
+    levels = conjoint.level_utilities(_FLAG, f.names, f.beta)
+    share = conjoint.importance(levels)
+    worth = conjoint.willingness_to_pay(f.names, f.beta, f.cluster_covariance, "l_quantity")
+    none = {"wtp": None, "low": None, "high": None}
+    rows = [(a, x, u, share[a], *worth.get(f"{a}={x}", none).values()) for a, own in levels.items() for x, u in own.items()]
+    return small(spark, rows, "attribute string, level string, utility double, importance double, worth double, low double, high double")
+
+
 # --- sources
 
 

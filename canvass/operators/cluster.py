@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from canvass.codebook import CodebookError, codes
 from canvass.functions.columns import finite
+from canvass.plans.neighbours import CELL, nearest, vector
 from canvass.plans.quantiles import exact_quantiles
 from canvass.plans.storage import stored
 
@@ -342,42 +343,19 @@ def isolation_scores(df: DataFrame, x: Sequence[str], key: str, trees: int = 100
     return scored.withColumn("outlier", F.col("isolation") > F.lit(limit))
 
 
-def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20, contamination: float = 0.05, block: int = PAIR_BLOCK) -> DataFrame:
+def local_outlier_factor(df: DataFrame, x: Sequence[str], key: str, k: int = 20, contamination: float = 0.05, block: int = CELL) -> DataFrame:
     """Exact factors of every row: key, lof, outlier (above the quantile that leaves the top share).
 
-    Rows meet in pairs of blocks, each of which keeps a row's k nearest; one ranking merges them to the k nearest of
-    all (of equally near ones those with the smallest keys), and two joins by key look up distances and densities.
-    The key is a row's own and of an ordered type.  One row alone has factor 1; an empty table gives no rows.  The links
-    (k a row) are written to the shared folder.
+    The k nearest of each distinct point come from cells of about ``block`` rows (of equally near ones those with the
+    smallest keys), and two joins by key look up distances and densities.  The key is a row's own and of an ordered type;
+    values are not null.  One row alone has factor 1; an empty table gives no rows.  The links (k a row) are written to
+    the shared folder.
     """
-    names = [f"__x{i}" for i in range(len(x))]
-    rows = df.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True)))
-
-    def nearest(queries: pa.Table, others: pa.Table) -> pa.Table:
-        others = others.sort_by("__key")  # stable orders then take the smallest keys of equally near rows
-        q, o = (np.column_stack([t.column(c).to_numpy() for c in names]) for t in (queries, others))
-        place = {v: i for i, v in enumerate(others.column("__key").to_pylist())}
-        who, near, far = [], [], []
-        for i, v in enumerate(queries.column("__key").to_pylist()):
-            d = np.sqrt(((q[i] - o) ** 2).sum(axis=1))
-            if v in place:
-                d[place[v]] = np.inf
-            some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
-            best = some[np.argsort(d[some], kind="stable")[:k]]
-            best = best[np.isfinite(d[best])]
-            who.append(np.full(len(best), i))
-            near.append(best)
-            far.append(d[best])
-        who, near = (np.concatenate([np.empty(0, dtype=np.int64), *v]) for v in (who, near))
-        found = queries.select(["__key"]).take(pa.array(who)).append_column("__near", others.column("__key").take(pa.array(near)))
-        return found.append_column("__dist", pa.array(np.concatenate([np.empty(0), *far])))
-
-    kind = rows.schema["__key"].dataType
-    schema = T.StructType([T.StructField("__key", kind), T.StructField("__near", kind), T.StructField("__dist", T.DoubleType())])
-    queries, others = _block_pairs(rows, "__key", block)
-    met = queries.groupBy("__q", "__d").cogroup(others.groupBy("__q", "__d")).applyInArrow(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__dist", "__near"))
-    links = met.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+    rows = df.select(F.col(key).alias("__key"), vector(*(F.col(c) for c in x)).alias("__at"))
+    near = nearest(rows, ["__key"], k + 1, len(x), cell=block)  # a row is among its own, unless k + 1 others are alike
+    others = F.slice(F.filter("__near", lambda f: f["__key"] != F.col("__own")), 1, k)
+    links = rows.withColumnRenamed("__key", "__own").join(near, "__at").select("__own", F.explode(others).alias("__f"))
+    links = links.select(F.col("__own").alias("__key"), F.col("__f.__key").alias("__near"), F.col("__f.__dist").alias("__dist"))
     links = stored(links, "links")
     limit = links.groupBy("__key").agg(F.max("__dist").alias("__limit")).withColumnRenamed("__key", "__near")
     reach = F.greatest("__dist", "__limit")

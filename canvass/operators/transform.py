@@ -7,18 +7,16 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.codebook import Codebook, CodebookError, codes
 from canvass.functions.columns import finite
+from canvass.plans.neighbours import CELL, QUERY_CHUNK, nearest, vector
 from canvass.plans.quantiles import exact_quantiles
 from canvass.plans.primitives import complete, gram
 
 MAX_CATEGORIES = 30
-#: Rows of the two sides that meet in one task of ``fill_knn``.
-DONOR_BLOCK, QUERY_BLOCK = 50_000, 20_000
 
 
 def one_hot(df: DataFrame, column: str, drop_first: bool = False, prefix: str | None = None, nulls: str = "as_missing") -> DataFrame:
@@ -96,63 +94,25 @@ def fill(df: DataFrame, columns: Sequence[str], strategy: str, constant: float |
     return df.withColumns({c: F.coalesce(clean(c), F.lit(found[c])) for c in columns})
 
 
-def _nearest(k: int, n_features: int):
-    """The k nearest donors of a block for each query row of a block, ties by the donor's hash and value."""
-
-    def nearest(queries: pa.Table, donors: pa.Table) -> pa.Table:
-        names = [f"__z{i}" for i in range(n_features)]
-        donors = donors.sort_by([("__h", "ascending"), ("__y", "ascending")])
-        q, pool = ([t.column(c).to_numpy() for c in names] for t in (queries, donors))
-        who, near, dist = [], [], []
-        for a in range(0, queries.num_rows if donors.num_rows else 0, 64):
-            d = np.zeros((min(64, queries.num_rows - a), donors.num_rows))
-            for x, y in zip(q, pool, strict=True):
-                d += (x[a : a + 64, None] - y) ** 2
-            d = np.sqrt(d)
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
-            for i, (row, most) in enumerate(zip(d, limit, strict=True)):
-                some = np.flatnonzero(row <= most)
-                best = some[np.argsort(row[some], kind="stable")[:k]]
-                who.append(np.full(len(best), a + i))
-                near.append(best)
-                dist.append(row[best])
-        who, near = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (who, near))
-        out = queries.select(names).take(pa.array(who)).append_column("__dist", pa.array(np.concatenate([np.empty(0), *dist])))
-        found = donors.select(["__h", "__y"]).take(pa.array(near))
-        return out.append_column("__h", found.column("__h")).append_column("__y", found.column("__y"))
-
-    return nearest
-
-
-def fill_knn(df: DataFrame, target: str, features: Sequence[str], key: str, k: int = 5, donor_block: int = DONOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def fill_knn(df: DataFrame, target: str, features: Sequence[str], key: str, k: int = 5, donor_block: int = CELL, query_block: int = QUERY_CHUNK) -> DataFrame:
     """Missing targets from the k nearest donors (standardised Euclidean, inverse-distance weights).
 
     Donors are all rows with a target; of equally near ones those with the smallest hash of their key.  Distinct
-    feature rows with a missing target meet donors block by block, each pair of blocks keeps k donors a row, and one
-    aggregation merges them to the k nearest of all.  Missing features count as their mean.
+    feature rows with a missing target visit cells of about ``donor_block`` donors, ``query_block`` rows a task, as far as
+    the cells may hold one of their k nearest.  Missing features count as their mean.
     """
-    stats = df.agg(*(F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(finite(c)).alias(f"s{i}") for i, c in enumerate(features)), F.count(finite(target)).alias("n"), F.count("*").alias("all")).first()
+    stats = df.agg(*(F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(finite(c)).alias(f"s{i}") for i, c in enumerate(features)), F.count(finite(target)).alias("n")).first()
     if not stats["n"]:
         raise CodebookError(f"{target}: no donor")
-    z = [
-        F.coalesce((finite(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0)).alias(f"__z{i}")
-        for i, c in enumerate(features)
-    ]
-    names = [f"__z{i}" for i in range(len(features))]
-    n_d, n_q = stats["n"] // donor_block + 1, (stats["all"] - stats["n"]) // query_block + 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda h, n: F.pmod(h, F.lit(n)).cast("int")
+    z = [F.coalesce((finite(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(features)]
+    at = vector(*z).alias("__at")
     known, missing = df.where(finite(target).isNotNull()), df.where(finite(target).isNull())
-    donors = known.select(finite(target).alias("__y"), F.xxhash64(key).alias("__h"), *z)
-    donors = donors.withColumn("__d", block(F.col("__h"), n_d)).withColumn("__q", each(n_q))
-    queries = missing.select(*z).distinct().withColumn("__q", block(F.xxhash64(*names), n_q)).withColumn("__d", each(n_d))
-    schema = ", ".join([*(f"{c} double" for c in names), "__dist double", "__h long", "__y double"])
-    near = queries.groupBy("__q", "__d").cogroup(donors.groupBy("__q", "__d")).applyInArrow(_nearest(k, len(names)), schema)
-    best = F.slice(F.array_sort(F.collect_list(F.struct("__dist", "__h", "__y"))), 1, k)
+    donors = known.select(at, F.xxhash64(key).alias("__h"), finite(target).alias("__y"))
+    near = nearest(donors, ["__h", "__y"], k, len(features), missing.select(at), cell=donor_block, query_chunk=query_block)
     w = lambda s: 1 / (s["__dist"] + F.lit(1e-9))
-    total = lambda of: F.aggregate("__best", F.lit(0.0), lambda t, s: t + of(s))
-    filled = near.groupBy(*names).agg(best.alias("__best")).select(*names, (total(lambda s: w(s) * s["__y"]) / total(w)).alias("__filled"))
-    open_ = missing.select("*", *z).join(filled, names).withColumn(target, F.col("__filled"))
+    total = lambda of: F.aggregate("__near", F.lit(0.0), lambda t, s: t + of(s))
+    filled = near.select("__at", (total(lambda s: w(s) * s["__y"]) / total(w)).alias("__filled"))
+    open_ = missing.select("*", at).join(filled, "__at").withColumn(target, F.col("__filled"))
     return known.withColumn(target, finite(target)).unionByName(open_.select(*df.columns))
 
 

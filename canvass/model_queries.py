@@ -630,6 +630,51 @@ def famd_total_inertia(spark, sf_dir):
     return small(spark, [(round(m["total_inertia"], 6),)], "total_inertia double")
 
 
+@query(f"""
+WITH r AS (SELECT o_orderstatus AS a, o_orderpriority AS b, c_mktsegment AS c FROM {_RESPONDENTS}),
+x AS (SELECT 1 AS v, a AS p, b AS q FROM r UNION ALL SELECT 2, a, c FROM r UNION ALL SELECT 3, b, c FROM r),
+n AS (SELECT v, p, q, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY v, p) AS np, sum(n) OVER (PARTITION BY v, q) AS nq FROM n),
+phi AS (SELECT sum(n * n / (np * nq)) - 3 AS phi FROM t)
+SELECT round((2 * phi + (SELECT count(DISTINCT a) + count(DISTINCT b) + count(DISTINCT c) - 3 FROM r)) / 9, 6) AS squared_inertia FROM phi
+""")
+def mca_squared_inertia(spark, sf_dir):
+    """Squares of the eigenvalues add up to the squared associations of all pairs of variables."""
+    m = factorial.mca(respondents(spark, sf_dir), {c: None for c in ("o_orderstatus", "o_orderpriority", "c_mktsegment")})
+    return small(spark, [(round(float((m["eigenvalues"] ** 2).sum()), 6),)], "squared_inertia double")
+
+
+@query(f"""
+WITH r AS (SELECT o_totalprice AS x, c_acctbal AS y, o_orderstatus AS a, c_mktsegment AS b FROM {_RESPONDENTS}),
+v AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, corr(x, y) AS c, count(DISTINCT a) + count(DISTINCT b) - 2 AS k FROM r),
+e AS (SELECT count(*) * pow(avg(x) - any_value(mx), 2) / any_value(n * vx) + count(*) * pow(avg(y) - any_value(my), 2) / any_value(n * vy) AS e FROM r, v GROUP BY a
+  UNION ALL SELECT count(*) * pow(avg(x) - any_value(mx), 2) / any_value(n * vx) + count(*) * pow(avg(y) - any_value(my), 2) / any_value(n * vy) FROM r, v GROUP BY b),
+g AS (SELECT a, b, count(*) AS n FROM r GROUP BY a, b), t AS (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM g)
+SELECT round(2 + 2 * c * c + k + 2 * (SELECT sum(e) FROM e) + 2 * (SELECT sum(n * n / (na * nb)) - 1 FROM t), 6) AS squared_inertia FROM v
+""")
+def famd_squared_inertia(spark, sf_dir):
+    """Squares of the eigenvalues add up to squared correlations, correlation ratios and associations."""
+    m = factorial.famd(respondents(spark, sf_dir), ["o_totalprice", "c_acctbal"], {c: None for c in ("o_orderstatus", "c_mktsegment")})
+    return small(spark, [(round(float((m["eigenvalues"] ** 2).sum()), 6),)], "squared_inertia double")
+
+
+@query()
+def famd_scores(spark, sf_dir):
+    r = respondents(spark, sf_dir)
+    found = factorial.famd(r, ["o_totalprice", "c_acctbal"], {c: None for c in ("o_orderstatus", "c_mktsegment")})
+    return factorial.famd_scores(r, found).select("o_orderkey", *(f"{c}{j}" for j in (1, 2) for c in ("dim", "contribution", "cos2_")))
+
+
+@query()
+def famd_variables(spark, sf_dir):
+    """Contributions of variables to the first axes, and eta2 of the nominal ones."""
+    found = factorial.famd(respondents(spark, sf_dir), ["o_totalprice", "c_acctbal"], {c: None for c in ("o_orderstatus", "c_mktsegment")})
+    rows = []
+    for i, v in enumerate(found["variables"]):
+        eta = found["eta2"][i - 2] if i >= 2 else (None, None)
+        rows += [(v, j + 1, float(found["variable_contributions"][i, j]), None if eta[j] is None else float(eta[j])) for j in (0, 1)]
+    return small(spark, rows, "variable string, axis int, contribution double, eta2 double")
+
+
 @query()
 def mca_scores(spark, sf_dir):
     r = respondents(spark, sf_dir)
@@ -735,6 +780,25 @@ def subgroup_findings(spark, sf_dir):
     return small(spark, [(f.attribute, f.question, f.effect, f.p, f.q, f.score) for f in found], "attribute string, question string, effect double, p double, q double, score double")
 
 
+@query(f"""
+WITH g AS (SELECT c_mktsegment AS s, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM {_RESPONDENTS} GROUP BY 1)
+SELECT a.s AS first, b.s AS second, round(a.m - b.m, 4) AS difference FROM g AS a JOIN g AS b ON a.s < b.s
+""")
+def subgroup_posthoc(spark, sf_dir):
+    """Pairs of levels of a finding; a test holds their adjusted p-values against plain Welch tests."""
+    found = mining.mine_numeric(respondents(spark, sf_dir), ["c_mktsegment"], ["o_totalprice"])
+    return small(spark, [(a, b, round(d, 4)) for f in found for a, b, d, _ in f.posthoc], "first string, second string, difference double")
+
+
+@query(f"""
+WITH r AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END AS y, c_mktsegment AS s FROM {_RESPONDENTS}), t AS (SELECT count(*) AS n, sum(y) AS s FROM r), g AS (SELECT s, count(*) AS n, avg(y) AS m, sum(y) AS u FROM r GROUP BY s)
+SELECT g.s AS level, g.n, round(m - (t.s - u) / (t.n - g.n), 6) AS effect, round(sqrt(g.n * (t.n - g.n) / t.n) * abs(m - (t.s - u) / (t.n - g.n)), 6) AS score FROM g CROSS JOIN t
+""")
+def modern_rules_category(spark, sf_dir):
+    found = mining.discover(respondents(spark, sf_dir), F.col("o_orderstatus"), ["c_mktsegment"], depth=1, top=100, overlap=1.0, category="F")
+    return small(spark, [(r["rule"][0][2], r["n"], round(r["effect"], 6), round(r["score"], 6)) for r in found], "level string, n long, effect double, score double")
+
+
 @query(f"""
 WITH r AS (SELECT o_totalprice AS y, c_mktsegment AS s FROM {_RESPONDENTS}), t AS (SELECT count(*) AS n, sum(y) AS s, stddev_samp(y) AS sd FROM r), g AS (SELECT s, count(*) AS n, avg(y) AS m, sum(y) AS u FROM r GROUP BY s)
 SELECT g.s AS level, g.n, round(sqrt(g.n * (t.n - g.n) / t.n) * abs(m - (t.s - u) / (t.n - g.n)) / sd, 4) AS score FROM g CROSS JOIN t

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -129,23 +130,51 @@ def mca_scores(df: DataFrame, found: dict[str, object], k: int = 2) -> DataFrame
 
 
 def famd(df: DataFrame, numeric: Sequence[str], nominal: dict[str, Sequence[str] | None], weight: str | None = None) -> dict[str, object]:
-    """Mixed data: components of z-scores and of indicators scaled by the root of their share."""
+    """Mixed data: components of z-scores and of indicators scaled by the root of their share.
+
+    Beside eigenvalues and vectors: correlations of the numbers; barycentres of the levels (their rows' mean scores);
+    contributions of columns and of whole variables, which add up to 1 on each axis; and eta2, the share of an axis's
+    variance that lies between the levels of a nominal variable.  All of it follows from one matrix of moments.
+    """
     z = indicators(df, nominal)
     names = [*numeric, *z.names]
-    g = gram(complete(df, {**{c: F.col(c) for c in numeric}, **z.columns}, None if weight is None else F.col(weight)), names)
+    columns = {**{c: F.col(c) for c in numeric}, **z.columns}
+    g = gram(complete(df, columns, None if weight is None else F.col(weight)), names)
     s = g.cross / g.weight
-    scale = np.concatenate([np.sqrt(np.diag(s)[: len(numeric)]), np.sqrt(g.mean[len(numeric) :])])
+    p = len(numeric)
+    scale = np.concatenate([np.sqrt(np.diag(s)[:p]), np.sqrt(g.mean[p:])])
     if (scale <= 0).any():
         raise CodebookError("a column is constant or a level has no rows")
     values, vectors = np.linalg.eigh(s / np.outer(scale, scale))
     values, vectors = np.maximum(values[::-1], 0), fixed_signs(vectors[:, ::-1])
     keep = values > 1e-10
+    values, vectors, total = values[keep], vectors[:, keep], float(values.sum())
+    square = vectors**2
+    ends = p + np.cumsum([0, *z.blocks])
+    blocks = np.array([square[a:b].sum(axis=0) for a, b in zip(ends, ends[1:], strict=False)]).reshape(len(z.blocks), len(values))
     return {
-        "names": tuple(names), "eigenvalues": values[keep], "total_inertia": float(values.sum()), "vectors": vectors[:, keep],
-        "correlations": (vectors * np.sqrt(values))[: len(numeric), keep], "centre": g.mean, "scale": scale, "n": g.n,
+        "names": tuple(names), "variables": (*numeric, *nominal), "columns": columns, "eigenvalues": values, "total_inertia": total, "vectors": vectors,
+        "correlations": (vectors * np.sqrt(values))[:p], "barycentres": vectors[p:] * values / scale[p:, None], "contributions": square,
+        "variable_contributions": np.vstack([square[:p], blocks]), "eta2": blocks * values, "centre": g.mean, "scale": scale, "n": g.n, "weight": g.weight,
     }
 
 
+def famd_scores(df: DataFrame, found: dict[str, object], k: int = 2, weight: str | None = None) -> DataFrame:
+    """Add dim1, dim2, ..., each with the row's contribution to the axis and its share of the row's squared distance (cos2).
+
+    Null where a variable is; a row in the centre has cos2 0 on all axes.
+    """
+    z = [(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(found["columns"].values(), found["centre"], found["scale"], strict=True)]
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    whole = reduce(lambda a, b: a + b, (v * v for v in z))
+    out = df.withColumns({"__whole": whole, **{f"dim{j + 1}": linear(found["vectors"][:, j], z) for j in range(k)}})
+    for j in range(k):
+        square = F.col(f"dim{j + 1}") * F.col(f"dim{j + 1}")
+        share = F.when(F.col("__whole") > 0, square / F.col("__whole")).when(F.col("__whole") == 0, 0.0)
+        out = out.withColumns({f"contribution{j + 1}": w * square / F.lit(float(found["weight"] * found["eigenvalues"][j])), f"cos2_{j + 1}": share})
+    return out.drop("__whole")
+
+
 def axis_order(r: np.ndarray, names: Sequence[str], double: bool = True) -> list[str]:
     """Component ordering: take the variable with the largest loading on the first eigenvector, remove it, repeat."""
     names, out = list(names), []

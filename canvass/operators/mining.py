@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from canvass.codebook import CodebookError, codes
 from canvass.functions import dist
 from canvass.functions.columns import finite
-from canvass.operators.inference import tau_of_table, welch_anova
+from canvass.operators.inference import tau_of_table, welch_anova, welch_t
 from canvass.plans.primitives import wide_agg
 from canvass.plans.quantiles import exact_quantiles
 
@@ -67,13 +67,36 @@ class Finding:
     n: int
     score: float
     top_level: str
+    fdr: bool = False
+    bonferroni: bool = False
+    #: (level, level, difference, adjusted p) of each pair of levels; p-values are adjusted within the finding.
+    posthoc: tuple[tuple[str, str, float, float], ...] = ()
 
 
-def mine_numeric(df: DataFrame, attributes: Sequence[str], questions: Sequence[str], min_group: int = MIN_GROUP, surprise: dict[tuple[str, str], float] | None = None) -> list[Finding]:
+#: Groups whose moments the driver tests; an error beyond.
+MAX_GROUPS = 100_000
+
+
+def posthoc(groups: Sequence[dict]) -> tuple[tuple[str, str, float, float], ...]:
+    """Welch's test of every pair of levels from their moments, with p-values adjusted over the pairs."""
+    moments = [g | {"w": g["n"], "w2": g["n"]} for g in sorted(groups, key=lambda g: g["level"])]
+    pairs = [(a, b, welch_t(a, b)) for a, b in itertools.combinations(moments, 2)]
+    adjusted = dist.benjamini_hochberg(np.array([t["p"] for *_, t in pairs])) if pairs else []
+    return tuple((a["level"], b["level"], float(t["difference"]), float(q)) for (a, b, t), q in zip(pairs, adjusted, strict=True))
+
+
+def mine_numeric(
+    df: DataFrame, attributes: Sequence[str], questions: Sequence[str], min_group: int = MIN_GROUP, surprise: dict[tuple[str, str], float] | None = None, alpha: float = 0.05
+) -> list[Finding]:
     """Welch tests of every attribute and question with adjusted p-values, ranked by a composite of effect, evidence,
-    coverage and surprise (weights .35, .30, .20, .15)."""
+    coverage and surprise (weights .35, .30, .20, .15).
+
+    Each says whether it holds at ``alpha`` by false discovery rate and by Bonferroni's bound, and has its pairs of levels."""
     groups: dict[tuple[str, str], list[dict]] = {}
-    for r in numeric_subgroups(df, attributes, questions).where((F.col("n") >= min_group) & (F.col("var") > 0)).collect():
+    found = numeric_subgroups(df, attributes, questions).where((F.col("n") >= min_group) & (F.col("var") > 0)).limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise CodebookError(f"more than {MAX_GROUPS} groups")
+    for r in found:
         groups.setdefault((r["attribute"], r["question"]), []).append(r.asDict())
     found = []
     total = max(1, df.count())
@@ -92,7 +115,7 @@ def mine_numeric(df: DataFrame, attributes: Sequence[str], questions: Sequence[s
     for (a, q, effect, p, n, level), adj in zip(found, adjusted, strict=True):
         evidence = min(-math.log10(max(p, 1e-12)) / 12, 1.0)
         score = 0.35 * min(effect / 0.5, 1) + 0.30 * evidence + 0.20 * n / total + 0.15 * (surprise or {}).get((a, q), 0.0)
-        out.append(Finding(a, q, effect, p, float(adj), n, score, level))
+        out.append(Finding(a, q, effect, p, float(adj), n, score, level, bool(adj <= alpha), bool(p <= alpha / len(found)), posthoc(groups[(a, q)])))
     return sorted(out, key=lambda f: (-f.score, f.attribute, f.question))
 
 
@@ -119,8 +142,10 @@ def descriptors(df: DataFrame, attributes: Sequence[str], max_levels: int = MAX_
     return out
 
 
-def _rule_scores(df: DataFrame, y: Column, rules: dict[Rule, Column], penalty: float, cap: float, min_group: int) -> list[dict]:
-    """Score of each rule: sqrt(n m / N) |difference| / deviation, less a price for each further condition."""
+def _rule_scores(df: DataFrame, y: Column, rules: dict[Rule, Column], penalty: float, cap: float, min_group: int, shares: bool = False) -> list[dict]:
+    """Score of each rule: sqrt(n m / N) |difference| / deviation, less a price for each further condition.
+
+    Differences of shares of a category are taken as they are."""
     base = df.select(y.alias("y"), *(c.alias(f"r{i}") for i, c in enumerate(rules.values()))).where("y IS NOT NULL")
     aggs = [F.count("*"), F.avg("y"), F.stddev_samp("y")]
     for i in range(len(rules)):
@@ -128,6 +153,8 @@ def _rule_scores(df: DataFrame, y: Column, rules: dict[Rule, Column], penalty: f
         aggs += [F.count_if(inside), F.avg(F.when(inside, F.col("y"))), F.avg(F.when(~inside, F.col("y")))]
     got = wide_agg(base, aggs)
     total, _, sd = got[:3]
+    if shares:
+        sd = 1.0
     out = []
     for i, rule in enumerate(rules):
         n, inside, outside = got[3 + 3 * i : 6 + 3 * i]
@@ -138,14 +165,22 @@ def _rule_scores(df: DataFrame, y: Column, rules: dict[Rule, Column], penalty: f
     return sorted(out, key=lambda r: (-r["score"], str(r["rule"])))
 
 
-def discover(df: DataFrame, target: Column, attributes: Sequence[str], depth: int = 2, beam: int = 30, top: int = 10, min_group: int = MIN_GROUP, penalty: float = 0.05, cap: float = 50.0, overlap: float = 0.5) -> list[dict]:
+def discover(
+    df: DataFrame, target: Column, attributes: Sequence[str], depth: int = 2, beam: int = 30, top: int = 10, min_group: int = MIN_GROUP, penalty: float = 0.05,
+    cap: float = 50.0, overlap: float = 0.5, category: object = None, min_effect: float = 0.0,
+) -> list[dict]:
     """Rules by beam search: all single conditions in one aggregation, then conjunctions of the best in another.
 
-    The result keeps rules whose rows differ enough from those kept before (Jaccard at most ``overlap``).
+    With a ``category`` the target is whether it has this value, and rules are scored by the difference of its shares.
+    The result keeps rules with an effect of at least ``min_effect`` whose rows differ enough from those kept before
+    (Jaccard at most ``overlap``).
     """
+    shares = category is not None
+    if shares:
+        target = (target == F.lit(category)).cast("double")
     single = descriptors(df, attributes)
     rules, frontier = dict(single), single
-    found = _rule_scores(df, target, single, penalty, cap, min_group)
+    found = _rule_scores(df, target, single, penalty, cap, min_group, shares)
     for _ in range(depth - 1):
         best = [r["rule"] for r in found if r["rule"] in frontier][:beam]
         frontier = {}
@@ -154,8 +189,8 @@ def discover(df: DataFrame, target: Column, attributes: Sequence[str], depth: in
                 rule = tuple(sorted((*a, *b), key=str))
                 frontier.setdefault(rule, rules[a] & single[b])
         rules |= frontier
-        found = sorted(found + _rule_scores(df, target, frontier, penalty, cap, min_group), key=lambda r: (-r["score"], str(r["rule"])))
-    pool = found[: 4 * top]
+        found = sorted(found + _rule_scores(df, target, frontier, penalty, cap, min_group, shares), key=lambda r: (-r["score"], str(r["rule"])))
+    pool = [r for r in found if abs(r["effect"]) >= min_effect][: 4 * top]
     flags = df.select(*(rules[r["rule"]].alias(f"r{i}") for i, r in enumerate(pool)))
     pairs = list(itertools.combinations(range(len(pool)), 2))
     both = dict(zip(pairs, wide_agg(flags, [F.count_if(F.col(f"r{i}") & F.col(f"r{j}")) for i, j in pairs]), strict=True)) if pairs else {}

@@ -8,9 +8,11 @@ plan.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +122,64 @@ class Codebook:
             Design(**raw.get("design", {})),
         ).validate()
 
+    def to_csv(self) -> str:
+        """One line a variable; labels and reasons as JSON, lists joined by ``|`` (JSON where a code holds one)."""
+        out = io.StringIO()
+        rows = csv.DictWriter(out, _CSV_FIELDS, lineterminator="\n")
+        rows.writeheader()
+        for v in self.variables:
+            row = {k: x for k, x in asdict(v).items() if k in _CSV_FIELDS}
+            for k, x in row.items():
+                if isinstance(x, dict):
+                    row[k] = json.dumps(x, ensure_ascii=False) if x else ""
+                elif isinstance(x, (tuple, list)):
+                    plain = not any("|" in c or not c or c.startswith("[") for c in x)
+                    row[k] = "|".join(x) if plain else json.dumps(list(x), ensure_ascii=False)
+                elif isinstance(x, bool):
+                    row[k] = "true" if x else "false"
+            rows.writerow(row)
+        return out.getvalue()
+
+    def patched(self, text: str | Path) -> Codebook:
+        """This codebook with what a CSV or JSON one says about its variables.
+
+        Variables are matched by name and unknown names ignored; an empty CSV cell, or a field that JSON lacks, changes
+        nothing.  Of JSON, groups and design are taken over where they are given.
+        """
+        text = (text.read_text() if isinstance(text, Path) else text).removeprefix("\ufeff")
+        groups, design = self.groups, self.design
+        try:
+            if text.lstrip().startswith("{"):
+                raw = json.loads(text)
+                given = raw.get("variables", [])
+                lists = lambda d: {k: tuple(x) if isinstance(x, list) else x for k, x in d.items()}
+                groups = tuple(Group(**lists(g)) for g in raw["groups"]) if "groups" in raw else groups
+                design = Design(**raw["design"]) if "design" in raw else design
+            else:
+                given = [{k: _parsed(k, x) for k, x in r.items() if k in _CSV_FIELDS and x} for r in csv.DictReader(io.StringIO(text))]
+            patches = {p["name"]: {k: tuple(x) if isinstance(x, list) else x for k, x in p.items()} for p in given if p.get("name")}
+            return Codebook(tuple(replace(v, **patches.get(v.name, {})) for v in self.variables), groups, design).validate()
+        except (TypeError, AttributeError, ValueError) as e:
+            raise e if isinstance(e, CodebookError) else CodebookError(f"no codebook: {e}") from e
+
+
+_CSV_FIELDS = ("name", "label", "scale", "role", "value_labels", "order", "missing_codes", "missing_reasons", "is_reversed", "group")
+
+
+def _parsed(name: str, cell: str) -> object:
+    if name in ("value_labels", "missing_reasons"):
+        found = json.loads(cell)
+        if not isinstance(found, dict):
+            raise CodebookError(f"{name}: no table of codes")
+        return found
+    if name in ("order", "missing_codes"):
+        return tuple(json.loads(cell)) if cell.startswith("[") else tuple(cell.split("|"))
+    if name == "is_reversed":
+        if cell.lower() not in ("true", "false", "1", "0"):
+            raise CodebookError(f"{name}: neither true nor false")
+        return cell.lower() in ("true", "1")
+    return cell
+
 
 def codes(df: DataFrame, name: str) -> Column:
     """A column's normalised category codes."""

@@ -52,3 +52,24 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     mid = (p + ratio(F.lit(z * z), 2 * n)) / d
     half = z * F.sqrt(ratio(p * (1 - p), n) + ratio(F.lit(z * z), 4 * n * n)) / d
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+
+
+def signed_noise(key: Column, seed: int, axis: str) -> Column:
+    """A number in [-1, 1] that depends on seed, key and axis alone: the jitter of a row's mark.
+
+    32-bit FNV-1a of ``seed|key|axis`` in UTF-8, stirred by one xorshift step.  Null for a null key.
+    """
+    word = 0xFFFFFFFF
+    digits = F.hex(F.encode(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit(f"|{axis}")), "UTF-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+    h = F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(word))
+
+    def stirred(x: Column) -> Column:
+        x = F.when(x == 0, F.lit(1).cast("long")).otherwise(x)
+        return x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(word))
+
+    # each step is bound to a lambda's variable, so that it is computed once
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    x = once(once(h, stirred), lambda x: x.bitwiseXOR(F.shiftright(x, 17)))
+    x = once(x, lambda x: x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(word)))
+    return x / F.lit(float(word)) * 2 - 1

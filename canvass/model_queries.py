@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.codebook import Design, Variable
-from canvass.functions.columns import wilson
+from canvass.codebook import Codebook, Design, Variable
+from canvass.functions.columns import signed_noise, wilson
 from canvass.operators import (
     categories,
     cluster,
@@ -859,6 +859,27 @@ def bootstrap_ci(spark, sf_dir):
     return small(spark, [(b["low"], b["high"], b["flip_rate"], b["grade"])], "low double, high double, flip_rate double, grade string")
 
 
+@query(f"""
+WITH r AS (SELECT o_totalprice AS y, 6 - CAST(left(o_orderpriority, 1) AS INTEGER) AS x FROM {_RESPONDENTS})
+SELECT 'o_orderpriority' AS term, round(regr_slope(y, x), 4) AS beta, count(*) AS n FROM r
+""")
+def questionnaire_regression(spark, sf_dir):
+    """Price on the reversed rank of the priority, under a codebook."""
+    price = Variable("o_totalprice", scale="ratio")
+    book = Codebook((price, Variable("o_orderpriority", scale="ordinal", order=BOOK["o_orderpriority"].order, is_reversed=True)))
+    f = regression.questionnaire_regression(respondents(spark, sf_dir), book, "o_totalprice", ["o_orderpriority"], ordinal_as_rank=["o_orderpriority"])
+    return small(spark, [(n, round(float(b), 4), f.n) for n, b in zip(f.names, f.beta, strict=True) if n != "(intercept)"], "term string, beta double, n long")
+
+
+@query("""
+WITH h AS (SELECT c_custkey, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('42|' || c_custkey || '|x', ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS h FROM customer),
+a AS (SELECT c_custkey, xor(h, (h << 13) & 4294967295) AS a FROM h), b AS (SELECT c_custkey, xor(a, a >> 17) AS b FROM a), c AS (SELECT c_custkey, xor(b, (b << 5) & 4294967295) AS c FROM b)
+SELECT c_custkey, round(c / 4294967295.0 * 2 - 1, 9) AS jitter FROM c
+""")
+def row_jitter(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(signed_noise(F.col("c_custkey"), 42, "x"), 9).alias("jitter"))
+
+
 # --- conjoint: orders are tasks, their lines alternatives
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canvass.codebook import Codebook, CodebookError, codes
+from canvass.codebook import Codebook, CodebookError, codes, score, valid_code
 from canvass.functions import dist
 from canvass.functions.columns import finite
 from canvass.plans.primitives import complete, gram, linear, quadratic, wide_agg
@@ -154,6 +154,43 @@ def linear_regression(
     return LinearFit(terms, beta, bread @ meat @ bread, bread, g.n, g.weight, sse, float(sst), df_res, fit.kind, rows)
 
 
+
+def questionnaire_regression(
+    df: DataFrame, book: Codebook, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), ordinal_as_rank: Sequence[str] = (), weight: str | None = None, covariance: str = "auto"
+) -> LinearFit:
+    """Linear regression under the codebook's rules.
+
+    The target is an interval or ratio item.  Only questions and attributes take part, none of them an option of a group
+    of answers.  An ordinal item is a number only if ``ordinal_as_rank`` names it: it then counts by its rank, k + 1 - rank
+    if it is reversed.  Missing codes are missing; categories need declared codes, the first of which is the base.
+    """
+    options = {o for g in book.groups for o in g.options}
+    for c in (target, *numeric, *categorical):
+        v = book[c]
+        if c in options or v.group:
+            raise CodebookError(f"{c}: an option of several answers cannot be used")
+        if v.role not in ("question", "attribute"):
+            raise CodebookError(f"{c}: neither a question nor an attribute")
+    if book[target].scale not in ("interval", "ratio"):
+        raise CodebookError(f"{target}: the target must be an interval or ratio item")
+    x: dict[str, Column] = {}
+    for c in numeric:
+        scale = book[c].scale
+        if scale == "ordinal" and c not in ordinal_as_rank:
+            raise CodebookError(f"{c}: an ordinal item counts as a number only if that is asked for")
+        if scale not in ("interval", "ratio", "ordinal"):
+            raise CodebookError(f"{c}: not a number")
+        x[c] = score(df, book[c])
+    for c in categorical:
+        if len(levels := book[c].domain) < 2:
+            raise CodebookError(f"{c}: categories need two declared codes")
+        known = F.when(valid_code(df, book[c]).isin(*levels), valid_code(df, book[c]))
+        x |= {f"{c}={level}": (known == level).cast("double") for level in levels[1:]}
+    if target in x or len(set(numeric) | set(categorical)) < len(numeric) + len(categorical) or not x:
+        raise CodebookError("predictors must differ from each other and from the target")
+    return linear_regression(df.withColumn(target, score(df, book[target])), target, x, weight, covariance=covariance)
+
+
 def vif(df: DataFrame, x: dict[str, Column], weight: str | None = None) -> dict[str, float]:
     """Variance inflation: the diagonal of the inverse correlation matrix."""
     r = gram(complete(df, x, None if weight is None else F.col(weight)), list(x)).correlation()

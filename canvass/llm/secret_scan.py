@@ -303,13 +303,18 @@ def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, _masked(F.col(text)))
 
 
+def _of_kind(spans: Column, rank: int) -> Column:
+    """The spans of one kind; a second parameter of the lambda would be bound to the span's index."""
+    return F.filter(spans, lambda s: s["rank"] == rank)
+
+
 def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents(spark, sf_dir).select("doc_id", secret_spans(F.col("text")).alias("found"))
-    n_of = {k: F.size(F.filter("found", lambda s, r=r: s["rank"] == r)).cast("long") for r, k in enumerate(KINDS)}
+    n_of = {k: F.size(_of_kind(F.col("found"), r)).cast("long") for r, k in enumerate(KINDS)}
     return found.select(
         "doc_id",
         *(n_of[k].alias(f"n_{k}") for k in KINDS),

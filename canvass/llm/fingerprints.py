@@ -3,7 +3,8 @@
 Terms that are neither too common nor too rare carry a document: those whose
 document frequency lies between ``LOW`` and ``HIGH`` of all documents.  There are
 at most (mean distinct terms of a document) / LOW of them however large the
-corpus is: the lexicon is the set of their hashes, held in the plan as a list.  A
+corpus is: the lexicon is the set of their hashes, a table in the shared folder,
+which a scalar subquery gives to the tasks as one array of short arrays.  A
 fingerprint hashes the sorted distinct lexicon terms of a text, once for each of
 several random subsets of the lexicon: ``LEVELS`` gives how many subsets there
 are of which share of the lexicon, dense ones for short texts and sparse ones for
@@ -21,6 +22,7 @@ order, rows of one id in the order of their texts; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +36,8 @@ LEVELS = ((16, 4, 4), (128, 4, 8), (1024, 4, 8))
 MIN_FILLED = 4
 UNFILLED, DIGITS = "----", 4
 BUCKET_ROWS, MOST_BUCKETS = 512, 16_384
+#: Lexicon terms that one look-up compares with, on average.
+SLOT_TERMS = 4
 
 
 def term_hashes(text: Column) -> Column:
@@ -42,15 +46,16 @@ def term_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(terms), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
+def band(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Hashes of the terms in the band, as a stored table of column ``term``."""
+    n = docs.count()
+    counts = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return stored(counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term"), "lexicon")
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
     """Hashes of the terms in the band, sorted."""
-    counts = stored(
-        docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
-        "term-df",
-    )
-    n = docs.count()
-    band = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term")
-    return sorted(r["term"] for r in band.collect())  # bounded by the band
+    return sorted(r["term"] for r in band(docs, low, high).collect())  # bounded by the band
 
 
 def _let(value: Column, body) -> Column:
@@ -83,10 +88,27 @@ def _level(terms: Column, level: int, one_in: int, groups: int, per_group: int)
     )
 
 
-def with_fingerprint(docs: DataFrame, text: str, name: str, terms: list[int]) -> DataFrame:
+def _slot(term: Column, n: int) -> Column:
+    return F.pmod(term, F.lit(n)).cast("int")
+
+
+def _slots(lexicon: DataFrame, n: int) -> Column:
+    """A lexicon as one value: an array of n arrays, each of the terms with its place as remainder."""
+    slots = lexicon.sparkSession.range(n).select(F.col("id").cast("int").alias("slot"))
+    filled = lexicon.groupBy(_slot(F.col("term"), n).alias("slot")).agg(F.collect_list("term").alias("terms"))
+    terms = F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")
+    listed = slots.join(filled, "slot", "left").agg(F.array_sort(F.collect_list(F.struct("slot", terms))).alias("slots"))
+    return listed.select(F.col("slots.terms")).scalar()
+
+
+def with_fingerprint(docs: DataFrame, text: str, name: str, terms: DataFrame | list[int]) -> DataFrame:
     """Add the fingerprint of a text column as a string of DIGITS characters for each subset, under a lexicon's terms."""
-    known = f"filter(__terms, t -> t IN ({', '.join(f'{t}L' if t > -(1 << 63) else '(-9223372036854775807L - 1L)' for t in terms)}))" if terms else "filter(__terms, t -> false)"
-    found = docs.withColumn("__terms", term_hashes(F.col(text))).withColumn("__terms", F.array_sort(F.expr(known)))
+    if not isinstance(terms, DataFrame):
+        terms = docs.sparkSession.createDataFrame([(t,) for t in terms], "term long")
+    n = max(1, terms.count() // SLOT_TERMS)
+    known = lambda slots: F.filter("__terms", lambda t: F.array_contains(slots[_slot(t, n)], t))
+    found = docs.withColumns({"__terms": term_hashes(F.col(text)), "__slots": _slots(terms, n)})
+    found = found.withColumn("__terms", F.array_sort(_let(F.col("__slots"), known))).drop("__slots")
     return found.withColumn(name, _let(F.col("__terms"), lambda t: F.concat(*(_level(t, i, *level) for i, level in enumerate(LEVELS))))).drop("__terms")
 
 
@@ -124,10 +146,11 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(fine))
 
 
-def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, keep: list[str], add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add next_<column> for each column of keep: that of the next row by descending doc_id, the first after the last.
 
     Rows are dealt by ranges of ids, each of which also gets a copy of the first row of the next range; one shuffle.
+    ``add`` gives rows further columns, which may be in keep; they are not computed to find those first rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     n = docs.count()
@@ -137,7 +160,7 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.withColumn("__bucket", _bucket(key, sorted(set(bounds))))
     heads = sorted((r["__bucket"], r["k"]) for r in rows.groupBy("__bucket").agg(F.max("doc_id").cast("long").alias("k")).collect())
     if not heads:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in keep))
+        return add(docs).select("*", *(F.col(c).alias(f"next_{c}") for c in keep))
     # the first row of each range, under the range before it in descending order
     into = [(b, key, heads[(i + 1) % len(heads)][0]) for i, (b, key) in enumerate(heads)]
     target = docs.sparkSession.createDataFrame(into, "__from int, __first long, __into int")
@@ -150,8 +173,7 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
     order = Window.partitionBy("__bucket").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), *tie)
     return (
-        rows.withColumn("__ghost", F.lit(False))
-        .unionByName(ghosts)
+        add(rows.withColumn("__ghost", F.lit(False)).unionByName(ghosts))
         .select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in keep))
         .where(~F.col("__ghost"))
         .drop("__ghost", "__bucket")
@@ -160,8 +182,8 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    terms = lexicon(docs)
-    rows = with_next(with_fingerprint(docs, "text", "fingerprint", terms), ["text", "fingerprint"])
+    terms = band(docs)
+    rows = with_next(docs, ["text", "fingerprint"], lambda df: with_fingerprint(df, "text", "fingerprint", terms))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))

@@ -241,6 +241,22 @@ def test_fingerprint_query_on_files(spark, docs, tmp_path):
     assert fingerprints.op4_imatch_fingerprints(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_fingerprint_plans_do_not_hold_the_lexicon(spark, tmp_path):
+    sizes = {}
+    for n in (200, 4000):
+        rows = [(i, " ".join(f"w{(i * 7 + k) % n}" for k in range(40))) for i in range(200)]
+        rows += [(1000 + i, " ".join(f"v{i * 40 + k}" for k in range(n // 20))) for i in range(20)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        table = spark.read.parquet(f"{tmp_path}/{n}/documents.parquet")
+        terms = fingerprints.lexicon(table)
+        out = fingerprints.op4_imatch_fingerprints(spark, f"{tmp_path}/{n}")
+        sizes[len(terms)] = len(out._jdf.queryExecution().toString())
+        got = {r["doc_id"]: r["fingerprint"] for r in out.collect()}
+        assert got == {d: plain_fingerprint([t for t in plain_terms(text) if t in set(terms)]) for d, text in rows}
+    few, many = sorted(sizes)
+    assert many > few + 1500 and sizes[many] < sizes[few] + 2000
+
+
 # --- mixing
 
 

@@ -12,6 +12,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,6 +490,26 @@ def test_backoff_query_of_order_three_matches_its_sql(spark):
 # --- pipeline
 
 
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    operators = {"near_duplicates": "distinct_documents", "secrets": "redact_secrets", "packing": "pack_documents"}
+    before = spark.conf.get(key)
+    try:
+        for given, most in ((before, 1000), ("0", 1000), ("300", 300)):  # a smaller number than the pipeline's own stays
+            for stage, operator in operators.items():
+                spark.conf.set(key, given)
+                monkeypatch.setattr(corpus_pipeline, operator, lambda docs: docs.mapInArrow(sizes, "n long"))
+                seen = [r["n"] for r in dict(corpus_pipeline.STAGES)[stage](spark, rows, "").collect()]
+                assert sum(seen) == 5000 and max(seen) == most
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline_applies_its_stages(spark, docs, tmp_path):
     rng = random.Random(9)
     rows = corpus(2, 80) + [doc(7000 + i, " ".join(sentence(rng, 40)) + " password=hunter2222") for i in range(20)]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm import wordhash
 from canvass.llm.components import connected_components
-from canvass.llm.storage import documents, stored
+from canvass.llm.storage import documents, dropped, stored
 
 N_WORDS = 5
 PERCENT = 75
@@ -261,9 +261,10 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, node_bits: int =
         .join(left, "node")
         .select("node", "n", "tokens")
     )
-    sets = stored(sets, "sets")
-    few = _without_alone(sets.select("node", "n"), sets.select(F.explode("tokens").alias("token"), "node"))
-    sets = stored(sets.join(few.select("node"), "node", "left_semi"), "sets-left")
+    whole = stored(sets, "sets")
+    few = _without_alone(whole.select("node", "n"), whole.select(F.explode("tokens").alias("token"), "node"))
+    sets = stored(whole.join(few.select("node"), "node", "left_semi"), "sets-left")
+    dropped(whole)
     ranked = stored(candidates(sets), "ranked")
     own = (F.col("p0")[0]["rest"] / F.col("n")).alias("shared")  # the share of tokens that other sets have too
     postings = stored(ranked.select("node", "n", own, F.explode("p0").alias("p")).select("node", "n", "shared", "p.*"), "postings")
@@ -293,6 +294,8 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, node_bits: int =
         "node", F.coalesce("component", "node").alias("component"), "first_id"
     )
     of_node = stored(of_node, "of-node")
+    for table in (left, sets, ranked, postings):  # the result reads rows and of_node alone
+        dropped(table)
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of_node.join(least, "component").select("node", "component_id")
     out = rows.join(named, "node", "left").select(
@@ -367,16 +370,18 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """
     found = stored(similar_components(docs), "components").where("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    rejected = ids.where("doc_id <> component_id").select("doc_id")
-    repeated = ids.where("doc_id = component_id AND n > 1").select("doc_id")
-    alone = docs.join(rejected.union(repeated), "doc_id", "left_anti")
+    marked = stored(ids.where("doc_id <> component_id OR n > 1").select("doc_id", F.expr("doc_id = component_id").alias("repeated")), "marked")
+    alone = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = marked.where("repeated").select("doc_id")
+    if repeated.isEmpty():  # else each text is shuffled once more
+        return alone
     first = (
         docs.join(repeated, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
         .select("doc_id", "row.*")
     )
-    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
+    return alone.unionByName(first.select(*docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

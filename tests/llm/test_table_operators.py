@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from canvass.llm import components, fingerprints, language_model, mixing, similarity_join, storage, toolchat, warc
 from canvass.llm import queries as llm_queries
+from canvass.plans import storage as plans_storage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -156,6 +158,49 @@ def test_rows_without_id_stay(spark):
     assert sorted(str(r["doc_id"]) for r in similarity_join.distinct_documents(rows).collect()) == ["3", "4", "None", "None"]
 
 
+def test_of_rows_repeated_with_one_id_the_smallest_stays(spark):
+    rows = [doc(5, "b c d"), doc(5, "a c d"), doc(5, "a c d"), doc(6, "a c d"), doc(7, "q"), doc(7, "q"), doc(8, "z"), doc(None, "z")]
+    kept = similarity_join.distinct_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", "a c d"), ("7", "q"), ("8", "z"), ("None", "z")]
+
+
+def test_texts_of_unique_ids_are_shuffled_once_for_the_verdict(spark, tmp_path):
+    spark.createDataFrame([doc(k, f"a b c d e {k // 2}") for k in range(20)], DOCS).write.parquet(f"{tmp_path}/d")
+    kept = similarity_join.distinct_documents(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 20, 2))
+    assert kept.inputFiles()
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"ReadSchema: \S*text:", plan)) == 1
+
+
+def test_join_leaves_only_the_tables_that_its_result_reads(spark, tmp_path):
+    base = str(tmp_path)
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
+    try:
+        out = similarity_join.similar_components(spark.createDataFrame(corpus(7, 20), DOCS))
+        there = {f.removeprefix("canvass-").rpartition("-")[0] for f in os.listdir(base)}
+        assert {"profile", "of-node"} <= there and there.isdisjoint({"left", "sets", "sets-left", "ranked", "postings"})
+        assert sorted(map(tuple, out.collect())) == sorted(plain_components(corpus(7, 20)))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_shuffle_files_of_a_stored_table_go_with_its_write(spark):
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+    before = shuffled()
+    key = plans_storage.SHUFFLE_CLEANUP
+    was = spark.conf.get(key, None)
+    table = storage.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x")
+    for _ in range(50):  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 7 and spark.conf.get(key, None) == was
+
+
 # --- fingerprints
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from canvass.operators import hierarchy
+from canvass.operators import cluster, hierarchy
 from canvass.plans.pairs import Squares, gaps, united
 
 
@@ -96,3 +97,24 @@ def test_squares_are_within_their_error():
     b[:50] = a + 1e-9
     s = Squares(a, b)
     assert np.abs(s[0:50] - gaps(a, b, "euclidean") ** 2).max() <= s.error < 1e-9
+
+
+def test_medoids_send_no_row_to_all_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(90, 3)).round(2)
+    df, names = table(spark, points)
+    plans = []
+    kept = cluster.met
+    monkeypatch.setattr(cluster, "met", lambda *a: plans.append(kept(*a)) or plans[-1])
+    whole = labels(cluster.kmedoids(df, names, 4, "id", block=4096))
+    assert labels(cluster.kmedoids(df, names, 4, "id", block=16)) == whole  # sums over pairs of blocks, each met once
+    assert labels(cluster.kmedoids(df, names, 4, "id", candidates=90, block=16)) == whole
+    ahead = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(20).collect()]
+    d = gaps(points, points[ahead], "euclidean")
+    first = ahead[int(d.sum(axis=0).argmin())]
+    found = cluster.kmedoids(df, names, 1, "id", candidates=20, block=16)
+    assert set(labels(found)) == {0}
+    two = labels(cluster.kmedoids(df, names, 2, "id", candidates=20, swaps=0, block=16))
+    second = ahead[int(np.minimum(d, gaps(points, points[[first]], "euclidean")).sum(axis=0).argmin())]
+    assert two == gaps(points, points[[first, second]], "euclidean").argmin(axis=1).tolist()
+    assert plans and all("Exchange" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
